@@ -340,8 +340,9 @@ def mask_fields(spark, d):
     values = F.create_map(
         F.lit("Password"), F.col("lang"), F.lit("region"), F.col("source"),
         F.lit("note"), F.col("secret"))
-    return A.table(spark, d, "documents").withColumn("secret", F.expr(A.SECRET_TEXT)).select(
-        "doc_id", F.explode(redaction.mask_fields(values, ["PASSWORD"])).alias("key", "value"))
+    texts = A.table(spark, d, "documents").withColumn("secret", F.expr(A.SECRET_TEXT))
+    return texts.select("doc_id", values.alias("vals")).select(
+        "doc_id", F.explode(redaction.mask_fields("vals", ["PASSWORD"])).alias("key", "value"))
 
 
 @query
@@ -508,17 +509,17 @@ def score_primary(spark, d):
 
 @query
 def confidence_bucket(spark, d):
-    score = scoring.class_score(F.col("weight"))
-    return classify.classify_by_category(triage(spark, d)).select(
-        "run_id", "category", F.round(score, 3).alias("score"),
-        scoring.confidence_bucket(score).alias("confidence"))
+    return classify.classify_by_category(triage(spark, d)).withColumn(
+        "raw", scoring.class_score(F.col("weight"))).select(
+        "run_id", "category", F.round("raw", 3).alias("score"),
+        scoring.confidence_bucket("raw").alias("confidence"))
 
 
 _FLAT_EVIDENCE = ["run_id", "category", "evidence_id", "kind", "statement"]
 
 
 def _with_id(evidence: DataFrame) -> DataFrame:
-    return evidence.withColumn("evidence_id", text.short_id(F.col("seed"))).select(*_FLAT_EVIDENCE)
+    return evidence.withColumn("evidence_id", text.short_id("seed")).select(*_FLAT_EVIDENCE)
 
 
 @query
@@ -590,13 +591,13 @@ def recommendations(spark, d):
 @query
 def short_id(spark, d):
     return A.table(spark, d, "documents").select(
-        "doc_id", text.short_id(F.concat(F.lit("inc"), F.substring("text", 1, 40))).alias("id"))
+        "doc_id", text.short_id("concat('inc', substring(text, 1, 40))").alias("id"))
 
 
 @query
 def category_labels(spark, d):
     return triage(spark, d).groupBy("category").agg(F.count("*").alias("runs")).withColumn(
-        "label", category_label(F.col("category")))
+        "label", category_label("category"))
 
 
 # --- assembly ---------------------------------------------------------------

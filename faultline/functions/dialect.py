@@ -68,3 +68,12 @@ def re2(pattern: str, ignore_case: bool = False) -> str:
     """Pattern for the SQL oracle (RE2 has ASCII ``\\b`` and no look-around)."""
     body = _expand(pattern, {r"\<": r"\b", r"\>": r"\b", r"\b": r"\b"})
     return ("(?i)" if ignore_case else "") + body
+
+
+def text(value: str) -> str:
+    """Spark SQL string literal.
+
+    Long expressions are built as SQL text and parsed in one call: thousands of
+    single Column calls cost more than the query they describe.
+    """
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -12,13 +12,11 @@ keeps the result exact.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .dialect import java
+from .dialect import java, text
 
 LEVELS = ("strict", "standard", "none")
 
@@ -49,64 +47,49 @@ def active_rules(level: str, only: str | None = None) -> list[tuple[str, str, st
     ]
 
 
-def _any(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, cols)
-
-
-def redact_text(df: DataFrame, text: str, level: str = "strict", *, out: str | None = None,
+def redact_text(df: DataFrame, column: str, level: str = "strict", *, out: str | None = None,
                 hits: str | None = "hits", n_hits: str | None = "n_hits",
                 only: str | None = None) -> DataFrame:
-    """Redact column ``text`` of every row.
+    """Redact ``column`` of every row.
 
     ``hits`` receives the names of the rules that fired, ``n_hits`` their
     number (a hit is a rule firing on a row, not an occurrence). Apply once
     per text: a placeholder can itself look like a secret.
     """
     rules = active_rules(level, only)
-    keep = df.columns
-    out = out or text
-    work = df.withColumn("__text", F.col(text)).withColumn("__low", F.lower(F.col(text)))
-    fired: list[str] = []
+    out = out or column
+    keep = [f"`{c}`" for c in df.columns if c != out]
+    steps = [f"`{column}` as __text0", f"lower(`{column}`) as __low"]
     for i, (name, pattern, to) in enumerate(rules):
-        flag = f"__hit{i}"
-        possible = _any([F.col("__low").contains(x) for x in _LITERALS[name]]
-                        + [F.col(f) for f in fired])
-        work = work.withColumn(
-            flag, F.coalesce(possible & F.col("__text").rlike(pattern), F.lit(False))
-        ).withColumn(
-            "__text",
-            F.when(F.col(flag), F.regexp_replace(F.col("__text"), F.lit(pattern), F.lit(to)))
-            .otherwise(F.col("__text")),
-        )
-        fired.append(flag)
-
-    result = [F.col("__text").alias("text")]
+        possible = " or ".join([f"contains(__low, {text(x)})" for x in _LITERALS[name]]
+                               + [f"__hit{j}" for j in range(i)])
+        steps.append(f"coalesce(({possible}) and rlike(__text{i}, {text(pattern)}), false) as __hit{i}")
+        steps.append(f"case when __hit{i} then regexp_replace(__text{i}, {text(pattern)}, {text(to)}) "
+                     f"else __text{i} end as __text{i + 1}")
+    done = [f"'text', __text{len(rules)}"]
     if hits:
-        names = [F.when(F.col(f), F.lit(rules[i][0])) for i, f in enumerate(fired)]
-        result.append((F.array_compact(F.array(*names)) if names
-                       else F.array().cast("array<string>")).alias("hits"))
+        names = ", ".join(f"case when __hit{i} then {text(r[0])} end" for i, r in enumerate(rules))
+        done.append(f"'hits', array_compact(cast(array({names}) as array<string>))")
     if n_hits:
-        ones = [F.col(f).cast("int") for f in fired]
-        result.append((reduce(lambda a, b: a + b, ones) if ones else F.lit(0)).alias("n_hits"))
+        done.append("'n_hits', " + (" + ".join(
+            f"cast(__hit{i} as int)" for i in range(len(rules))) or "0"))
     # A filter on the result would be pushed through the chain and repeat each
     # step several times per later step; a generator keeps it above.
-    work = work.select(*[c for c in keep if c != out],
-                       F.explode(F.array(F.struct(*result))).alias("__done"))
-    cols = [F.col("__done.text").alias(c) if c == out else F.col(c) for c in keep]
-    if out not in keep:
-        cols.append(F.col("__done.text").alias(out))
-    if hits:
-        cols.append(F.col("__done.hits").alias(hits))
-    if n_hits:
-        cols.append(F.col("__done.n_hits").alias(n_hits))
-    return work.select(*cols)
-
-
-def redact_expr(text: Column, level: str = "strict") -> Column:
-    """Redacted text only, as one expression (for map values and lambdas)."""
+    work = df.selectExpr(*keep, *steps).selectExpr(
+        *keep, f"explode(array(named_struct({', '.join(done)}))) as __done")
+    cols = [f"__done.text as `{out}`" if c == out else f"`{c}`" for c in df.columns]
+    if out not in df.columns:
+        cols.append(f"__done.text as `{out}`")
+    cols += [f"__done.hits as {hits}"] if hits else []
+    cols += [f"__done.n_hits as {n_hits}"] if n_hits else []
+    return work.selectExpr(*cols)
+
+
+def redact_sql(value: str, level: str = "strict") -> str:
+    """Redacted text only, as one SQL expression (for map values)."""
     for _, pattern, to in active_rules(level):
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
-    return text
+        value = f"regexp_replace({value}, {text(pattern)}, {text(to)})"
+    return value
 
 
 def redact_log_events(events: DataFrame, level: str = "strict") -> DataFrame:
@@ -116,7 +99,8 @@ def redact_log_events(events: DataFrame, level: str = "strict") -> DataFrame:
     and are still scanned: the flag only ever accumulates.
     """
     out = redact_text(events, "message", level, hits=None)
-    return out.withColumn("redacted", F.col("redacted") | (F.col("n_hits") > 0))
+    return out.selectExpr(*["redacted or n_hits > 0 as redacted" if c == "redacted" else c
+                            for c in out.columns])
 
 
 def redaction_counts(redacted: DataFrame) -> DataFrame:
@@ -124,12 +108,8 @@ def redaction_counts(redacted: DataFrame) -> DataFrame:
     return redacted.groupBy("run_id").agg(F.sum("n_hits").cast("bigint").alias("hit_count"))
 
 
-def mask_fields(values: Column, fields: list[str], level: str = "strict") -> Column:
-    """Map column: named keys are masked, every other value is redacted."""
-    named = [f.lower() for f in fields]
-
-    def value(k: Column, v: Column) -> Column:
-        return F.when(F.lower(k).isin(named), F.lit(fixed.MASKED_FIELD)).otherwise(
-            redact_expr(v, level))
-
-    return F.transform_values(values, value)
+def mask_fields(values: str, fields: list[str], level: str = "strict") -> Column:
+    """Map column ``values``: named keys are masked, other values redacted."""
+    named = ", ".join(text(f.lower()) for f in fields)
+    return F.expr(f"transform_values({values}, (k, v) -> case when lower(k) in ({named}) "
+                  f"then {text(fixed.MASKED_FIELD)} else {redact_sql('v', level)} end)")

@@ -14,23 +14,13 @@ def class_score(weight: Column) -> Column:
         F.least(F.lit(1.0), weight / F.lit(100.0) / F.lit(fixed.SCORE_SATURATION)))
 
 
-def alternate_score(weight: Column) -> Column:
-    return F.least(F.lit(fixed.ALTERNATE_CAP),
-                   weight / F.lit(100.0) / F.lit(fixed.ALTERNATE_DIVISOR))
+def confidence_sql(score: str) -> str:
+    return (f"case when {score} >= {fixed.HIGH_CONFIDENCE}D then 'high' "
+            f"when {score} >= {fixed.MEDIUM_CONFIDENCE}D then 'medium' else 'low' end")
 
 
-def primary_score(base: Column, change: Column, dependency: Column, issue: Column) -> Column:
-    """Bonuses are added in a fixed order and capped after each step."""
-    score = base
-    for applies, bonus in ((change, fixed.CHANGE_BONUS), (dependency, fixed.DEPENDENCY_BONUS),
-                           (issue, fixed.ISSUE_BONUS)):
-        score = F.when(applies, F.least(F.lit(1.0), score + F.lit(bonus))).otherwise(score)
-    return score
-
-
-def confidence_bucket(score: Column) -> Column:
-    return (F.when(score >= fixed.HIGH_CONFIDENCE, "high")
-            .when(score >= fixed.MEDIUM_CONFIDENCE, "medium").otherwise("low"))
+def confidence_bucket(score: str) -> Column:
+    return F.expr(confidence_sql(score))
 
 
 def confidence_rank(confidence: Column) -> Column:

@@ -3,63 +3,67 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .dialect import java
-from .parsing import group_or_null, strip
+from .dialect import SPACE_CHARS, java, text
 
+_SPACES = text(SPACE_CHARS)
 
-def _title(message: Column, pattern: str, title: str) -> Column:
+
+def _group(message: str, pattern: str, n: int) -> str:
+    return f"nullif(regexp_extract({message}, {text(pattern)}, {n}), '')"
+
+
+def _title(message: str, pattern: str, title: str) -> str:
     parts = re.split(r"\$(\d)", title)
-    cols = [
-        F.lit(p) if i % 2 == 0 else F.regexp_extract(message, pattern, int(p))
-        for i, p in enumerate(parts)
-        if p != ""
+    if len(parts) == 1:
+        return text(title)
+    pieces = [
+        text(p) if i % 2 == 0 else f"regexp_extract({message}, {text(pattern)}, {p})"
+        for i, p in enumerate(parts) if p != ""
     ]
-    return strip(F.concat(*cols)) if len(parts) > 1 else F.lit(title)
+    return f"trim(both {_SPACES} from concat({', '.join(pieces)}))"
 
 
-def signature_matches(message: Column, platform: Column, code: Column,
+def signature_matches(message: str, platform: str, code: str,
                       signatures: list[tuple] | None = None) -> Column:
     """Array of matches in signature order; empty when nothing matches.
 
-    Patterns are literals, so each is compiled once per task; a signature table
-    joined as rows would compile a pattern per row. ``signatures`` takes a
-    user-supplied list in the layout of ``fixed.SIGNATURES``.
+    The arguments are SQL expressions. Patterns are literals, so each is
+    compiled once per task; a signature table joined as rows would compile a
+    pattern per row. ``signatures`` takes a user-supplied list in the layout of
+    ``fixed.SIGNATURES``.
     """
-    out = []
+    items = []
     for ord_, (sig, category, only_on, weight, groups, title, raw, ci) in enumerate(
             fixed.SIGNATURES if signatures is None else signatures):
         pattern = java(raw, ci)
-        hit = message.rlike(pattern)
+        hit = f"rlike({message}, {text(pattern)})"
         if only_on:
-            hit = (platform.isNull() | (platform == only_on)) & hit
-        token = F.coalesce(*[group_or_null(message, pattern, g) for g in groups]) if groups \
-            else F.lit(None).cast("string")
+            hit = f"({platform} is null or {platform} = {text(only_on)}) and {hit}"
+        token = "cast(null as string)"
+        if groups:
+            token = "coalesce(" + ", ".join(_group(message, pattern, g) for g in groups) + ")"
         ref = code
         if sig in fixed.SIGNATURE_CODE_GROUPS:
             p, n = fixed.SIGNATURE_CODE_GROUPS[sig]
-            ref = F.struct(
-                F.regexp_extract(message, pattern, p).alias("path"),
-                F.regexp_extract(message, pattern, n).try_cast("bigint").alias("line"),
-                F.lit(None).cast("string").alias("symbol"),
-            )
-        out.append(F.when(hit, F.struct(
-            F.lit(ord_).alias("sig_ord"),
-            F.lit(sig).alias("signature"),
-            F.lit(category).alias("category"),
-            F.lit(weight).alias("weight"),
-            _title(message, pattern, title).alias("title"),
-            token.alias("token"),
-            ref.alias("code"),
-        )))
-    return F.array_compact(F.array(*out))
-
-
-def category_label(category: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for kv in fixed.CATEGORY_LABELS.items() for x in kv])
-    return F.try_element_at(labels, category)
+            ref = (f"named_struct('path', regexp_extract({message}, {text(pattern)}, {p}), "
+                   f"'line', try_cast(regexp_extract({message}, {text(pattern)}, {n}) as bigint), "
+                   "'symbol', cast(null as string))")
+        items.append(
+            f"case when {hit} then named_struct('sig_ord', {ord_}, 'signature', {text(sig)}, "
+            f"'category', {text(category)}, 'weight', {weight}, "
+            f"'title', {_title(message, pattern, title)}, 'token', {token}, 'code', {ref}) end")
+    return F.expr(f"array_compact(array({', '.join(items)}))")
+
+
+def label_sql(category: str) -> str:
+    labels = ", ".join(text(x) for kv in fixed.CATEGORY_LABELS.items() for x in kv)
+    return f"try_element_at(map({labels}), {category})"
+
+
+def category_label(category: str) -> Column:
+    return F.expr(label_sql(category))

@@ -23,16 +23,14 @@ def jaccard_similarity(a: Column, b: Column) -> Column:
     return jaccard(tokenize(a), tokenize(b))
 
 
-def short_id(seed: Column) -> Column:
+def short_id_sql(seed: str) -> str:
     """32-bit FNV-1a over UTF-16 units, base 36, seven characters."""
-    hex_units = F.hex(F.encode(seed, "UTF-16BE"))
-    units = F.transform(
-        F.sequence(F.lit(0), (F.length(hex_units) / 4).cast("int") - 1),
-        lambda i: F.conv(F.substring(hex_units, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"),
-    )
-    h = F.aggregate(
-        units,
-        F.lit(2166136261).cast("bigint"),
-        lambda acc, u: (acc.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)),
-    )
-    return F.substring(F.lpad(F.lower(F.conv(h.cast("string"), 10, 36)), 7, "0"), 1, 7)
+    units = f"hex(encode({seed}, 'UTF-16BE'))"
+    return f"""substring(lpad(lower(conv(cast(aggregate(
+        transform(sequence(0, cast(length({units}) / 4 as int) - 1),
+                  u -> cast(conv(substring({units}, u * 4 + 1, 4), 16, 10) as bigint)),
+        2166136261L, (h, c) -> ((h ^ c) * 16777619L) & 4294967295L) as string), 10, 36)), 7, '0'), 1, 7)"""
+
+
+def short_id(seed: str) -> Column:
+    return F.expr(short_id_sql(seed))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, scoring
+from ..functions import fixed
 from ..functions.signatures import signature_matches
 
 
@@ -13,8 +13,7 @@ def signature_match(meaningful: DataFrame, signatures: list[tuple] | None = None
     """One row per (event, signature) match over the meaningful errors."""
     return meaningful.select(
         "run_id", "platform", "seq",
-        F.explode(signature_matches(F.col("message"), F.col("platform"), F.col("code"),
-                                    signatures)).alias("m"),
+        F.explode(signature_matches("message", "platform", "code", signatures)).alias("m"),
     ).select("run_id", "platform", "seq", "m.*")
 
 
@@ -31,86 +30,63 @@ def triage_runs(groups: DataFrame, signatures: list[tuple] | None = None) -> Dat
     matched = groups.select(
         "run_id", "platform", "n_events", "n_hits", "event", "cascade",
         F.posexplode_outer(signature_matches(
-            F.col("event.message"), F.col("platform"), F.col("event.code"), signatures)),
-    ).withColumnRenamed("col", "m")
+            "event.message", "platform", "event.code", signatures)).alias("pos", "m"))
 
-    lead = F.coalesce(F.col("pos"), F.lit(0)) == 0          # once per group
-    error = lead & F.col("event").isNotNull()
-    strong = F.struct(
-        F.col("event.seq").alias("seq"), F.col("m.sig_ord").alias("sig_ord"),
-        F.col("event.message").alias("message"), F.col("event.source").alias("source"),
-        F.col("m.title").alias("title"), F.col("m.token").alias("token"),
-        F.col("m.code").alias("code"),
-    )
-    first = F.struct(
-        F.col("event.seq").alias("seq"), F.col("event.message").alias("message"),
-        F.col("event.source").alias("source"),
-    )
+    lead = "coalesce(pos, 0) = 0"                        # once per group
+    error = f"{lead} and event is not null"
     by_category = matched.groupBy(
         "run_id", "platform", "cascade", F.col("m.category").alias("category")
-    ).agg(
-        F.sum("m.weight").alias("weight"),
-        F.count("m.weight").alias("matches"),
-        F.min(F.struct(F.col("event.seq").alias("seq"), F.col("m.sig_ord").alias("sig_ord")))
-        .alias("first_seen"),
-        F.min(F.when(F.col("m.weight") >= fixed.STRONG_WEIGHT, strong)).alias("strong"),
-        F.min(F.when(error, first)).alias("first"),
-        F.sum(F.when(error, F.col("n_events"))).alias("errors"),
-        F.count(F.when(error, 1)).alias("templates"),
-        F.sum(F.when(lead, F.col("n_hits"))).alias("hits"),
-    )
+    ).agg(*map(F.expr, (
+        "sum(m.weight) as weight",
+        "count(m.weight) as matches",
+        "min(struct(event.seq as seq, m.sig_ord as sig_ord)) as first_seen",
+        f"""min(struct(event.seq as seq, m.sig_ord as sig_ord, event.message as message,
+                       event.source as source, m.title as title, m.token as token,
+                       m.code as code)) filter (where m.weight >= {fixed.STRONG_WEIGHT}) as strong""",
+        f"""min(struct(event.seq as seq, event.message as message, event.source as source))
+            filter (where {error}) as first""",
+        f"sum(n_events) filter (where {error}) as errors",
+        f"count_if({error}) as templates",
+        f"sum(n_hits) filter (where {lead}) as hits",
+    )))
 
-    cause, echo = ~F.col("cascade"), F.col("cascade")
-    per_run = by_category.groupBy("run_id", "platform").agg(
-        F.coalesce(F.sum("hits"), F.lit(0)).cast("bigint").alias("hit_count"),
-        F.coalesce(F.sum("errors"), F.lit(0)).cast("bigint").alias("errors"),
-        F.sum("templates").alias("templates"),
-        F.coalesce(F.sum(F.when(echo, F.col("templates"))), F.lit(0)).alias("cascades"),
-        F.min(F.when(cause, F.col("first"))).alias("cause_first"),
-        F.min(F.when(echo, F.col("first"))).alias("echo_first"),
-        F.min(F.when(cause, F.col("strong"))).alias("cause_strong"),
-        F.min(F.when(echo, F.col("strong"))).alias("echo_strong"),
-        F.collect_list(F.when(F.col("category").isNotNull(), F.struct(
-            F.col("cascade"), (-F.col("weight")).alias("order"), F.col("first_seen"),
-            F.col("category"), F.col("weight").cast("bigint").alias("weight"),
-            F.col("matches"),
-        ))).alias("found"),
-    )
+    per_run = by_category.groupBy("run_id", "platform").agg(*map(F.expr, (
+        "coalesce(sum(hits), 0) as hit_count",
+        "coalesce(sum(errors), 0) as errors",
+        "sum(templates) as templates",
+        "coalesce(sum(templates) filter (where cascade), 0) as cascades",
+        "min(first) filter (where not cascade) as cause_first",
+        "min(first) filter (where cascade) as echo_first",
+        "min(strong) filter (where not cascade) as cause_strong",
+        "min(strong) filter (where cascade) as echo_strong",
+        """collect_list(struct(cascade, -weight as order, first_seen, category, weight, matches))
+           filter (where category is not null) as found""",
+    )))
 
-    fallback = (F.col("templates") > 0) & (F.col("templates") == F.col("cascades"))
-    flagged = per_run.withColumn("fallback", fallback)
-    chosen = flagged.withColumn(
-        "strong", F.when(F.col("fallback"), F.col("echo_strong")).otherwise(F.col("cause_strong"))
-    ).withColumn(
-        "first", F.when(F.col("fallback"), F.col("echo_first")).otherwise(F.col("cause_first"))
-    ).withColumn(
-        "ranked",
-        F.sort_array(F.filter(F.col("found"), lambda c: c["cascade"] == F.col("fallback"))),
+    chosen = per_run.selectExpr(
+        "*",
+        "templates > 0 and templates = cascades as fallback",
+        "if(fallback, echo_strong, cause_strong) as strong",
+        "if(fallback, echo_first, cause_first) as first",
+        "sort_array(filter(found, c -> c.cascade = fallback)) as ranked",
+        "try_element_at(ranked, 1) as top",
     )
-    top = F.try_element_at(F.col("ranked"), F.lit(1))
-    has_strong = F.col("strong").isNotNull()
-    return chosen.select(
-        "run_id", "platform", "hit_count", "errors", "fallback",
-        F.col("templates").cast("bigint").alias("templates"),
-        (F.col("errors") - F.col("templates")).cast("bigint").alias("removed_duplicates"),
-        F.when(F.col("fallback"), F.lit(0)).otherwise(F.col("cascades")).cast("bigint")
-        .alias("removed_cascades"),
-        F.when(F.col("fallback"), F.col("templates"))
-        .otherwise(F.col("templates") - F.col("cascades")).cast("bigint").alias("meaningful"),
-        F.transform("ranked", lambda c: F.struct(
-            c["category"].alias("category"), c["weight"].alias("weight"),
-            c["matches"].alias("matches"))).alias("categories"),
-        F.coalesce(top["category"], F.lit("unknown")).alias("category"),
-        scoring.class_score(top["weight"]).alias("class_score"),
-        F.coalesce(F.col("strong.seq"), F.col("first.seq")).alias("earliest_seq"),
-        F.coalesce(F.col("strong.message"), F.col("first.message")).alias("earliest_message"),
-        F.when(has_strong, F.col("strong.source")).otherwise(F.col("first.source"))
-        .alias("earliest_source"),
-        F.when(has_strong, "signature").when(F.col("fallback"), "first_error")
-        .when(F.col("first").isNotNull(), "first_non_cascade_error").alias("reason"),
-        F.col("strong.title").alias("match_title"),
-        F.col("strong.token").alias("token"),
-        F.col("strong.code").alias("match_code"),
+    return chosen.selectExpr(
+        "run_id", "platform", "hit_count", "errors", "fallback", "templates",
+        "errors - templates as removed_duplicates",
+        "if(fallback, 0L, cascades) as removed_cascades",
+        "if(fallback, templates, templates - cascades) as meaningful",
+        """transform(ranked, c -> named_struct('category', c.category, 'weight', c.weight,
+                                               'matches', c.matches)) as categories""",
+        "coalesce(top.category, 'unknown') as category",
+        f"""case when top.weight is null then 0D
+                 else least(1D, top.weight / 100D / {fixed.SCORE_SATURATION}D) end as class_score""",
+        "coalesce(strong.seq, first.seq) as earliest_seq",
+        "coalesce(strong.message, first.message) as earliest_message",
+        "if(strong is not null, strong.source, first.source) as earliest_source",
+        """case when strong is not null then 'signature' when fallback then 'first_error'
+                when first is not null then 'first_non_cascade_error' end as reason""",
+        "strong.title as match_title", "strong.token as token", "strong.code as match_code",
     )
 
 

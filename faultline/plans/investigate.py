@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parsing, redaction, scoring
-from ..functions.signatures import category_label
-from ..functions.text import short_id
+from ..functions.scoring import confidence_sql
+from ..functions.signatures import label_sql
+from ..functions.text import short_id, short_id_sql
 from ..operators import classify, compare, correlate, dedup
 from ..storage import materialize
 
@@ -28,6 +29,12 @@ class Investigation:
     issues: DataFrame | None
     pairs: DataFrame
 
+    def staged(self) -> Investigation:
+        """With the scored runs and the diff written once; for callers that
+        read several of the result tables."""
+        return replace(self, scored=materialize(self.scored, "scored"),
+                       diff=materialize(self.diff, "diff"))
+
     def hypotheses(self) -> DataFrame:
         return build_hypotheses(self.scored)
 
@@ -49,42 +56,39 @@ def score_runs(runs: DataFrame, triage: DataFrame, found: DataFrame | None,
 
     Every input has at most one row per run, so no join multiplies rows.
     """
-    base = runs.join(triage.drop("platform"), "run_id", "left").withColumn(
-        "category", F.coalesce("category", F.lit("unknown"))
-    ).withColumn("class_score", F.coalesce("class_score", F.lit(0.0)))
-    for counter in ("hit_count", "errors", "templates", "removed_duplicates",
-                    "removed_cascades", "meaningful"):
-        base = base.withColumn(counter, F.coalesce(F.col(counter), F.lit(0).cast("bigint")))
-
+    changed = diff.groupBy("run_id").agg(
+        F.expr("count_if(section = 'dependencies') as changed_dependencies"),
+        F.expr("count_if(section = 'parameters') as changed_parameters"))
+    base = runs.join(triage.drop("platform"), "run_id", "left").join(changed, "run_id", "left") \
+        .join(pairs.selectExpr("run_id", "true as paired"), "run_id", "left")
+    change = ["change_id", "change_kind", "change_title", "predates"]
     if found is None:
-        base = base.select(
-            "*", *[F.lit(None).cast("string").alias(c)
-                   for c in ("change_id", "change_kind", "change_title")],
-            F.lit(None).cast("boolean").alias("predates"))
+        change = [f"cast(null as {'boolean' if c == 'predates' else 'string'}) as {c}"
+                  for c in change]
     else:
         base = base.join(found.drop("token"), "run_id", "left")
-    changed = diff.groupBy("run_id").agg(
-        F.count(F.when(F.col("section") == "dependencies", 1)).alias("changed_dependencies"),
-        F.count(F.when(F.col("section") == "parameters", 1)).alias("changed_parameters"))
-    base = base.join(changed, "run_id", "left")
-    if related is None:
-        base = base.withColumn("related_issues", F.lit(0).cast("bigint"))
-    else:
-        base = base.join(
-            related.groupBy("run_id").agg(F.count("*").alias("related_issues")), "run_id", "left")
-    base = base.join(pairs.select("run_id", F.lit(True).alias("compared")), "run_id", "left")
-    base = base.withColumn("compared", F.coalesce("compared", F.lit(False)))
-    for counter in ("changed_dependencies", "changed_parameters", "related_issues"):
-        base = base.withColumn(counter, F.coalesce(F.col(counter), F.lit(0).cast("bigint")))
-
-    raw = scoring.primary_score(
-        F.col("class_score"),
-        F.col("change_id").isNotNull(),
-        F.col("compared") & F.col("category").startswith("deps.")
-        & (F.col("changed_dependencies") > 0),
-        F.col("related_issues") > 0,
-    )
-    return base.withColumn("raw_score", raw)
+    issue_count = "0L as related_issues"
+    if related is not None:
+        base = base.join(related.groupBy("run_id").agg(F.expr("count(*) as n_related")),
+                         "run_id", "left")
+        issue_count = "coalesce(n_related, 0L) as related_issues"
+    counters = ["hit_count", "errors", "templates", "removed_duplicates", "removed_cascades",
+                "meaningful", "changed_dependencies", "changed_parameters"]
+    known = base.selectExpr(
+        *runs.columns, "categories", "earliest_seq", "earliest_message", "earliest_source",
+        "reason", "match_title", "token", "match_code", "paired is not null as compared",
+        "coalesce(category, 'unknown') as category", "coalesce(class_score, 0D) as class_score",
+        *[f"coalesce({c}, 0L) as {c}" for c in counters], *change, issue_count)
+    # bonuses in a fixed order, capped after each
+    return known.selectExpr(
+        "*",
+        f"if(change_id is not null, least(1D, class_score + {fixed.CHANGE_BONUS}D), class_score)"
+        " as with_change",
+        "if(compared and startswith(category, 'deps.') and changed_dependencies > 0, "
+        f"least(1D, with_change + {fixed.DEPENDENCY_BONUS}D), with_change) as with_dependency",
+        f"if(related_issues > 0, least(1D, with_dependency + {fixed.ISSUE_BONUS}D), "
+        "with_dependency) as raw_score",
+    ).drop("with_change", "with_dependency")
 
 
 def investigate(runs: DataFrame, events: DataFrame, *, configs: DataFrame | None = None,
@@ -107,7 +111,8 @@ def investigate(runs: DataFrame, events: DataFrame, *, configs: DataFrame | None
             "run_id", "platform", "seq", "severity", F.when(error, F.col("message")).alias("message"),
             "source", "code", "n_hits"), "log_events")
     triage = classify.triage_runs(dedup.template_groups(redacted, counters=True), signatures)
-    triage = materialize(triage, "triage")
+    if correlate_evidence and changes is not None:
+        triage = materialize(triage, "triage")
 
     pairs = compare.baseline_link(runs)
     diff = compare.diff_records(compare.run_entries(runs, configs), pairs)
@@ -126,45 +131,39 @@ def investigate(runs: DataFrame, events: DataFrame, *, configs: DataFrame | None
 
 # --- hypotheses -------------------------------------------------------------
 
+def _alternate_sql(weight: str) -> str:
+    return f"least({fixed.ALTERNATE_CAP}D, {weight} / 100D / {fixed.ALTERNATE_DIVISOR}D)"
+
+
+_SECONDS = (f"filter(slice(categories, 2, 2), c -> {_alternate_sql('c.weight')} >= "
+            f"{fixed.ALTERNATE_FLOOR}D)")
+
+
+def _hypothesis_sql(ord_: str, seed: str, category: str, title: str, rationale: str,
+                    score: str) -> str:
+    return (f"named_struct('order', -round({score}, 3), 'ord', {ord_}, "
+            f"'hypothesis_id', {short_id_sql(seed)}, 'category', {category}, 'title', {title}, "
+            f"'rationale', {rationale}, 'confidence', {confidence_sql(score)}, "
+            f"'score', round({score}, 3))")
+
+
 def ranked_hypotheses() -> Column:
     """Array per scored run: the primary and up to two alternates, best first."""
-    category = F.col("category")
-    label = category_label(category)
-    raw = F.col("raw_score")
-    primary = F.struct(
-        (-F.round(raw, 3)).alias("order"), F.lit(0).alias("ord"),
-        short_id(F.concat(F.lit("h-primary"), category, F.coalesce("token", F.lit(""))))
-        .alias("hypothesis_id"),
-        category.alias("category"),
-        F.coalesce(F.col("match_title"), label).alias("title"),
-        F.when(F.col("earliest_seq").isNotNull(), F.concat(
-            F.lit("The earliest meaningful failure matches the "), label,
-            F.lit(" pattern; later log lines are downstream effects.")))
-        .otherwise(F.concat(F.lit("Classification derived from aggregate error signatures ("),
-                            label, F.lit(")."))).alias("rationale"),
-        scoring.confidence_bucket(raw).alias("confidence"),
-        F.round(raw, 3).alias("score"),
-    )
-
-    def alternate(c: Column, i: Column) -> Column:
-        score = scoring.alternate_score(c["weight"])
-        name = category_label(c["category"])
-        return F.struct(
-            (-F.round(score, 3)).alias("order"), (i + 1).alias("ord"),
-            short_id(F.concat(F.lit("h-alt"), c["category"])).alias("hypothesis_id"),
-            c["category"].alias("category"),
-            name.alias("title"),
-            F.concat(F.lit("Secondary signal: "), c["matches"].cast("string"),
-                     F.lit(" matching signature(s) for "), name, F.lit(".")).alias("rationale"),
-            scoring.confidence_bucket(score).alias("confidence"),
-            F.round(score, 3).alias("score"),
-        )
-
-    seconds = F.filter(
-        F.slice(F.coalesce("categories", F.expr(
-            "cast(array() as array<struct<category:string,weight:bigint,matches:bigint>>)")), 2, 2),
-        lambda c: scoring.alternate_score(c["weight"]) >= F.lit(fixed.ALTERNATE_FLOOR))
-    return F.sort_array(F.concat(F.array(primary), F.transform(seconds, alternate)))
+    label, other = label_sql("category"), label_sql("c.category")
+    primary = _hypothesis_sql(
+        "0", "concat('h-primary', category, coalesce(token, ''))", "category",
+        f"coalesce(match_title, {label})",
+        f"""if(earliest_seq is not null,
+               concat('The earliest meaningful failure matches the ', {label},
+                      ' pattern; later log lines are downstream effects.'),
+               concat('Classification derived from aggregate error signatures (', {label}, ').'))""",
+        "raw_score")
+    alternate = _hypothesis_sql(
+        "i + 1", "concat('h-alt', c.category)", "c.category", other,
+        f"concat('Secondary signal: ', c.matches, ' matching signature(s) for ', {other}, '.')",
+        _alternate_sql("c.weight"))
+    return F.expr(f"sort_array(concat(array({primary}), "
+                  f"transform(coalesce({_SECONDS}, array()), (c, i) -> {alternate})))")
 
 
 def build_hypotheses(scored: DataFrame) -> DataFrame:
@@ -187,8 +186,8 @@ def knowledge(spark: SparkSession) -> DataFrame:
         rows += [(category, i, kind, text, mutates) for i, (kind, text, mutates) in enumerate(steps)]
     dim = spark.createDataFrame(
         rows, "category string, ord int, kind string, description string, mutates boolean")
-    seed = F.concat(F.substring("kind", 1, 1), F.col("description"))
-    return dim.withColumn("recommendation_id", short_id(seed))
+    return dim.withColumn("recommendation_id",
+                          short_id("concat(substring(kind, 1, 1), description)"))
 
 
 def recommend(hypotheses: DataFrame) -> DataFrame:
@@ -287,10 +286,7 @@ def evidence_from_issues(scored: DataFrame, related: DataFrame, issues: DataFram
 
 
 def evidence_alternates(scored: DataFrame) -> DataFrame:
-    seconds = F.filter(
-        F.slice("categories", 2, 2),
-        lambda c: scoring.alternate_score(c["weight"]) >= F.lit(fixed.ALTERNATE_FLOOR))
-    return scored.select("run_id", F.explode(seconds).alias("c")).select(
+    return scored.select("run_id", F.explode(F.expr(_SECONDS)).alias("c")).select(
         "run_id", F.col("c.category").alias("category"), _evidence(
             F.lit(0), "inference",
             F.concat(F.col("c.matches").cast("string"),
@@ -309,7 +305,7 @@ def build_evidence(scored: DataFrame, diff: DataFrame, related: DataFrame | None
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumn("evidence_id", short_id(F.col("seed"))).drop("seed")
+    return out.withColumn("evidence_id", short_id("seed")).drop("seed")
 
 
 # --- incidents --------------------------------------------------------------
@@ -339,7 +335,7 @@ def build_incidents(scored: DataFrame, created_at: str | None = None) -> DataFra
         F.lit(" The earliest meaningful error was: "), F.col("earliest_message")))
     return headed.select(
         "run_id",
-        short_id(F.concat(F.lit("inc"), F.col("run_id"))).alias("incident_id"),
+        short_id("concat('inc', run_id)").alias("incident_id"),
         F.concat(F.col("pipeline"), F.lit(": "), F.col("top.title")).alias("title"),
         "platform", "pipeline",
         F.coalesce("failed_stage", "earliest_source").alias("failed_stage"),

@@ -79,4 +79,4 @@ def incident_documents(inv: Investigation) -> DataFrame:
 
 
 def incidents_json_sink(inv: Investigation, path: str) -> None:
-    incident_documents(inv).write.mode("errorifexists").json(path)
+    incident_documents(inv.staged()).write.mode("errorifexists").json(path)

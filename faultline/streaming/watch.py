@@ -26,7 +26,7 @@ def watch_triage(lines: DataFrame, level: str = "strict") -> DataFrame:
     """Error events with the category of their strongest signature, the earlier
     signature winning ties. Stateless."""
     matches = signature_matches(
-        F.col("message"), F.col("platform"), F.lit(None).cast(parsing.CODE_REF_TYPE))
+        "message", "platform", f"cast(null as {parsing.CODE_REF_TYPE})")
     best = F.sort_array(F.transform(matches, lambda m: F.struct(
         (-m["weight"]).alias("order"), m["sig_ord"].alias("ord"),
         m["category"].alias("category"), m["title"].alias("title"))))
