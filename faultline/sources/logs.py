@@ -95,14 +95,12 @@ def run_meta_join(logs: DataFrame, meta: DataFrame) -> DataFrame:
 def declared_baselines(runs: DataFrame) -> DataFrame:
     """Baseline runs named by sidecars: status ``success``, the metadata of the
     run that names them, no baseline of their own."""
+    kept = [c for c in runs.columns if c not in ("run_id", "status", "baseline_id")]
     return (
         runs.filter(F.col("baseline_id").isNotNull())
-        .groupBy("baseline_id").agg(F.min_by(F.struct(*runs.columns), "run_id").alias("r"))
-        .select("baseline_id", "r.*")
-        .select(F.col("baseline_id").alias("run_id"),
-                *[c for c in runs.columns if c not in ("run_id", "status", "baseline_id")])
-        .withColumn("status", F.lit("success"))
-        .withColumn("baseline_id", F.lit(None).cast("string"))
+        .groupBy("baseline_id").agg(F.min_by(F.struct(*kept), "run_id").alias("meta"))
+        .select(F.col("baseline_id").alias("run_id"), F.lit("success").alias("status"),
+                F.lit(None).cast("string").alias("baseline_id"), "meta.*")
         .select(*runs.columns)
     )
 
