@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, templates
+from .skew import one_per_key
 
 DEPENDENCY_KINDS = ("dependencies", "libraries")
 ENVIRONMENT_KINDS = ("environment", "runtime")
@@ -85,6 +86,6 @@ def new_errors(events: DataFrame, pairs: DataFrame) -> DataFrame:
         .withColumn("template", templates.normalize_template(F.col("message")))
     )
     known = messages.select(F.col("run_id").alias("baseline_id"), "template").distinct()
-    return messages.join(pairs, "run_id").join(
-        known, ["baseline_id", "template"], "left_anti"
+    return messages.join(one_per_key(pairs, "run_id"), "run_id").join(
+        one_per_key(known, "baseline_id", "template"), ["baseline_id", "template"], "left_anti"
     ).select("run_id", "seq", "message")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, parsing
 from ..functions.text import tokenize
+from .skew import one_per_key
 
 GRAM = 3
 CELL_RUNS = 4096      # rows of one side that meet in one join cell of a hot token
@@ -43,7 +44,7 @@ def first_change_per_token(tokens: DataFrame, changes: DataFrame) -> DataFrame:
                                 F.coalesce("summary", F.lit("")))).alias("text"))
     leads_in_text = (
         texts.select("ord", F.explode(_grams(F.col("text"))).alias("gram"))
-        .join(leads, "gram")
+        .join(one_per_key(leads, "gram"), "gram")
         .groupBy("ord").agg(F.collect_list(F.struct("gram", "sizes")).alias("leads"))
     )
     text = F.col("text")
@@ -136,6 +137,7 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
             F.ceil(F.col("in_runs") / CELL_RUNS).cast("int").alias("run_cells"),
             F.ceil(F.col("in_issues") / CELL_ISSUES).cast("int").alias("issue_cells"))
     )
+    known = one_per_key(known, "token")
     entry = F.struct("item", "run_cells", "issue_cells")
 
     def prefix(size: str, unknown: Column) -> Column:
@@ -143,7 +145,8 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
         return F.slice("items", F.lit(1), F.greatest(length, F.lit(0)))
 
     run_side = (
-        seeds.join(reachable, "run_id").join(known, "token")
+        seeds.join(one_per_key(reachable, "run_id"), "run_id")
+        .join(known, "token")
         .groupBy("run_id", "n_run").agg(F.sort_array(F.collect_list(entry)).alias("items"))
         .withColumn("prefix", prefix("n_run", F.col("n_run") - F.size("items")))
         .select("run_id", "n_run",

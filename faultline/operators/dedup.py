@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, templates
+from .skew import one_per_key
 
 EVENT_FIELDS = ("seq", "severity", "message", "source", "code")
 
@@ -45,7 +46,7 @@ def dedup_errors(events: DataFrame) -> DataFrame:
     where a run has nothing but cascades, its first event per template."""
     groups = template_groups(events)
     causes = groups.groupBy("run_id").agg(F.max(~F.col("cascade")).alias("has_cause"))
-    kept = groups.join(causes, "run_id").filter(~F.col("cascade") | ~F.col("has_cause"))
+    kept = groups.join(one_per_key(causes, "run_id"), "run_id").filter(~F.col("cascade") | ~F.col("has_cause"))
     return kept.select(
         "run_id", "platform", "template", "n_events", "cascade", "has_cause",
         *[F.col(f"event.{f}").alias(f) for f in EVENT_FIELDS])
