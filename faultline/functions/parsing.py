@@ -70,10 +70,9 @@ def is_error(severity: Column) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    """Text -> array of its non-blank lines, right-trimmed, in order.
+    """Text -> array of its non-blank lines in order, not yet trimmed.
 
     The position in the array is the line's ``seq``: numbering happens inside
     the row, so no window over the log is needed.
     """
-    lines = F.transform(F.split(text, r"\r?\n"), right_strip)
-    return F.filter(lines, lambda x: strip(x) != "")
+    return F.filter(F.split(text, r"\r?\n"), lambda x: strip(x) != "")

@@ -4,10 +4,9 @@ Each rule tests the text left by the previous rules, so the chain is built as
 successive projections (Catalyst keeps them in one codegen stage) rather than
 as one nested expression, which would repeat its input at every level.
 
-Regular expressions dominate the cost on logs, so every rule has a literal
-that any match must contain. It is looked up in the lower-cased original text;
-once an earlier rule has changed the text the later rules run unguarded, which
-keeps the result exact.
+Regular expressions dominate the cost on logs, so every rule has literals one of
+which any match must contain. They are looked up in the lower-cased text, which
+is lowered again only after a rule has changed it.
 """
 
 from __future__ import annotations
@@ -59,13 +58,13 @@ def redact_text(df: DataFrame, column: str, level: str = "strict", *, out: str |
     rules = active_rules(level, only)
     out = out or column
     keep = [f"`{c}`" for c in df.columns if c != out]
-    steps = [f"`{column}` as __text0", f"lower(`{column}`) as __low"]
+    steps = [f"`{column}` as __text0", f"lower(`{column}`) as __low0"]
     for i, (name, pattern, to) in enumerate(rules):
-        possible = " or ".join([f"contains(__low, {text(x)})" for x in _LITERALS[name]]
-                               + [f"__hit{j}" for j in range(i)])
+        possible = " or ".join(f"contains(__low{i}, {text(x)})" for x in _LITERALS[name])
         steps.append(f"coalesce(({possible}) and rlike(__text{i}, {text(pattern)}), false) as __hit{i}")
         steps.append(f"case when __hit{i} then regexp_replace(__text{i}, {text(pattern)}, {text(to)}) "
                      f"else __text{i} end as __text{i + 1}")
+        steps.append(f"case when __hit{i} then lower(__text{i + 1}) else __low{i} end as __low{i + 1}")
     done = [f"'text', __text{len(rules)}"]
     if hits:
         names = ", ".join(f"case when __hit{i} then {text(r[0])} end" for i, r in enumerate(rules))

@@ -17,7 +17,8 @@ DEFAULT_PLATFORM = "local"
 def text_lines(df: DataFrame, text: Column, *keys: str) -> DataFrame:
     """One log text per row -> ``keys``, seq, line. Numbered inside the row."""
     return df.select(*keys, F.posexplode(parsing.split_lines(text)).alias("pos", "line")).select(
-        *keys, F.col("pos").cast("bigint").alias("seq"), "line")
+        *keys, F.col("pos").cast("bigint").alias("seq"),
+        parsing.right_strip(F.col("line")).alias("line"))
 
 
 def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
