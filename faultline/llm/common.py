@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that a task turns into Python objects at once.
 SLICE_ROWS = 128
@@ -35,3 +36,8 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def folds(doc_id: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts
+
+
+def beside_row(rows: DataFrame, ddl: str) -> T.StructType:
+    """Schema of column ``row`` of ``rows`` followed by the columns of ``ddl``."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(ddl).fields])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import slices
+from faultline.llm.common import beside_row, slices
 
 #: Bytes of context at most.
 ORDER = 4
@@ -205,35 +205,30 @@ def train(labelled: DataFrame, order: int = ORDER, docs_per_language: int = TRAI
     return Trees(langs, counts, order)
 
 
-def predict(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, score and bits per byte of every text, beside the columns ``keep`` of ``docs``."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(trees)  # bounded by the sample: see TRAIN_DOCS, TRAIN_CHARS
-    keep = ["doc_id"] if keep is None else keep
-    carried = docs.select(*keep)
-    clash = [c for c in ("lang_pred", "score", "bits_per_byte") if c in keep]
-    if clash:
-        raise ValueError(f"columns {clash} are outputs")
+def predict(docs: DataFrame, trees: Trees) -> DataFrame:
+    """row (struct of the input's columns), lang_pred, score and bits_per_byte of every text."""
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample: see TRAIN_DOCS, TRAIN_CHARS
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
         for part in slices(batches):
-            texts = part.column(part.num_columns - 1).to_pylist()
+            texts = part.column(1).to_pylist()
             code = [t.lower().encode(errors="replace") if t and trees.langs and has_letter(t) else b"" for t in texts]
-            bits = trees.lengths(code)
             langs, scores, rate = [], [], []
-            for b, t in zip(bits, code, strict=True):
+            for b, t in zip(trees.lengths(code), code, strict=True):
                 if not t:
-                    langs.append(UND), scores.append(0.0), rate.append(None)
+                    langs.append(UND)
+                    scores.append(0.0)
+                    rate.append(None)
                     continue
                 best = int(b.argmin())
                 near = np.exp2(-(b - b[best]) * min(1.0, EVIDENCE_BYTES / len(t)))
-                langs.append(trees.langs[best]), scores.append(float(1 / near.sum())), rate.append(float(b[best] / len(t)))
+                langs.append(trees.langs[best])
+                scores.append(float(1 / near.sum()))
+                rate.append(float(b[best] / len(t)))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rate, pa.float64())],
-                names=[*[f"c{i}" for i in range(len(keep))], "lang_pred", "score", "bits_per_byte"])
+                [part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rate, pa.float64())],
+                names=["row", "lang_pred", "score", "bits_per_byte"])
 
-    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(carried.schema.fields))
-    judged = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("_t"))
-    out = judged.mapInArrow(judge, f"{kinds}, lang_pred string, score double, bits_per_byte double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "bits_per_byte")
+    return rows.mapInArrow(judge, beside_row(rows, "lang_pred string, score double, bits_per_byte double"))

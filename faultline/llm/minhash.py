@@ -95,24 +95,29 @@ def _key(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set; null if empty), bands."""
+    """doc_id, text_hash, n_shingles, key (of the set; null if empty), bands."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = shingle_sets(part.column(1).to_pylist(), words)
+            sets = shingle_sets(part.column(2).to_pylist(), words)
             some = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             if some:
                 for i, row in zip(some, _band_values([sets[i] for i in some]).view(np.int64), strict=True):
                     bands[i] = row
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_key(s) if len(s) else None for s in sets], pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "bands"])
+                names=["doc_id", "text_hash", "n_shingles", "key", "bands"])
+
+    return _rows(docs).mapInArrow(
+        sign, "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        sign, "doc_id long, n_shingles long, key binary, bands array<long>")
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
+                       F.col("text").cast("string"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -139,7 +144,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group), kept; one row per row of ``docs``."""
+    """A row per row of ``docs``: doc_id, text_hash, n_shingles, component_id (smallest doc_id of the group), kept, stays.
+
+    ``kept``: the id is its component's. ``stays``: true for one row of each group, also where ids repeat.
+    """
     signed = materialize(signatures(docs, words).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     # One class per distinct set; its first row stands for it.
     classes = signed.filter("key is not null").groupBy("key").agg(F.min("uid").alias("uid"))
@@ -203,8 +211,28 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _result(signed: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     groups = (classes.join(labels.withColumnRenamed("id", "uid"), "uid", "left")
               .select("key", F.coalesce("root", "uid").alias("root")))
-    rows = signed.select("doc_id", "n_shingles", "key", "uid").join(groups, "key", "left")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "key", "uid").join(groups, "key", "left")
     rows = rows.withColumn("root", F.coalesce("root", "uid"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    least = rows.groupBy("root").agg(F.min(order).alias("first")).select("root", "first.doc_id", "first.uid")
+    least = least.toDF("root", "component_id", "first_uid")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return rows.join(least, "root").select(
+        "doc_id", "text_hash", "n_shingles", "component_id", kept.alias("kept"),
+        (F.col("uid") == F.col("first_uid")).alias("stays"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group."""
+    groups = near_duplicates(docs, words, percent).withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    stay = (groups.groupBy("_doc", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+            .filter("stays").select("_doc", "text_hash", "rows"))
+    stay = materialize(stay, "stay")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"),
+                       F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    # The decisions are the small side: hashed, so that the texts are not sorted.
+    kept = rows.join(stay.hint("shuffle_hash"), ["_doc", "text_hash"])
+    out = kept
+    if stay.filter("rows > 1").limit(1).count():  # repeated rows: one of each
+        out = kept.filter("rows = 1").unionByName(kept.filter("rows > 1").dropDuplicates(["_doc", "text_hash"]))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, minhash, packing
+from faultline.llm import chat, langid, linededup, minhash, mixing, packing
 from faultline.llm.common import folds, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +35,31 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", "lang", (folds("doc_id", 3) == 1).alias("held_out"))
     trees = langid.train(docs.filter("not held_out"))
-    return langid.predict(docs, trees, keep=["doc_id", "held_out"])
+    judged = langid.predict(docs.select("doc_id", "held_out", "text"), trees)
+    return judged.select("row.doc_id", "row.held_out", "lang_pred", "score", "bits_per_byte")
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.drop_recurring_lines(docs)
+    return out.select("row.doc_id", "text", "n_lines", "n_dropped")
+
+
+#: Shares of the domains in the mix.
+MIX = {"good": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+@query
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document, so that expected domain tokens meet the target weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    domain = mixing.label_domain(F.col("quality"), F.col("toxic"))
+    model = mixing.train(docs, table(spark, sf_dir, "labels"), domain, mixing.DOMAINS)
+    out = mixing.mix(docs, model, MIX)
+    return out.select("row.doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)],
+                      "rate", "copies")
 
 
 @query
@@ -47,7 +71,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: four-word shingles, similarity 0.8 or more."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    groups = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE["op8_minhash_near_dedup"] = r"""
