@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, linededup, minhash, mixing, packing
+from faultline.llm import chat, langid, linededup, minhash, mixing, packing, urltrust
 from faultline.llm.common import folds, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,53 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urltrust.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+ORACLE["op1_url_trust"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, html,
+    coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(v, h, f) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+j AS (
+  SELECT p.*, (SELECT max_by(struct_pack(v := v, r := h || f), length(h || f)) FROM rules
+    WHERE (p.host = h OR p.host LIKE '%.' || h) AND starts_with(p.path, f)) AS found
+  FROM p),
+l AS (
+  SELECT host AS a, translate(regexp_extract(u, '//([^/?#]*)', 1),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS b
+  FROM (SELECT host, unnest(regexp_extract_all(html,
+    '(?i)href\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"''\s>]*)', 1)) AS u FROM p)),
+e AS (SELECT a, b, count(*) AS w FROM l WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+s AS (
+  SELECT host, avg(CASE WHEN found.v = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good,
+    avg(CASE WHEN found.v = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad
+  FROM j GROUP BY host),
+h AS (
+  SELECT host, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad
+  FROM s FULL JOIN (SELECT a AS host FROM e UNION SELECT b FROM e) USING (host)),
+f AS (
+  SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS fw, w / sum(w) OVER (PARTITION BY b) AS bw FROM e),
+r AS (
+  SELECT host, 0 AS i, 0.15 * good AS t, 0.15 * bad AS d FROM h
+  UNION ALL
+  SELECT h.host, r0.i + 1, 0.15 * h.good + 0.85 * coalesce(sum(CASE WHEN r0.host = f.a AND h.host = f.b THEN r0.t * f.fw END), 0),
+    0.15 * h.bad + 0.85 * coalesce(sum(CASE WHEN r0.host = f.b AND h.host = f.a THEN r0.d * f.bw END), 0)
+  FROM h CROSS JOIN r AS r0 LEFT JOIN f ON (r0.host = f.a AND h.host = f.b) OR (r0.host = f.b AND h.host = f.a)
+  WHERE r0.i < 20 GROUP BY h.host, h.good, h.bad, r0.i)
+SELECT page_id, j.host, path, found.r AS rule,
+  coalesce(found.v, CASE WHEN d >= 0.02 AND d > t THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN r ON r.host = j.host AND i = 20
+"""
+
+
 @query
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and digests read back from the output."""
