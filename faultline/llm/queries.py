@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, linededup, minhash, mixing, packing, urltrust
+from faultline.llm import chat, langid, linededup, minhash, mixing, packing, perplexity, urltrust
 from faultline.llm.common import folds, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ FROM j JOIN r ON r.host = j.host AND i = 20
 """
 
 
+@query
+def op2_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, perplexity and verdict of every document."""
+    return perplexity.judge_quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and digests read back from the output."""
