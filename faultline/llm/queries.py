@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, linededup, minhash, mixing, packing, perplexity, urltrust
+from faultline.llm import chat, langid, linededup, minhash, mixing, packing, perplexity, rpforest, urltrust
 from faultline.llm.common import folds, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,12 @@ def op2_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge_quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings at a cosine of 0.9 or more."""
+    return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 @query
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and digests read back from the output."""
