@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, linededup, minhash, mixing, packing, perplexity, rpforest, urltrust
+from faultline.llm import chat, langid, linededup, minhash, mixing, packing, perplexity, rpforest, toxicity, urltrust
 from faultline.llm.common import folds, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,16 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(planted)))
 
 
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (folds("doc_id", 4) == 2).alias("held_out"))
+    net = toxicity.train(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, net)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("row.doc_id", "row.held_out", "score", predicted.alias("predicted"))
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those outside the held-out fold."""
