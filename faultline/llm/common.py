@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+import os
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,25 @@ SLICE_ROWS = 128
 SLICE_BYTES = 4_000_000
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``fn(spark, ...)`` whose Python workers find this package where the driver found it.
+
+    On a cluster the package is installed, or sent with --py-files; then the
+    folder named here is merely one more that does not exist.
+    """
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        env = spark.sparkContext.environment
+        if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH")]))
+        return fn(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
