@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faultline.storage import materialize
@@ -18,8 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     after about the logarithm of the longest path.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    edges = materialize(edges, "edges")
-    before = _sum(edges)
+    edges, before = _written(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,8 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        edges = materialize(small, "edges")
-        after = _sum(edges)
+        edges, after = _written(small)
         if after == before:
             break
         before = after
@@ -38,5 +36,8 @@ def components(links: DataFrame) -> DataFrame:
             .union(roots.select("id", F.col("id").alias("root"))))
 
 
-def _sum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges in shared storage, and their number and sum of hashes, taken while they are written."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    return materialize(watched, "edges"), seen.get

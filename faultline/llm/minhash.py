@@ -7,12 +7,12 @@ that agree on a band are candidates. At a similarity of 0.8 a pair shares none
 of the 32 bands with a probability of 3 in a million.
 
 Documents with equal sets are one class from the start. Within a bucket, the
-classes are compared with a few pivots at a time, not with each other: after
-each round, what the confirmed links connect needs no further comparison, and
-the rounds (with four times the pivots each) go on until every bucket is one
-component or has had each of its members as a pivot. So no candidate that could
-change a component is skipped, and a group of thousands of copies costs about one
-comparison a copy.
+classes are compared with a few pivots first, not with each other: after each
+round, what the confirmed links connect needs no further comparison. After the
+first round, pairs are left out that cannot link, by an exact bound on the
+shingles they can share; the last round takes all pairs of a bucket that are still in
+two components and pass that bound. So no candidate that could change a component
+is skipped, and a group of thousands of copies costs about one comparison a copy.
 
 Defined results: a text without words (null, empty, blank) has an empty set and
 links with nothing; a text with fewer words than a shingle is one shingle; a
@@ -37,6 +37,10 @@ from faultline.storage import materialize
 PERMUTATIONS = 80
 BAND_ROWS = 5
 SEED = 20_240_607
+#: Cells of the hash range in which sets are counted to bound what two of them share.
+CELLS = 128
+#: Pivots of the last round before the blocks, and members of a block.
+PIVOTS, BLOCK = 8, 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,26 +166,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sizes = members.select(F.col("uid").alias("hub"), F.col("n").alias("m")).distinct()
     pairs = (members.filter("uid > hub").select("hub", "uid", "n").distinct().join(sizes, "hub").filter(fits)
              .select(F.col("hub").alias("a"), F.col("uid").alias("b")))
-    tested = materialize(pairs, "pairs")
-    links = materialize(_linked(tested, texts, words, percent), "links")
+    first = materialize(pairs, "pairs")
+    tested = first.union(first.select("b", "a"))
+    links = materialize(_linked(first, texts, words, percent), "links")
     labels = components(links)
-    # Pivots beyond the first, in buckets that are not one component yet.
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))
-    ranked = materialize(_open(members.select("bucket", "uid", "n"), labels).withColumn("rank", rank), "ranked")
-    low, high = 1, 5
-    while ranked.filter(F.col("rank") > low + 1).limit(1).count():
-        now = materialize(_open(ranked.select("bucket", "uid", "n", "rank"), labels), "open")
-        pivots = now.filter(F.col("rank").between(low + 1, high)).select(
-            "bucket", F.col("uid").alias("a"), F.col("n").alias("m"), F.col("label").alias("own"),
-            F.col("rank").alias("at"))
-        pairs = (now.join(pivots, "bucket").filter("label <> own and rank > at").filter(fits)
-                 .select("a", F.col("uid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        pairs = materialize(pairs, "pairs")
+    # Buckets that are not one component yet: the members that can still link, those with the fewest shingles of their own first.
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("n") - F.col("most"), "uid"))
+    still = _viable(_open(members.select("bucket", "uid", "n"), labels), texts, words, percent)
+    ranked = materialize(_open(still, labels).withColumn("rank", rank), "ranked")
+    rough = f"100 * least(most, most_a) >= {percent} * (n + n_a - least(most, most_a))"
+    for low, high in ((0, 1), (1, 1 + PIVOTS), (None, None)):
+        if low is None:
+            pairs = _block_pairs(ranked, percent)
+        else:
+            pivots = ranked.filter(F.col("rank").between(low + 1, high)).select(
+                "bucket", *[F.col(c).alias(f"{c}_a") for c in ("uid", "n", "most", "shared", "label", "rank")])
+            pairs = ranked.join(pivots, "bucket").filter(f"label <> label_a and rank > rank_a and {rough}")
+            pairs = pairs.select("uid_a", "uid", "n_a", "n", "shared_a", "shared").mapInArrow(_close(percent), "a long, b long")
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
-            tested = tested.union(pairs)
+            tested = tested.union(pairs.union(pairs.select("b", "a")))
             links = links.union(materialize(_linked(pairs, texts, words, percent), "links"))
             labels = components(links)
-        ranked, low, high = now, high, 4 * high
+        if low is not None:
+            ranked = materialize(_open(ranked.drop("label"), labels), "ranked")
     return _result(signed, classes, labels)
 
 
@@ -208,6 +216,102 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("bucket"), "bucket")
 
 
+def _cells(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), CELLS)
+
+
+def _close(percent: int):
+    """Of the pairs (a, b, sizes, shared cells), those whose bound reaches the similarity."""
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                part = whole.slice(at, 2_000)
+                common = np.minimum(_cells(part.column(4)), _cells(part.column(5))).sum(1).astype(np.int64)
+                size = part.column(2).to_numpy() + part.column(3).to_numpy()
+                ok = pa.array(100 * common >= percent * (size - common))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
+
+    return keep
+
+
+def _block_pairs(ranked: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of one bucket and two components whose bound reaches the similarity.
+
+    Members stand in blocks of BLOCK, those of one component side by side. Blocks
+    meet as rows, unless all of both is one component; a task compares two
+    blocks at a time and emits only pairs that pass.
+    """
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("label", "uid")) - 1
+    member = F.struct("uid", "n", "label", "shared")
+    blocks = ranked.withColumn("block", F.floor(place / BLOCK)).groupBy("bucket", "block").agg(
+        F.collect_list(member).alias("rows"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    blocks = materialize(blocks, "blocks")
+    other = blocks.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("block", "rows", "lo", "hi")])
+    met = blocks.join(other, "bucket").filter("block <= block_b and not (lo = hi and lo_b = hi_b and lo = lo_b)")
+
+    def columns(rows: pa.Array) -> tuple[np.ndarray, ...]:
+        flat = rows.flatten()
+        return (*(flat.field(k).to_numpy() for k in ("uid", "n", "label")), _cells(flat.field("shared")).astype(np.int32))
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (u, n, label, cells), (v, m, other, theirs) = (columns(batch.column(k).slice(at, 1)) for k in (0, 1))
+                a, b = [], []
+                for i in range(len(u)):
+                    common = np.minimum(cells[i], theirs).sum(1)
+                    ok = (other != label[i]) & (100 * common >= percent * (n[i] + m - common))
+                    b.append(v[ok])
+                    a.append(np.full(len(b[-1]), u[i]))
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return met.select("rows", "rows_b").mapInArrow(meet, "a long, b long")
+
+
+def _viable(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The members that can still reach the similarity with a member of their bucket, with ``shared``.
+
+    ``shared`` counts, in each of CELLS cells of the hash range, a set's shingles that
+    another of these documents has too. Two sets have at most the sum of the
+    cells' minima in common, which bounds their similarity exactly: what the
+    bound leaves out cannot link.
+    """
+    wanted = members.select("uid").distinct()
+
+    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = shingle_sets(part.column(1).to_pylist(), words)
+            size = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(size), pa.array(np.concatenate(sets).view(np.int64))],
+                                             names=["uid", "shingle"])
+
+    def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = []
+            for s, own in zip(shingle_sets(part.column(1).to_pylist(), words), part.column(2).to_pylist(), strict=True):
+                count = np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                for cell in own or ():
+                    count[cell["cell"]] -= cell["k"]
+                rows.append(count)
+            shared, most = [c.astype("<u4").tobytes() for c in rows], [int(c.sum()) for c in rows]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared, pa.binary()), pa.array(most, pa.int64())],
+                                             names=["uid", "shared", "most"])
+
+    held = texts.join(wanted, "uid").select("uid", "text")
+    alone = (held.mapInArrow(shingles, "uid long, shingle long").groupBy("shingle")
+             .agg(F.min("uid").alias("uid"), F.count("*").alias("k")).filter("k = 1"))
+    # CELLS is a power of two: the low bits of the signed number are those of the unsigned one.
+    own = alone.groupBy("uid", F.col("shingle").bitwiseAND(CELLS - 1).cast("int").alias("cell")).agg(F.count("*").alias("k"))
+    own = own.groupBy("uid").agg(F.collect_list(F.struct("cell", "k")).alias("own"))
+    counted = held.join(own, "uid", "left").mapInArrow(cells, "uid long, shared binary, most long")
+    counted = materialize(members.join(counted, "uid"), "shared")
+    least = counted.groupBy("bucket").agg(F.min("n").alias("least"))
+    best = f"100 * most >= {percent} * (greatest(least, most) + n - most)"
+    return counted.join(least, "bucket").filter(best).select("bucket", "uid", "n", "most", "shared")
+
+
 def _result(signed: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     groups = (classes.join(labels.withColumnRenamed("id", "uid"), "uid", "left")
               .select("key", F.coalesce("root", "uid").alias("root")))
