@@ -127,7 +127,7 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = lambda prefix, e: F.concat(F.lit(prefix), F.expr(e).cast("string"))
     return run_facts(spark, sf_dir).select(
-        F.expr(RUN_ID).alias("run_id"),
+        F.expr(PLATFORM).alias("platform"), F.expr(RUN_ID).alias("run_id"),
         F.explode(F.array(
             snap(0, "dependencies", "lib_a", text("1.", "min_k % 3")),
             snap(1, "libraries", "lib_b", text("2.", "max_k % 5")),

@@ -15,6 +15,7 @@ from ..plans import investigate as inv
 from ..plans import reports
 from ..sources import logs
 from ..sources import platforms as P
+from ..sources.model import RUN_KEY
 from ..storage import materialize, new_path
 from ..streaming import watch
 from . import adapters as A
@@ -74,7 +75,7 @@ def section(spark, d, name) -> DataFrame:
 
 
 def new_errors(spark, d) -> DataFrame:
-    return compare.new_errors(events(spark, d), compare.baseline_link(A.runs(spark, d)))
+    return compare.new_errors(events(spark, d), compare.baseline_link(A.runs(spark, d))).drop("platform")
 
 
 # --- sources ----------------------------------------------------------------
@@ -103,7 +104,7 @@ def meta_config_explode(spark, d):
 
 @query
 def baseline_link(spark, d):
-    return compare.baseline_link(A.runs(spark, d))
+    return compare.baseline_link(A.runs(spark, d)).drop("platform")
 
 
 _FLAT_EVENT = ["run_id", "platform", "seq", "severity", "message", "source"]
@@ -238,17 +239,17 @@ def incidents_json_sink(spark, d):
 
 @query
 def sarif_findings(spark, d):
-    return reports.sarif_findings(investigation(spark, d).hypotheses())
+    return reports.sarif_findings(investigation(spark, d).hypotheses()).drop("platform")
 
 
 @query
 def sarif_rules(spark, d):
-    return reports.sarif_rules(investigation(spark, d).hypotheses())
+    return reports.sarif_rules(investigation(spark, d).hypotheses()).drop("platform")
 
 
 @query
 def diff_report_rows(spark, d):
-    return reports.diff_report_rows(diff(spark, d), new_errors(spark, d))
+    return reports.diff_report_rows(diff(spark, d).drop("platform"), new_errors(spark, d))
 
 
 @query
@@ -393,7 +394,7 @@ def dedup_fallback(spark, d):
 
 @query
 def dedup_counters(spark, d):
-    return dedup.dedup_counters(groups(spark, d))
+    return dedup.dedup_counters(groups(spark, d)).drop("platform")
 
 
 # --- earliest failure, signatures, classification ---------------------------
@@ -431,12 +432,12 @@ def signature_token(spark, d):
 @query
 def classify_by_category(spark, d):
     return classify.classify_by_category(triage(spark, d)).withColumn(
-        "rank", F.col("rank").cast("bigint"))
+        "rank", F.col("rank").cast("bigint")).drop("platform")
 
 
 @query
 def classify_primary(spark, d):
-    return A.runs(spark, d).select("run_id").join(triage(spark, d), "run_id", "left").select(
+    return A.runs(spark, d).select(*RUN_KEY).join(triage(spark, d), RUN_KEY, "left").select(
         "run_id", F.coalesce("category", F.lit("unknown")).alias("category"),
         F.coalesce("class_score", F.lit(0.0)).alias("score"))
 
@@ -445,7 +446,7 @@ def classify_primary(spark, d):
 
 @query
 def diff_records(spark, d):
-    return diff(spark, d)
+    return diff(spark, d).drop("platform")
 
 
 for _section, _query in (("parameters", "diff_parameters"), ("dependencies", "diff_dependencies"),
@@ -459,10 +460,11 @@ QUERIES["new_errors"] = new_errors
 
 @query
 def change_correlate(spark, d):
-    tokens = materialize(triage(spark, d).filter("token is not null").select("run_id", "token"),
+    tokens = materialize(triage(spark, d).filter("token is not null").select(*RUN_KEY, "token"),
                          "tokens")
     return correlate.change_correlate(
-        tokens.join(A.runs(spark, d).select("run_id", "started_at"), "run_id"), changes(spark, d))
+        tokens.join(A.runs(spark, d).select(*RUN_KEY, "started_at"), RUN_KEY),
+        changes(spark, d)).drop("platform")
 
 
 @query
@@ -483,13 +485,13 @@ def jaccard_similarity(spark, d):
 
 @query
 def incident_seed(spark, d):
-    return correlate.seed_tokens(A.runs(spark, d), events(spark, d))
+    return correlate.seed_tokens(A.runs(spark, d), events(spark, d)).drop("platform")
 
 
 @query
 def similar_incidents(spark, d):
     return correlate.similar_incidents(
-        correlate.seed_tokens(A.runs(spark, d), events(spark, d)), issues(spark, d))
+        correlate.seed_tokens(A.runs(spark, d), events(spark, d)), issues(spark, d)).drop("platform")
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.signatures import signature_matches
+from ..sources.model import RUN_KEY
 
 
 def signature_match(meaningful: DataFrame, signatures: list[tuple] | None = None) -> DataFrame:
@@ -92,5 +93,5 @@ def triage_runs(groups: DataFrame, signatures: list[tuple] | None = None) -> Dat
 
 def classify_by_category(triage: DataFrame) -> DataFrame:
     """Ranked categories per run: weight in hundredths, match count, rank."""
-    return triage.select("run_id", F.posexplode("categories").alias("pos", "c")).select(
-        "run_id", (F.col("pos") + 1).alias("rank"), "c.category", "c.weight", "c.matches")
+    return triage.select(*RUN_KEY, F.posexplode("categories").alias("pos", "c")).select(
+        *RUN_KEY, (F.col("pos") + 1).alias("rank"), "c.category", "c.weight", "c.matches")

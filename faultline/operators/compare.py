@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, templates
+from ..sources.model import run_key
 from .skew import one_per_key
 
 DEPENDENCY_KINDS = ("dependencies", "libraries")
@@ -14,11 +15,11 @@ SECTION_ORDER = {"parameters": 1, "dependencies": 2, "configuration": 3, "enviro
 
 
 def baseline_link(runs: DataFrame) -> DataFrame:
-    """(run_id, baseline_id) where the declared baseline exists on the platform."""
+    """(platform, run_id, baseline_id) where the declared baseline exists on the platform."""
     known = runs.select(F.col("run_id").alias("baseline_id"), "platform")
     return runs.filter(F.col("baseline_id").isNotNull()).select(
         "run_id", "baseline_id", "platform"
-    ).join(known, ["baseline_id", "platform"]).select("run_id", "baseline_id")
+    ).join(known, ["baseline_id", "platform"]).select("platform", "run_id", "baseline_id")
 
 
 def run_entries(runs: DataFrame, configs: DataFrame | None) -> DataFrame:
@@ -27,12 +28,15 @@ def run_entries(runs: DataFrame, configs: DataFrame | None) -> DataFrame:
     Environment kinds appear in their own section and, prefixed with the kind,
     in ``configuration``; dependency kinds only in theirs.
     """
+    own = run_key(runs)
     parameters = runs.filter(F.col("parameters").isNotNull()).select(
-        "run_id", F.lit(0).alias("ord"), F.explode("parameters").alias("key", "value")
-    ).select("run_id", "ord", F.lit("parameters").alias("section"), "key", "value")
+        *own, F.lit(0).alias("ord"), F.explode("parameters").alias("key", "value")
+    ).select(*own, "ord", F.lit("parameters").alias("section"), "key", "value")
     if configs is None:
         return parameters
-    flat = configs.select("run_id", "ord", "kind", F.explode("values").alias("key", "value"))
+    if run_key(configs) != own:  # snapshots without a platform belong to the runs of that id
+        configs = configs.join(runs.select(*own), "run_id")
+    flat = configs.select(*own, "ord", "kind", F.explode("values").alias("key", "value"))
     dependency = F.col("kind").isin(*DEPENDENCY_KINDS)
     sections = F.array_compact(F.array(
         F.when(dependency, F.struct(F.lit("dependencies").alias("section"), F.col("key"))),
@@ -42,8 +46,8 @@ def run_entries(runs: DataFrame, configs: DataFrame | None) -> DataFrame:
             F.lit("configuration").alias("section"),
             F.concat_ws(".", F.col("kind"), F.col("key")).alias("key"))),
     ))
-    settings = flat.select("run_id", "ord", "value", F.explode(sections).alias("s")).select(
-        "run_id", "ord", "s.section", "s.key", "value")
+    settings = flat.select(*own, "ord", "value", F.explode(sections).alias("s")).select(
+        *own, "ord", "s.section", "s.key", "value")
     return parameters.unionByName(settings)
 
 
@@ -54,19 +58,21 @@ def diff_records(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     and folded by (run, section, key). The same pass lets a later snapshot
     (higher ``ord``) override an earlier one.
     """
-    after = entries.join(pairs.select("run_id"), "run_id").select(
-        "run_id", "section", "key",
+    own = run_key(entries)
+    other = [c for c in own if c != "run_id"] + ["baseline_id"]
+    after = entries.join(pairs.select(*own), own).select(
+        *own, "section", "key",
         F.col("ord").alias("after_ord"), F.col("value").alias("after_value"),
         F.lit(None).cast("int").alias("before_ord"),
         F.lit(None).cast("string").alias("before_value"))
-    before = entries.withColumnRenamed("run_id", "baseline_id").join(pairs, "baseline_id").select(
-        "run_id", "section", "key",
+    before = entries.withColumnRenamed("run_id", "baseline_id").join(pairs, other).select(
+        *own, "section", "key",
         F.lit(None).cast("int").alias("after_ord"),
         F.lit(None).cast("string").alias("after_value"),
         F.col("ord").alias("before_ord"), F.col("value").alias("before_value"))
     return (
         after.unionByName(before)
-        .groupBy("run_id", "section", "key")
+        .groupBy(*own, "section", "key")
         .agg(F.max_by("before_value", "before_ord").alias("before"),
              F.max_by("after_value", "after_ord").alias("after"))
         .filter(~F.col("before").eqNullSafe(F.col("after")))
@@ -80,12 +86,14 @@ def new_errors(events: DataFrame, pairs: DataFrame) -> DataFrame:
     is reported once at its first position. Messages are folded before their
     templates are computed and before anything is joined.
     """
+    own = run_key(events)
+    other = [c for c in own if c != "run_id"] + ["baseline_id"]
     messages = (
         events.filter(parsing.is_error(F.col("severity")))
-        .groupBy("run_id", "message").agg(F.min("seq").alias("seq"))
+        .groupBy(*own, "message").agg(F.min("seq").alias("seq"))
         .withColumn("template", templates.normalize_template(F.col("message")))
     )
-    known = messages.select(F.col("run_id").alias("baseline_id"), "template").distinct()
-    return messages.join(one_per_key(pairs, "run_id"), "run_id").join(
-        one_per_key(known, "baseline_id", "template"), ["baseline_id", "template"], "left_anti"
-    ).select("run_id", "seq", "message")
+    known = messages.withColumnRenamed("run_id", "baseline_id").select(*other, "template").distinct()
+    return messages.join(one_per_key(pairs.select(*own, "baseline_id"), *own), own).join(
+        one_per_key(known, *other, "template"), [*other, "template"], "left_anti"
+    ).select(*own, "seq", "message")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, parsing
 from ..functions.text import tokenize
+from ..sources.model import run_key
 from .skew import one_per_key
 
 GRAM = 3
@@ -67,9 +68,9 @@ def first_change_per_token(tokens: DataFrame, changes: DataFrame) -> DataFrame:
 
 def change_correlate(tokens: DataFrame, changes: DataFrame) -> DataFrame:
     """First change, in registry order, that mentions the failing token of each
-    run. Rows: run_id, token and the change; no row without a change.
+    run. Rows: run, token and the change; no row without a change.
 
-    ``tokens``: (run_id, token, started_at). ``predates`` compares the times;
+    ``tokens``: (platform, run_id, token, started_at). ``predates`` compares the times;
     it informs and never filters.
     """
     found = first_change_per_token(tokens, changes).join(
@@ -80,7 +81,7 @@ def change_correlate(tokens: DataFrame, changes: DataFrame) -> DataFrame:
     return (
         tokens.withColumn("needle", F.lower("token"))
         .join(found, "needle")
-        .select("run_id", "token", "change_id", "change_kind", "change_title",
+        .select(*run_key(tokens), "token", "change_id", "change_kind", "change_title",
                 (F.col("change_time") <= F.col("started_at")).alias("predates"))
     )
 
@@ -90,10 +91,11 @@ def change_correlate(tokens: DataFrame, changes: DataFrame) -> DataFrame:
 def seed_tokens(runs: DataFrame, events: DataFrame) -> DataFrame:
     """Distinct tokens of pipeline, failed stage and every error message of a
     run: its search text as a set, without ever assembling the text."""
-    heads = runs.select("run_id", F.explode(tokenize(
+    own = run_key(runs)
+    heads = runs.select(*own, F.explode(tokenize(
         F.concat_ws(" ", "pipeline", "failed_stage"))).alias("token"))
     bodies = events.filter(parsing.is_error(F.col("severity"))).select(
-        "run_id", F.explode(tokenize(F.col("message"))).alias("token"))
+        *own, F.explode(tokenize(F.col("message"))).alias("token"))
     return heads.unionByName(bodies).distinct()
 
 
@@ -121,7 +123,8 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
     ).filter(F.size("tokens") > 0).withColumn("n_issue", F.size("tokens"))
     issue_tokens = issue_sets.select("issue_key", "n_issue", F.explode("tokens").alias("token"))
 
-    sizes = seeds.groupBy("run_id").agg(F.count("*").cast("int").alias("n_run"))
+    own = run_key(seeds)
+    sizes = seeds.groupBy(*own).agg(F.count("*").cast("int").alias("n_run"))
     largest = issue_sets.agg(F.max("n_issue"))
     reachable = sizes.filter(_required(F.col("n_run"), min_similarity) <= largest.scalar())
 
@@ -145,16 +148,16 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
         return F.slice("items", F.lit(1), F.greatest(length, F.lit(0)))
 
     run_side = (
-        seeds.join(one_per_key(reachable, "run_id"), "run_id")
+        seeds.join(one_per_key(reachable, *own), own)
         .join(known, "token")
-        .groupBy("run_id", "n_run").agg(F.sort_array(F.collect_list(entry)).alias("items"))
+        .groupBy(*own, "n_run").agg(F.sort_array(F.collect_list(entry)).alias("items"))
         .withColumn("prefix", prefix("n_run", F.col("n_run") - F.size("items")))
-        .select("run_id", "n_run",
+        .select(*own, "n_run",
                 F.transform("items", lambda x: x["item"]).alias("run_items"),
                 F.transform("prefix", lambda x: x["item"]).alias("run_prefix"),
                 F.explode("prefix").alias("p"))
-        .select("run_id", "n_run", "run_items", "run_prefix", F.col("p.item").alias("item"),
-                F.expr("cast(pmod(xxhash64(run_id), p.run_cells) as int)").alias("row"),
+        .select(*own, "n_run", "run_items", "run_prefix", F.col("p.item").alias("item"),
+                F.expr(f"cast(pmod(xxhash64({', '.join(own)}), p.run_cells) as int)").alias("row"),
                 F.explode(F.sequence(F.lit(0), F.col("p.issue_cells") - 1)).alias("column"))
     )
     # tokens no run has cannot match and are left out of the index
@@ -175,5 +178,5 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
         .filter(F.col("item") == F.array_min(F.array_intersect("run_prefix", "issue_items")))
         .withColumn("similarity", similarity)
         .filter(F.col("similarity") >= F.lit(min_similarity))
-        .select("run_id", "issue_key", "similarity")
+        .select(*own, "issue_key", "similarity")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing, templates
+from ..sources.model import RUN_KEY, run_key
 from .skew import one_per_key
 
 EVENT_FIELDS = ("seq", "severity", "message", "source", "code")
@@ -45,8 +46,8 @@ def dedup_errors(events: DataFrame) -> DataFrame:
     """Meaningful errors: the first event per template without the cascades;
     where a run has nothing but cascades, its first event per template."""
     groups = template_groups(events)
-    causes = groups.groupBy("run_id").agg(F.max(~F.col("cascade")).alias("has_cause"))
-    kept = groups.join(one_per_key(causes, "run_id"), "run_id").filter(~F.col("cascade") | ~F.col("has_cause"))
+    causes = groups.groupBy(*RUN_KEY).agg(F.max(~F.col("cascade")).alias("has_cause"))
+    kept = groups.join(one_per_key(causes, *RUN_KEY), RUN_KEY).filter(~F.col("cascade") | ~F.col("has_cause"))
     return kept.select(
         "run_id", "platform", "template", "n_events", "cascade", "has_cause",
         *[F.col(f"event.{f}").alias(f) for f in EVENT_FIELDS])
@@ -54,13 +55,14 @@ def dedup_errors(events: DataFrame) -> DataFrame:
 
 def dedup_counters(groups: DataFrame) -> DataFrame:
     """Removed duplicates and cascades per run with errors."""
-    per_run = groups.filter(F.col("event").isNotNull()).groupBy("run_id").agg(
+    own = run_key(groups)
+    per_run = groups.filter(F.col("event").isNotNull()).groupBy(*own).agg(
         F.sum("n_events").alias("errors"),
         F.count("*").alias("templates"),
         F.count(F.when(F.col("cascade"), 1)).alias("cascades"),
     )
     return per_run.select(
-        "run_id",
+        *own,
         F.col("errors").cast("bigint").alias("errors"),
         "templates",
         (F.col("errors") - F.col("templates")).cast("bigint").alias("removed_duplicates"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing
+from ..sources.model import run_key
 
 BLOCK_ROWS = 1_000_000
 
@@ -33,12 +34,13 @@ def attach_frame(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .withColumn("__ref", parsing.parse_code_ref(message))
         .withColumn("__block", F.floor(F.col("seq") / F.lit(block_rows)))
     )
-    keys = ["run_id", "__block"]
+    own = run_key(events)
+    keys = [*own, "__block"]
     tails = lines.groupBy(*keys).agg(F.max_by(F.struct("__ref"), "seq").alias("__tail"))
     carried = (
         tails.withColumn(
             "__carry",
-            F.lag("__tail.__ref").over(Window.partitionBy("run_id").orderBy("__block")))
+            F.lag("__tail.__ref").over(Window.partitionBy(*own).orderBy("__block")))
         .filter(F.col("__carry").isNotNull())
         .select(*keys, "__carry")
     )

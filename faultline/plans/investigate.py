@@ -12,6 +12,7 @@ from ..functions.scoring import confidence_sql
 from ..functions.signatures import label_sql
 from ..functions.text import short_id, short_id_sql
 from ..operators import classify, compare, correlate, dedup
+from ..sources.model import RUN_KEY
 from ..storage import materialize
 
 DEPENDENCY_EVIDENCE = 5
@@ -21,11 +22,11 @@ ISSUE_EVIDENCE = 3
 
 @dataclass(frozen=True)
 class Investigation:
-    """Lazy result tables of one bulk investigation, all keyed by ``run_id``."""
+    """Lazy result tables of one bulk investigation, all keyed by (``platform``, ``run_id``)."""
 
     scored: DataFrame          # one row per run: everything the score rests on
-    diff: DataFrame            # run_id, section, key, before, after
-    related: DataFrame         # run_id, issue_key, similarity (all of them)
+    diff: DataFrame            # run, section, key, before, after
+    related: DataFrame         # run, issue_key, similarity (all of them)
     issues: DataFrame | None
     pairs: DataFrame
 
@@ -56,21 +57,21 @@ def score_runs(runs: DataFrame, triage: DataFrame, found: DataFrame | None,
 
     Every input has at most one row per run, so no join multiplies rows.
     """
-    changed = diff.groupBy("run_id").agg(
+    changed = diff.groupBy(*RUN_KEY).agg(
         F.expr("count_if(section = 'dependencies') as changed_dependencies"),
         F.expr("count_if(section = 'parameters') as changed_parameters"))
-    base = runs.join(triage.drop("platform"), "run_id", "left").join(changed, "run_id", "left") \
-        .join(pairs.selectExpr("run_id", "true as paired"), "run_id", "left")
+    base = runs.join(triage, RUN_KEY, "left").join(changed, RUN_KEY, "left") \
+        .join(pairs.selectExpr(*RUN_KEY, "true as paired"), RUN_KEY, "left")
     change = ["change_id", "change_kind", "change_title", "predates"]
     if found is None:
         change = [f"cast(null as {'boolean' if c == 'predates' else 'string'}) as {c}"
                   for c in change]
     else:
-        base = base.join(found.drop("token"), "run_id", "left")
+        base = base.join(found.drop("token"), RUN_KEY, "left")
     issue_count = "0L as related_issues"
     if related is not None:
-        base = base.join(related.groupBy("run_id").agg(F.expr("count(*) as n_related")),
-                         "run_id", "left")
+        base = base.join(related.groupBy(*RUN_KEY).agg(F.expr("count(*) as n_related")),
+                         RUN_KEY, "left")
         issue_count = "coalesce(n_related, 0L) as related_issues"
     counters = ["hit_count", "errors", "templates", "removed_duplicates", "removed_cascades",
                 "meaningful", "changed_dependencies", "changed_parameters"]
@@ -119,8 +120,8 @@ def investigate(runs: DataFrame, events: DataFrame, *, configs: DataFrame | None
 
     found = related = None
     if correlate_evidence and changes is not None:
-        tokens = triage.filter(F.col("token").isNotNull()).select("run_id", "token").join(
-            runs.select("run_id", "started_at"), "run_id")
+        tokens = triage.filter(F.col("token").isNotNull()).select(*RUN_KEY, "token").join(
+            runs.select(*RUN_KEY, "started_at"), RUN_KEY)
         found = correlate.change_correlate(tokens, changes)
     if search_issues:
         related = materialize(correlate.similar_incidents(
@@ -169,9 +170,9 @@ def ranked_hypotheses() -> Column:
 def build_hypotheses(scored: DataFrame) -> DataFrame:
     """One row per hypothesis."""
     return scored.select(
-        "run_id", F.posexplode(ranked_hypotheses()).alias("pos", "h"), "match_code",
+        *RUN_KEY, F.posexplode(ranked_hypotheses()).alias("pos", "h"), "match_code",
     ).select(
-        "run_id", (F.col("pos") + 1).alias("rank"), (F.col("h.ord") == 0).alias("is_primary"),
+        *RUN_KEY, (F.col("pos") + 1).alias("rank"), (F.col("h.ord") == 0).alias("is_primary"),
         "h.hypothesis_id", "h.category", "h.title", "h.rationale", "h.confidence", "h.score",
         F.when(F.col("h.ord") == 0, F.col("match_code")).alias("code"))
 
@@ -192,7 +193,7 @@ def knowledge(spark: SparkSession) -> DataFrame:
 
 def recommend(hypotheses: DataFrame) -> DataFrame:
     dim = knowledge(hypotheses.sparkSession)
-    return hypotheses.select("run_id", "rank", "category").join(F.broadcast(dim), "category")
+    return hypotheses.select(*RUN_KEY, "rank", "category").join(F.broadcast(dim), "category")
 
 
 # --- evidence ---------------------------------------------------------------
@@ -218,7 +219,7 @@ def _change_text(noun: str) -> Column:
 def _top_changes(diff: DataFrame, section: str, limit: int) -> DataFrame:
     """First keys per run. The rank filter is applied before the shuffle too
     (window group limit), so a run with very many keys ships only ``limit``."""
-    order = Window.partitionBy("run_id").orderBy(F.lower("key"), "key")
+    order = Window.partitionBy(*RUN_KEY).orderBy(F.lower("key"), "key")
     return diff.filter(F.col("section") == section).withColumn(
         "n", F.row_number().over(order)).filter(F.col("n") <= limit)
 
@@ -251,48 +252,48 @@ def evidence_from_run(scored: DataFrame) -> DataFrame:
             F.lit("No successful baseline run was supplied; cross-run comparison was skipped."),
             F.lit("e-nobaseline"))),
     ))
-    return scored.select("run_id", "category", F.explode(items).alias("e")).select(
-        "run_id", "category", "e.*")
+    return scored.select(*RUN_KEY, "category", F.explode(items).alias("e")).select(
+        *RUN_KEY, "category", "e.*")
 
 
 def evidence_from_diff(scored: DataFrame, diff: DataFrame) -> DataFrame:
-    about = scored.select("run_id", "category")
+    about = scored.select(*RUN_KEY, "category")
     deps = _top_changes(diff, "dependencies", DEPENDENCY_EVIDENCE).join(
-        about.filter(F.col("category").startswith("deps.")), "run_id")
-    params = _top_changes(diff, "parameters", PARAMETER_EVIDENCE).join(about, "run_id")
-    return deps.select("run_id", "category", _evidence(
+        about.filter(F.col("category").startswith("deps.")), RUN_KEY)
+    params = _top_changes(diff, "parameters", PARAMETER_EVIDENCE).join(about, RUN_KEY)
+    return deps.select(*RUN_KEY, "category", _evidence(
         F.col("n") + 9, "strong_correlation", _change_text("Dependency"),
         F.concat(F.lit("e-dep"), F.col("key"))).alias("e")).unionByName(
-        params.select("run_id", "category", _evidence(
+        params.select(*RUN_KEY, "category", _evidence(
             F.col("n") + 19, "inference", _change_text("Parameter"),
             F.concat(F.lit("e-param"), F.col("key"))).alias("e"))
-    ).select("run_id", "category", "e.*")
+    ).select(*RUN_KEY, "category", "e.*")
 
 
 def evidence_from_issues(scored: DataFrame, related: DataFrame, issues: DataFrame) -> DataFrame:
     """The most similar issues per run; ties keep the issue order."""
-    order = Window.partitionBy("run_id").orderBy(F.desc("similarity"), "ord")
+    order = Window.partitionBy(*RUN_KEY).orderBy(F.desc("similarity"), "ord")
     top = related.join(
         issues.select(F.col("key").alias("issue_key"), "ord", "title", "url"), "issue_key"
     ).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= ISSUE_EVIDENCE)
     percent = F.floor(F.col("similarity") * 100).cast("string")
-    return top.join(scored.select("run_id", "category"), "run_id").select(
-        "run_id", "category", _evidence(
+    return top.join(scored.select(*RUN_KEY, "category"), RUN_KEY).select(
+        *RUN_KEY, "category", _evidence(
             F.col("n") + 39, "inference",
             F.concat(F.lit("Similar prior incident "), F.col("issue_key"), F.lit(': "'),
                      F.col("title"), F.lit('" (similarity '), percent, F.lit("%).")),
             F.concat(F.lit("e-issue"), F.col("issue_key")), url=F.col("url")).alias("e")
-    ).select("run_id", "category", "e.*")
+    ).select(*RUN_KEY, "category", "e.*")
 
 
 def evidence_alternates(scored: DataFrame) -> DataFrame:
-    return scored.select("run_id", F.explode(F.expr(_SECONDS)).alias("c")).select(
-        "run_id", F.col("c.category").alias("category"), _evidence(
+    return scored.select(*RUN_KEY, F.explode(F.expr(_SECONDS)).alias("c")).select(
+        *RUN_KEY, F.col("c.category").alias("category"), _evidence(
             F.lit(0), "inference",
             F.concat(F.col("c.matches").cast("string"),
                      F.lit(" signature match(es) contributed to this category.")),
             F.concat(F.lit("e-alt"), F.col("c.category"))).alias("e")
-    ).select("run_id", "category", "e.*")
+    ).select(*RUN_KEY, "category", "e.*")
 
 
 def build_evidence(scored: DataFrame, diff: DataFrame, related: DataFrame | None,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.compare import SECTION_ORDER
+from ..sources.model import RUN_KEY, run_key
 from .investigate import Investigation
 
 NEW_ERROR_ROWS = 10
@@ -15,7 +16,7 @@ def sarif_findings(hypotheses: DataFrame) -> DataFrame:
     level = (F.when(F.col("confidence") == "high", "error")
              .when(F.col("confidence") == "medium", "warning").otherwise("note"))
     return hypotheses.select(
-        "run_id", "rank", F.col("category").alias("rule_id"), level.alias("level"),
+        *run_key(hypotheses), "rank", F.col("category").alias("rule_id"), level.alias("level"),
         F.concat("title", F.lit(" — "), "rationale").alias("text"),
         F.col("code.path").alias("uri"),
         F.when(F.col("code.line") != 0, F.col("code.line")).alias("start_line"))
@@ -23,7 +24,7 @@ def sarif_findings(hypotheses: DataFrame) -> DataFrame:
 
 def sarif_rules(hypotheses: DataFrame) -> DataFrame:
     """Distinct rules per report; the last title of a category names it."""
-    return hypotheses.groupBy("run_id", F.col("category").alias("rule_id")).agg(
+    return hypotheses.groupBy(*run_key(hypotheses), F.col("category").alias("rule_id")).agg(
         F.max_by("title", "rank").alias("name"))
 
 
@@ -32,14 +33,15 @@ def diff_report_rows(diff: DataFrame, new_errors: DataFrame) -> DataFrame:
 
     Rows sort by (run_id, section_ord, sort_key, key)."""
     order = F.create_map(*[F.lit(x) for kv in SECTION_ORDER.items() for x in kv])
+    own = run_key(diff)
     rows = diff.select(
-        "run_id", order[F.col("section")].alias("section_ord"), "section",
+        *own, order[F.col("section")].alias("section_ord"), "section",
         F.lower("key").alias("sort_key"), "key", "before", "after")
-    first = Window.partitionBy("run_id").orderBy("seq")
+    first = Window.partitionBy(*own).orderBy("seq")
     errors = (
         new_errors.withColumn("n", F.row_number().over(first))
         .filter(F.col("n") <= NEW_ERROR_ROWS)
-        .select("run_id", F.lit(len(SECTION_ORDER) + 1).alias("section_ord"),
+        .select(*own, F.lit(len(SECTION_ORDER) + 1).alias("section_ord"),
                 F.lit("new_errors").alias("section"),
                 F.lpad(F.col("n").cast("string"), 2, "0").alias("sort_key"),
                 F.col("message").alias("key"), F.lit(None).cast("string").alias("before"),
@@ -61,21 +63,21 @@ def incident_documents(inv: Investigation) -> DataFrame:
     All nested lists have fixed upper bounds (three hypotheses, at most five
     plus five plus three plus three evidence rows, four recommendations), so
     grouping them per run is safe. Unbounded lists (error stream, diff) are
-    separate datasets keyed by ``run_id``.
+    separate datasets with the same key.
     """
-    evidence = inv.evidence().groupBy("run_id", "category").agg(F.sort_array(F.collect_list(
+    evidence = inv.evidence().groupBy(*RUN_KEY, "category").agg(F.sort_array(F.collect_list(
         F.struct("ord", "evidence_id", "kind", "statement", "log_seq", "url"))).alias("evidence"))
-    steps = inv.recommendations().groupBy("run_id", "category").agg(F.sort_array(F.collect_list(
+    steps = inv.recommendations().groupBy(*RUN_KEY, "category").agg(F.sort_array(F.collect_list(
         F.struct("ord", "recommendation_id", "kind", "description", "mutates")))
         .alias("recommendations"))
     hypotheses = (
-        inv.hypotheses().join(evidence, ["run_id", "category"], "left")
-        .join(steps, ["run_id", "category"], "left")
-        .groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(
+        inv.hypotheses().join(evidence, [*RUN_KEY, "category"], "left")
+        .join(steps, [*RUN_KEY, "category"], "left")
+        .groupBy(*RUN_KEY).agg(F.sort_array(F.collect_list(F.struct(
             "rank", "hypothesis_id", "category", "title", "rationale", "confidence", "score",
             "evidence", "recommendations"))).alias("hypotheses"))
     )
-    return inv.incidents().join(hypotheses, "run_id")
+    return inv.incidents().join(hypotheses, RUN_KEY)
 
 
 def incidents_json_sink(inv: Investigation, path: str) -> None:

@@ -113,8 +113,8 @@ def meta_config_explode(runs: DataFrame) -> DataFrame:
                  F.col("dependencies").alias("values")),
         F.struct(F.lit(1).alias("ord"), F.lit("environment").alias("kind"),
                  F.col("environment").alias("values")))
-    return runs.select("run_id", F.explode(snapshots).alias("c")).select(
-        "run_id", "c.*").filter(F.col("values").isNotNull())
+    return runs.select("platform", "run_id", F.explode(snapshots).alias("c")).select(
+        "platform", "run_id", "c.*").filter(F.col("values").isNotNull())
 
 
 def scan_logs(spark: SparkSession, log_paths: list[str], meta_paths: list[str],

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What identifies a run: ids are unique within a platform only.
+RUN_KEY = ["platform", "run_id"]
+
+
+def run_key(df) -> list[str]:
+    """The key columns ``df`` has; a table of a single platform may leave that column out."""
+    return [c for c in RUN_KEY if c in df.columns]
+
+
 RUN_COLUMNS = ["run_id", "platform", "pipeline", "failed_stage", "status", "started_at",
                "finished_at", "duration_ms", "parameters", "source_ref", "baseline_id"]
 EVENT_COLUMNS = ["run_id", "platform", "seq", "timestamp", "severity", "message", "source",

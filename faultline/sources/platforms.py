@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from . import schemas
 from .logs import parse_lines, text_lines
-from .model import CHANGE_COLUMNS, EVENT_COLUMNS, event_struct, events_from_array, run_row, source_ref
+from .model import run_key, CHANGE_COLUMNS, EVENT_COLUMNS, event_struct, events_from_array, run_row, source_ref
 
 
 def _first(array: Column, field: str) -> Column:
@@ -163,8 +163,8 @@ def databricks_configs(jobs: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("ord"), F.lit("runtime").alias("kind"),
                  F.create_map(F.lit("spark_version"), F.col("cluster.spark_version"),
                               F.lit("node_type"), F.col("cluster.node_type")).alias("values")))
-    return jobs.select(F.col("run_id").cast("string").alias("run_id"),
-                       F.explode(snapshots).alias("c")).select("run_id", "c.*").filter(
+    return jobs.select(F.lit("databricks").alias("platform"), F.col("run_id").cast("string").alias("run_id"),
+                       F.explode(snapshots).alias("c")).select("platform", "run_id", "c.*").filter(
         F.col("values").isNotNull())
 
 
@@ -193,7 +193,7 @@ def snowflake_events(queries: DataFrame) -> DataFrame:
 
 def snowflake_configs(queries: DataFrame) -> DataFrame:
     return queries.select(
-        F.col("query_id").alias("run_id"), F.lit(0).alias("ord"), F.lit("query").alias("kind"),
+        F.lit("snowflake").alias("platform"), F.col("query_id").alias("run_id"), F.lit(0).alias("ord"), F.lit("query").alias("kind"),
         F.create_map(F.lit("text"), F.col("query_text"),
                      F.lit("warehouse"), F.col("warehouse_name")).alias("values"))
 
@@ -282,12 +282,14 @@ def run_get(runs: DataFrame, run_id: str) -> DataFrame:
 
 
 def runs_get(runs: DataFrame, ids: DataFrame) -> DataFrame:
-    return runs.join(ids.select("run_id").distinct(), "run_id", "left_semi")
+    own = run_key(ids)
+    return runs.join(ids.select(*own).distinct(), own, "left_semi")
 
 
 def missing_runs(runs: DataFrame, ids: DataFrame) -> DataFrame:
     """Requested ids that no source knows."""
-    return ids.select("run_id").distinct().join(runs.select("run_id"), "run_id", "left_anti")
+    own = run_key(ids)
+    return ids.select(*own).distinct().join(runs.select(*own), own, "left_anti")
 
 
 def changes_union(*sources: DataFrame) -> DataFrame:

@@ -228,3 +228,19 @@ def test_watch_counts_over_several_files(spark, tmp_path):
     once = watch.drain(watch.watch_dedup(stream, "1 hour", "10 minutes"),
                        str(tmp_path / "out2"), str(tmp_path / "cp2")).collect()
     assert [(r.seq, r.n_events) for r in once] == [(0, 60)]
+
+
+def test_equal_run_ids_of_two_platforms_stay_apart(spark):
+    runs = spark.createDataFrame(
+        [("f", "local", "b", {"p": "1"}), ("b", "local", None, {"p": "2"}),
+         ("f", "dbt", "b", {"p": "5"}), ("b", "dbt", None, {"p": "5"})],
+        "run_id string, platform string, baseline_id string, parameters map<string,string>")
+    events = spark.createDataFrame(
+        [("f", "local", 1, "error", "disk full"), ("b", "dbt", 1, "error", "disk full"),
+         ("f", "dbt", 1, "error", "disk full")],
+        "run_id string, platform string, seq long, severity string, message string")
+    pairs = compare.baseline_link(runs)
+    diff = compare.diff_records(compare.run_entries(runs, None), pairs).collect()
+    assert [(r.platform, r.run_id, r.before, r.after) for r in diff] == [("local", "f", "2", "1")]
+    new = compare.new_errors(events, pairs).collect()
+    assert [(r.platform, r.run_id, r.message) for r in new] == [("local", "f", "disk full")]
