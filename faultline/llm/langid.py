@@ -129,7 +129,7 @@ class Trees:
         empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for size in range(1, order + 2):
             each = [counts.get((lang, size), empty) for lang in langs]
-            keys = np.unique(np.concatenate([k for k, _ in each]))
+            keys = np.unique(np.concatenate([empty[0], *(k for k, _ in each)]))
             contexts = np.unique(keys >> np.uint64(8))
             escape = np.zeros((len(contexts), len(langs)), np.float64)
             totals = []
