@@ -39,7 +39,7 @@ BAND_ROWS = 5
 SEED = 20_240_607
 #: Cells of the hash range in which sets are counted to bound what two of them share.
 CELLS = 128
-#: Pivots of the last round before the blocks, and members of a block.
+#: Pivots of the round before the blocks, and members of a block.
 PIVOTS, BLOCK = 8, 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,28 +168,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
              .select(F.col("hub").alias("a"), F.col("uid").alias("b")))
     first = materialize(pairs, "pairs")
     tested = first.union(first.select("b", "a"))
-    links = materialize(_linked(first, texts, words, percent), "links")
-    labels = components(links)
+    labels = components(_linked(first, texts, words, percent))
     # Buckets that are not one component yet: the members that can still link, those with the fewest shingles of their own first.
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("n") - F.col("most"), "uid"))
-    still = _viable(_open(members.select("bucket", "uid", "n"), labels), texts, words, percent)
+    mixed = materialize(_open(members.select("bucket", "uid", "n"), labels).drop("label"), "open")
+    still = _viable(mixed, texts, words, percent)
     ranked = materialize(_open(still, labels).withColumn("rank", rank), "ranked")
     rough = f"100 * least(most, most_a) >= {percent} * (n + n_a - least(most, most_a))"
-    for low, high in ((0, 1), (1, 1 + PIVOTS), (None, None)):
-        if low is None:
+    for whole in (False, True):
+        if whole:
             pairs = _block_pairs(ranked, percent)
         else:
-            pivots = ranked.filter(F.col("rank").between(low + 1, high)).select(
+            pivots = ranked.filter(F.col("rank") <= PIVOTS).select(
                 "bucket", *[F.col(c).alias(f"{c}_a") for c in ("uid", "n", "most", "shared", "label", "rank")])
             pairs = ranked.join(pivots, "bucket").filter(f"label <> label_a and rank > rank_a and {rough}")
             pairs = pairs.select("uid_a", "uid", "n_a", "n", "shared_a", "shared").mapInArrow(_close(percent), "a long, b long")
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             tested = tested.union(pairs.union(pairs.select("b", "a")))
-            links = links.union(materialize(_linked(pairs, texts, words, percent), "links"))
-            labels = components(links)
-        if low is not None:
+            labels = components(_linked(pairs, texts, words, percent), labels)
+        if not whole:
             ranked = materialize(_open(ranked.drop("label"), labels), "ranked")
+            if not ranked.limit(1).count():
+                break
     return _result(signed, classes, labels)
 
 
