@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -62,3 +63,70 @@ def folds(doc_id: str, parts: int):
 def beside_row(rows: DataFrame, ddl: str) -> T.StructType:
     """Schema of column ``row`` of ``rows`` followed by the columns of ``ddl``."""
     return T.StructType([rows.schema["row"], *T.StructType.fromDDL(ddl).fields])
+
+
+#: Values of a list that one row of its packed form holds.
+LIST_CHUNK = 4_096
+
+
+def list_digests(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``key``, n and sha256 (lowercase hex) of the comma-joined values of each key, in ascending order.
+
+    No list is held whole: rows are sorted by ranges of (key, value), so a hot
+    key is spread over tasks; each packs its stretch into strings of LIST_CHUNK
+    values, and only these are streamed, key by key, through the digest.
+    ``key`` and ``value`` are not null, and a value occurs once per key.
+    """
+    kinds = rows.schema[key].dataType.simpleString(), rows.schema[value].dataType.simpleString()
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            text = ",".join(map(str, held))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], schema.field(0).type), pa.array([held[0]], schema.field(1).type),
+                 pa.array([len(held)], pa.int64()), pa.array([text], pa.string())], names=["key", "first", "n", "part"])
+
+        for batch in batches:
+            schema = batch.schema
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (k != now or len(held) == LIST_CHUNK):
+                    yield out()
+                    held = []
+                now = k
+                held.append(v)
+        if held:
+            yield out()
+
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, sha, kind = None, 0, None, None
+
+        def out(keys: list, counts: list, hexes: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(counts, pa.int64()), pa.array(hexes, pa.string())],
+                                              names=["key", "n", "sha256"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            keys, counts, hexes = [], [], []
+            for k, m, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if sha is None or k != now:
+                    if sha is not None:
+                        keys.append(now)
+                        counts.append(n)
+                        hexes.append(sha.hexdigest())
+                    now, n, sha = k, 0, hashlib.sha256()
+                else:
+                    sha.update(b",")
+                sha.update(text.encode())
+                n += m
+            yield out(keys, counts, hexes)
+        if sha is not None:
+            yield out([now], [n], [sha.hexdigest()])
+
+    sorted_rows = (rows.select(F.col(key).alias("key"), F.col(value).alias("value"))
+                   .repartitionByRange("key", "value").sortWithinPartitions("key", "value"))
+    packed = sorted_rows.mapInArrow(pack, f"key {kinds[0]}, first {kinds[1]}, n long, part string")
+    streamed = packed.repartition("key").sortWithinPartitions("key", "first")
+    return streamed.mapInArrow(digest, f"key {kinds[0]}, n long, sha256 string").withColumnRenamed("key", key)

@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, linededup, minhash, mixing, packing, perplexity, rpforest, toxicity, urltrust
+from faultline.llm import (
+    chat,
+    decontaminate,
+    langid,
+    linededup,
+    minhash,
+    mixing,
+    packing,
+    perplexity,
+    rpforest,
+    toxicity,
+    trie,
+    urltrust,
+    whitening,
+)
 from faultline.llm.common import folds, importable, table
+from faultline.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +177,89 @@ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(
   s.doc_id <= coalesce(m, s.doc_id) AS kept
 FROM s LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = s.doc_id
 """
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    turns = materialize(trie.numbered(table(spark, sf_dir, "conversations")), "turns")
+    keep = F.crc32(F.col("conv_id").cast("string")) % 6
+    rebuilt = trie.graft(turns, F.col("conv_id") - F.col("conv_id") % 100, keep, most=5)
+    return trie.nodes(trie.collapse(rebuilt))
+
+
+ORACLE["op11_conversation_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS b, xor(list_reduce(list_concat([4294967295],
+      flatten([[ascii(d), -1, -1, -1, -1, -1, -1, -1, -1] FOR d IN string_split(CAST(conv_id AS VARCHAR), '')])),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+g AS (
+  SELECT c.conv_id, pos, r, x FROM c JOIN t ON t.conv_id = c.b AND pos < h
+  UNION ALL SELECT c.conv_id, pos, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+l AS (
+  SELECT c.conv_id, coalesce(s, []) AS s, coalesce(n, []) AS n
+  FROM c LEFT JOIN (SELECT conv_id, list(md5(strlen(r) || ':' || r || x) ORDER BY pos) AS s, list(length(x) ORDER BY pos) AS n
+    FROM g GROUP BY conv_id) USING (conv_id)),
+p AS (
+  SELECT conv_id, array_to_string(s, '') AS whole, d, array_to_string(s[1:d], '') AS node,
+    CASE WHEN d > 0 THEN array_to_string(s[1:d - 1], '') END AS parent, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS k
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM l)),
+v AS (
+  SELECT node, min(d) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(k) AS own,
+    string_agg(CASE WHEN node = whole THEN conv_id END, ',' ORDER BY conv_id) AS ends
+  FROM p GROUP BY node),
+u AS (SELECT DISTINCT parent AS node FROM v WHERE parent IS NOT NULL),
+sub AS (SELECT DISTINCT a.node AS top, b.node FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (
+  SELECT top, sum(own) AS saved, count(*) FILTER (WHERE u.node IS NULL) AS leaves
+  FROM sub JOIN v USING (node) LEFT JOIN u USING (node) GROUP BY top),
+ch AS (SELECT parent AS node, count(*) AS children FROM v WHERE parent IS NOT NULL GROUP BY parent)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, w.conv_id AS parent_conv_id, CAST(v.n_convs AS BIGINT) AS n_convs,
+  CAST(coalesce(children, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN sums ON sums.top = v.node LEFT JOIN ch ON ch.node = v.node LEFT JOIN v AS w ON w.node = v.parent
+"""
+
+
+@query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside windows of ten benchmark words, and the items they come from."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.report()
+
+
+ORACLE["op12_decontamination"] = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+i AS (
+  SELECT DISTINCT item, least(10, len(w)) AS k,
+    array_to_string(w[a:a + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS a FROM b WHERE len(w) > 0)),
+d AS (
+  SELECT uid, a, k, array_to_string(w[a:a + k - 1], ' ') AS g
+  FROM (SELECT uid, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM w CROSS JOIN (SELECT DISTINCT k FROM i))),
+m AS (SELECT d.uid, d.a, d.k, i.item FROM d JOIN i ON d.g = i.g AND d.k = i.k),
+h AS (SELECT uid, count(DISTINCT p) AS n_hit FROM (SELECT uid, unnest(range(a, a + k)) AS p FROM m) GROUP BY uid),
+s AS (SELECT uid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT uid, item FROM m) GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (uid) LEFT JOIN s USING (uid)
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
