@@ -189,6 +189,30 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
         meta("meta.json", "shared ", kind.isin(1, 2)))
 
 
+def write_log_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The log lines as one file per run below ``path``; every tenth user's files are blank."""
+    blank = F.split("run_id", "-")[0].cast("int") % 10 == 9
+    log_lines(spark, sf_dir).select(
+        F.col("run_id").alias("run"), "seq", F.when(blank, " ").otherwise(F.concat("line", F.lit("  "))).alias("value")
+    ).repartition("run").sortWithinPartitions("run", "seq").select("run", "value").write.partitionBy("run").text(path)
+
+
+def write_dbt_files(spark: SparkSession, sf_dir: str, path: str) -> tuple[str, str]:
+    """Artifacts over several lines, many to a file: run results, and manifests with a map of nodes."""
+    def arrays(rows: DataFrame, key: str, folder: str) -> str:
+        out = f"{path}/{folder}"
+        rows.select(F.pmod(F.xxhash64(key), F.lit(8)).alias("part"), F.to_json(F.struct("*")).alias("j")).groupBy("part").agg(
+            F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list("j")), F.lit("\n]")).alias("value")
+        ).write.partitionBy("part").text(out)
+        return out
+
+    node = F.struct(F.lit(None).cast("string").alias("path"), F.col("code_path").alias("original_file_path"),
+                    F.lit("model").alias("resource_type"))
+    manifests = dbt_nodes(spark, sf_dir).select(F.create_map("unique_id", node).alias("nodes"), "unique_id")
+    results = dbt_results(spark, sf_dir).withColumn("id", F.col("metadata.invocation_id"))
+    return arrays(results, "id", "results"), arrays(manifests, "unique_id", "manifests")
+
+
 # --- platform payloads ------------------------------------------------------
 
 def dbt_results(spark: SparkSession, sf_dir: str) -> DataFrame:

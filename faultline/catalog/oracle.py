@@ -341,8 +341,9 @@ CTES["evidence_off"] = f"""
       from categories where rank in (2, 3) and least(0.6, weight / 200.0::double) >= 0.25"""
 
 
-def sql(final: str) -> str:
-    """Prepend the CTEs the query needs, in definition order."""
+def sql(final: str, **own: str) -> str:
+    """Prepend the CTEs the query needs, in definition order; ``own`` replaces some."""
+    CTES = globals()["CTES"] | own
     needed, todo = set(), [final]
     while todo:
         words = set(re.findall(r"[a-z_]+", todo.pop()))
@@ -387,6 +388,10 @@ oracle("log_lines_scan", f"""select doc_id, cast(pos - 1 as bigint) as seq, line
     select doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from (
       select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'),
              lambda x: rtrim(x, {SPACE})), lambda x: trim(x, {SPACE}) <> '') as l from documents))""")
+BLANK = "cast(split_part(run_id, '-', 1) as int) % 10 = 9"
+oracle("log_files_scan", f"""select run_id, row_number() over (partition by run_id order by seq) - 1 as seq, line
+    from lines where not {BLANK}
+    union all select distinct run_id, null, null from lines where {BLANK}""")
 oracle("run_meta_join", f"""select '/logs/' || rid || '/run.log' as run_id,
     case when src is null then 'local' else platform end as platform,
     case src when 'own' then 'own ' || cast(user_id as string) when 'shared' then 'shared ' || cast(user_id as string)
@@ -419,6 +424,7 @@ oracle("dbt_scan", """select 'inv-' || cast(p_partkey as string) as run_id, 'dbt
          when p_size % 3 = 0 then 'test.not_null_' || p_brand end as failed_stage,
     case when p_size % 4 in (0, 1) or p_size % 3 = 0 then 'failed' else 'success' end as status,
     '2024-01-01T00:00:00Z' as started_at from part""")
+ORACLE["dbt_scan_events"] = ORACLE["dbt_normalize"]
 oracle("gha_normalize", f"""select cast(o_orderkey as string) as run_id, 'github-actions' as platform,
     'data-pipeline' as pipeline, {FAIL_STEP} as failed_stage,
     case o_orderstatus when 'F' then 'failed' when 'O' then 'success' else 'unknown' end as status,
@@ -452,6 +458,11 @@ oracle("snowflake_normalize", f"""select run_id, 'snowflake' as platform, seq, s
       ' (' || cast(l_partkey as string) || ' ms)' as message, null as source, l_shipdate from lineitem
     union all select {QUERY_ID}, 1, 'error', '000904: SQL compilation error: invalid identifier ' || chr(39) || 'C' || cast(l_partkey as string) || chr(39),
       {QUERY_ID}, l_shipdate from lineitem where l_returnflag = 'R' and l_linestatus = 'F')""")
+oracle("snowflake_runs", f"""select {QUERY_ID} as run_id, 'snowflake' as platform, 'Snowflake query' as pipeline,
+    case when l_returnflag = 'R' then 'failed' else 'success' end as status, strftime(l_shipdate, '%Y-%m-%d') as started_at,
+    l_partkey as duration_ms, 'WH_' || cast(l_suppkey % 4 as string) as warehouse from lineitem""")
+oracle("snowflake_configs", f"""select {QUERY_ID} as run_id, 'query' as kind, 'text' as key, 'SELECT c' || cast(l_partkey as string) as value from lineitem
+    union all select {QUERY_ID}, 'query', 'warehouse', 'WH_' || cast(l_suppkey % 4 as string) from lineitem""")
 oracle("snowflake_changes", """select 'snowflake' as platform, id, 'schema_change' as kind, title, summary, timestamp,
     null::varchar as author from ddl""")
 oracle("mongo_normalize", f"""select run_id, 'mongodb' as platform, seq, severity, message, source from (
@@ -545,6 +556,9 @@ oracle("jaccard_similarity", f"""select a.conv_id, a.turn, {jaccard('a.t', 'b.t'
     (select conv_id, turn, {tokens('text')} as t from conversations) b on a.conv_id = b.conv_id and a.turn = b.turn + 1""")
 oracle("incident_seed", "select run_id, token from seeds")
 oracle("similar_incidents", "select run_id, issue_key, similarity from related")
+oracle("related_issues", """select * from (select r.run_id, count(*) over (partition by r.run_id) as n_related,
+    row_number() over (partition by r.run_id order by r.similarity desc, i.ord) as rank, r.issue_key, r.similarity
+    from related r join issue_rows i on i.key = r.issue_key) where rank <= 3""")
 oracle("issue_search", "select key, title, status from issue_rows where status = 'Done' and contains(lower(title), 'gear')")
 
 # hypotheses
@@ -568,6 +582,26 @@ oracle("evidence_issue", f"""select {EVIDENCE_COLS} from (
       'Similar prior incident ' || r.issue_key || ': "' || i.title || '" (similarity ' || cast(cast(floor(r.similarity * 100) as bigint) as string) || '%).' as statement,
       row_number() over (partition by r.run_id order by r.similarity desc, i.ord) as n
     from related r join issue_rows i on i.key = r.issue_key join base b on b.run_id = r.run_id) where n <= 3""")
+oracle("evidence_issue_all", """select r.run_id, 'Similar prior incident ' || r.issue_key || ': "' || i.title || '" (similarity '
+      || cast(cast(floor(r.similarity * 100) as bigint) as string) || '%).' as statement, i.url, 'jira' as ref_platform, r.issue_key as ref_id,
+    row_number() over (partition by r.run_id order by r.similarity desc, i.ord) as n
+    from related r join issue_rows i on i.key = r.issue_key""")
+oracle("evidence_references", """select run_id, 'confirmed' as kind, code_path, code_line, null::varchar as ref_platform, null::varchar as ref_id
+      from base where earliest_seq is not null and code_path is not null
+    union all select run_id, 'strong_correlation', null, null, 'snowflake', replace(change_id, 'ddl-', 'raw.') from (
+      select c.run_id, d.object as change_id from change_hits c join (select 'ddl-' || cast(p_partkey as string) as id, 'raw.' || p_brand as object from part) d
+      on d.id = c.change_id)""")
+oracle("hypotheses_all", f"""select run_id, hypothesis_id, category, title, rationale, confidence, score from (
+    select run_id, hypothesis_id, category, title, rationale, confidence, score, ord from hyp_on where ord = 0
+    union all select c.run_id, {short_id("'h-alt' || c.category")}, c.category, {label('c.category')},
+      'Secondary signal: ' || cast(c.matches as string) || ' matching signature(s) for ' || {label('c.category')} || '.',
+      {confidence('least(0.6, c.weight / 100.0::double / 2.0::double)')}, round(least(0.6, c.weight / 100.0::double / 2.0::double), 3), 1
+    from categories c where c.rank > 1 and least(0.6, c.weight / 100.0::double / 2.0::double) >= 0.25)""")
+oracle("result_json_sink", """select 'incidents' as dataset, run_id, 1::bigint as n from runs
+    union all select 'diff', run_id, count(*) from diffs group by run_id
+    union all select 'errors', run_id, count(*) from meaningful group by run_id
+    union all select 'related_issues', run_id, count(*) from related group by run_id
+    union all select 'changes', run_id, count(*) from change_hits group by run_id""")
 HYP_COLS = "run_id, hypothesis_id, category, title, rationale, confidence, score"
 oracle("hypothesis_primary", f"select {HYP_COLS} from hyp_on where ord = 0")
 oracle("hypothesis_alternates", f"select {HYP_COLS} from hyp_off where ord > 0")
@@ -582,6 +616,24 @@ oracle("category_labels", f"""select coalesce(c.category, 'unknown') as category
 # assembly
 oracle("investigate_runs", """select run_id, incident_id, title, platform, pipeline, failed_stage, category, confidence, score,
     summary, status, coalesce(array_to_string(notes, '|'), '') as notes, meaningful, related_issues, reason, token, predates from inc_on""")
+_NONE = "null::varchar as mode, null::bigint as n, null::bigint as user_id, null::bigint as wk, null::bigint as min_k, null::bigint as max_k"
+_PLATFORM_RUNS = f"""select 'github-actions/' || cast(o_orderkey as string) as run_id, 'github-actions' as platform, 'data-pipeline' as pipeline,
+      {FAIL_STEP} as failed_stage, strftime(o_orderdate, '%Y-%m-%d') as started_at from orders
+    union all select 'databricks/' || run_id, 'databricks', pipeline, failed_stage, started_at from (
+      select distinct run_id, pipeline, failed_stage, started_at from ({ORACLE["databricks_runs"]}))
+    union all select 'dbt/' || run_id, platform, pipeline, failed_stage, started_at from ({ORACLE["dbt_scan"]})"""
+_PLATFORM_EVENTS = f"""select 'github-actions/' || run_id as run_id, 'github-actions' as platform, seq, null as source, severity, message from ({ORACLE["gha_log_events"]})
+    union all select 'databricks/' || run_id, platform, seq, source, severity, message from ({ORACLE["databricks_normalize"]})
+    union all select 'dbt/' || run_id, platform, seq, source, severity, message from ({ORACLE["dbt_normalize"]})"""
+ORACLE["investigate_platforms"] = sql(
+    """select platform, substr(run_id, length(platform) + 2) as run_id, platform || ':' || substr(run_id, length(platform) + 2) as incident_key,
+    title, pipeline, failed_stage, category, confidence, score, summary, status, meaningful, related_issues, reason, token, predates from inc_on""",
+    runs=f"select *, null::varchar as baseline_id, {_NONE} from ({_PLATFORM_RUNS})",
+    parsed=f"select *, null::timestamp as ts, message as line from ({_PLATFORM_EVENTS})",
+    coded="select run_id, seq, severity, null::varchar as path, null::bigint as line, null::varchar as symbol from parsed",
+    ddl=f"""select p_partkey as ord, id, title, summary, timestamp from ({COMMITS})
+      union all select 1000000000 + p_partkey, 'ddl-' || cast(p_partkey as string), 'RENAME COLUMN col_' || cast(p_size as string), p_name,
+      '2024-01-' || lpad(cast(1 + p_partkey % 28 as string), 2, '0') || ' 00:00:00' from part""")
 oracle("incident_build", """select run_id, incident_id, title, platform, pipeline, failed_stage, category, confidence, summary
     from inc_off""")
 oracle("investigation_status", "select run_id, status, meaningful from inc_off")
@@ -594,13 +646,13 @@ oracle("watch_triage", f"""select run_id, seq, severity, message, coalesce(b.cat
     select *, list_extract(list_sort(list_transform(list_filter({signature_structs()}, lambda x: x is not null),
       lambda x: {{'o': -x.weight, 's': x.sig_ord, 'category': x.category, 'title': x.title}})), 1) as b
     from (select *, null::varchar as code_path, null::bigint as code_line from errs))""")
-oracle("watch_dedup", """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, run_id, template, min(seq) as seq, count(*) as n_events
-    from errs where date_trunc('day', ts) + interval 1 day <= (select max(ts) from errs) - interval 1 hour group by all""")
+oracle("watch_dedup", "select platform, run_id, template, any_value(severity) as severity from errs group by platform, run_id, template")
+oracle("watch_error_counts", """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, platform, run_id, template, min(seq) as seq, count(*) as n_events
+    from errs group by all""")
 oracle("watch_category_counts", f"""select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, category, count(*) as failures from (
     select ts, coalesce(list_extract(list_sort(list_transform(list_filter({signature_structs()}, lambda x: x is not null),
       lambda x: {{'o': -x.weight, 's': x.sig_ord, 'category': x.category}})), 1).category, 'unknown') as category
-    from (select *, null::varchar as code_path, null::bigint as code_line from errs))
-    where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from errs) - interval 1 hour group by all""")
+    from (select *, null::varchar as code_path, null::bigint as code_line from errs)) group by all""")
 oracle("metric_regression", f"""select pipeline, period, value, history, round(z, 6) as z_score, coalesce(abs(z) >= 1.5, false) as outlier from (
     select *, case when sd > 0 then (value - m) / sd end as z from (
     select pipeline, period, value, count(value) over w as history, avg(value) over w as m, stddev_samp(value) over w as sd

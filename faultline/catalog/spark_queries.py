@@ -15,6 +15,7 @@ from ..plans import investigate as inv
 from ..plans import reports
 from ..sources import logs
 from ..sources import platforms as P
+from ..sources import registry
 from ..sources.model import RUN_KEY
 from ..storage import materialize, new_path
 from ..streaming import watch
@@ -85,6 +86,15 @@ def log_lines_scan(spark, d):
     return logs.text_lines(A.table(spark, d, "documents"), F.col("text"), "doc_id")
 
 
+@query
+def log_files_scan(spark, d):
+    """Log files on disk, numbered; a blank file is a run without lines."""
+    path = new_path(spark, "logs")
+    A.write_log_files(spark, d, path)
+    return logs.scan_files(spark, path).select(
+        F.regexp_extract("path", "run=([^/]+)/", 1).alias("run_id"), "seq", "line")
+
+
 def _meta_runs(spark, d):
     return logs.run_meta_join(A.log_files(spark, d), A.sidecars(spark, d))
 
@@ -116,11 +126,19 @@ def dbt_normalize(spark, d):
         *_FLAT_EVENT, F.col("code.path").alias("code_path"))
 
 
+def _dbt_scanned(spark, d):
+    return P.dbt_scan(spark, *A.write_dbt_files(spark, d, new_path(spark, "dbt")))
+
+
+@query
+def dbt_scan_events(spark, d):
+    """Artifacts and manifests read from files; the manifests' nodes give the code paths."""
+    return P.dbt_events(*_dbt_scanned(spark, d)).select(*_FLAT_EVENT, F.col("code.path").alias("code_path"))
+
+
 @query
 def dbt_scan(spark, d):
-    path = new_path(spark, "run_results")
-    A.dbt_results(spark, d).write.json(path)
-    results = spark.read.schema(A.dbt_results(spark, d).schema).json(path)
+    results, _ = _dbt_scanned(spark, d)
     return P.dbt_runs(results).select(
         "run_id", "platform", "pipeline", "failed_stage", "status", "started_at")
 
@@ -136,7 +154,7 @@ def gha_normalize(spark, d):
 
 @query
 def gha_log_events(spark, d):
-    return P.gha_events(A.ci_logs(spark, d)).select(
+    return P.gha_events(A.ci_logs(spark, d), frames=False).select(
         "run_id", "seq", "severity", "message", "timestamp")
 
 
@@ -167,6 +185,19 @@ def snowflake_normalize(spark, d):
     return P.snowflake_events(A.warehouse_queries(spark, d)).select(*_FLAT_EVENT, "timestamp")
 
 
+@query
+def snowflake_runs(spark, d):
+    return P.snowflake_runs(A.warehouse_queries(spark, d)).select(
+        "run_id", "platform", "pipeline", "status", "started_at", "duration_ms",
+        F.col("source_ref.locator")["warehouse"].alias("warehouse"))
+
+
+@query
+def snowflake_configs(spark, d):
+    return P.snowflake_configs(A.warehouse_queries(spark, d)).select(
+        "run_id", "kind", F.explode("values").alias("key", "value"))
+
+
 @query
 def snowflake_changes(spark, d):
     return P.snowflake_changes(A.ddl_history(spark, d)).select(*_FLAT_CHANGE)
@@ -237,6 +268,18 @@ def incidents_json_sink(spark, d):
                     lambda a, h: a + F.size(h["recommendations"])).alias("n_recommendations"))
 
 
+@query
+def result_json_sink(spark, d):
+    """The whole result, correlation on, as JSON datasets; read back, rows by dataset and run."""
+    folders = reports.result_json_sink(investigation(spark, d), new_path(spark, "result"))
+    out = None
+    for name, folder in sorted(folders.items()):
+        rows = spark.read.schema("run_id string").json(folder).groupBy("run_id").agg(F.count("*").alias("n")).select(
+            F.lit(name).alias("dataset"), "run_id", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def sarif_findings(spark, d):
     return reports.sarif_findings(investigation(spark, d).hypotheses()).drop("platform")
@@ -249,12 +292,13 @@ def sarif_rules(spark, d):
 
 @query
 def diff_report_rows(spark, d):
+    """The report's rows: at most ten new errors a run."""
     return reports.diff_report_rows(diff(spark, d).drop("platform"), new_errors(spark, d))
 
 
 @query
 def evidence_stream(spark, d):
-    return reports.evidence_stream(dedup.dedup_errors(events(spark, d)))
+    return reports.evidence_stream(dedup.dedup_errors(events(spark, d))).drop("platform")
 
 
 # --- lines ------------------------------------------------------------------
@@ -464,7 +508,7 @@ def change_correlate(spark, d):
                          "tokens")
     return correlate.change_correlate(
         tokens.join(A.runs(spark, d).select(*RUN_KEY, "started_at"), RUN_KEY),
-        changes(spark, d)).drop("platform")
+        changes(spark, d)).drop("platform", "change_ref")
 
 
 @query
@@ -494,6 +538,15 @@ def similar_incidents(spark, d):
         correlate.seed_tokens(A.runs(spark, d), events(spark, d)), issues(spark, d)).drop("platform")
 
 
+@query
+def related_issues(spark, d):
+    """Count and the three most similar issues of each run, without building the pairs."""
+    out = correlate.related_issues(
+        correlate.seed_tokens(A.runs(spark, d), events(spark, d)), issues(spark, d))
+    return out.select("run_id", "n_related", F.explode("top").alias("t")).select(
+        "run_id", "n_related", F.col("t.rank").alias("rank"), "t.issue_key", "t.similarity")
+
+
 @query
 def issue_search(spark, d):
     return P.issue_search(issues(spark, d), status="Done", title_contains="Gear").select(
@@ -560,7 +613,31 @@ def evidence_no_baseline(spark, d):
 @query
 def evidence_issue(spark, d):
     result = investigation(spark, d, changes=None)
-    return _with_id(inv.evidence_from_issues(result.scored, result.related, result.issues))
+    return _with_id(inv.evidence_from_issues(result.scored, result.ranked_issues(), result.issues))
+
+
+@query
+def evidence_issue_all(spark, d):
+    """Every related issue of every run, ranked."""
+    result = investigation(spark, d, changes=None)
+    out = inv.evidence_from_issues(result.scored, result.ranked_issues(None), result.issues)
+    return out.select("run_id", "statement", "url", F.col("source_ref.platform").alias("ref_platform"),
+                      F.col("source_ref.native_id").alias("ref_id"), (F.col("ord") - 4_000_000_000).alias("n"))
+
+
+@query
+def evidence_references(spark, d):
+    """What evidence points at: the code of the earliest error, the change that mentions the token."""
+    out = inv.evidence_from_run(investigation(spark, d, issues=None).scored)
+    return out.filter("code is not null or source_ref is not null").select(
+        "run_id", "kind", F.col("code.path").alias("code_path"), F.col("code.line").alias("code_line"),
+        F.col("source_ref.platform").alias("ref_platform"), F.col("source_ref.native_id").alias("ref_id"))
+
+
+@query
+def hypotheses_all(spark, d):
+    """Every category of a run as a hypothesis, not the first three alone."""
+    return investigation(spark, d).hypotheses(alternates=None).select(*_FLAT_HYPOTHESIS)
 
 
 _FLAT_HYPOTHESIS = ["run_id", "hypothesis_id", "category", "title", "rationale", "confidence",
@@ -613,6 +690,20 @@ def investigate_runs(spark, d):
         "meaningful", "related_issues", "reason", "token", "predates")
 
 
+@query
+def investigate_platforms(spark, d):
+    """CI, cluster and dbt runs in one call, ids of the first two collide; changes of two platforms, issues of a third."""
+    result = registry.investigate_sources(
+        registry.ci_source(A.ci_runs(spark, d), A.ci_jobs(spark, d), A.ci_logs(spark, d), A.commits(spark, d)),
+        registry.cluster_source(A.job_runs(spark, d)),
+        registry.dbt_source(A.dbt_results(spark, d), A.dbt_nodes(spark, d)),
+        registry.Source(changes=P.snowflake_changes(A.ddl_history(spark, d))),
+        registry.issue_source(A.issue_records(spark, d)))
+    return result.incidents().select(
+        "platform", "run_id", "incident_key", "title", "pipeline", "failed_stage", "category", "confidence",
+        "score", "summary", "status", "meaningful", "related_issues", "reason", "token", "predates")
+
+
 @query
 def incident_build(spark, d):
     return offline(spark, d).incidents().select(
@@ -663,14 +754,23 @@ def watch_triage(spark, d):
 
 @query
 def watch_dedup(spark, d):
-    out = _drained(spark, watch.watch_dedup(_stream_lines(spark, d)), "watch_dedup")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "run_id",
+    """The alert stream: every repeat within the bound is one alert."""
+    out = _drained(spark, watch.watch_dedup(_stream_lines(spark, d), "60 days"), "watch_dedup")
+    return out.select("platform", "run_id", "template", "severity")
+
+
+@query
+def watch_error_counts(spark, d):
+    out = watch.drain_closed(lambda lines: watch.watch_error_counts(lines, "1 day", "1 hour"),
+                             _stream_lines(spark, d), new_path(spark, "watch_errors"), "1 day", "1 hour")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "platform", "run_id",
                       "template", "seq", "n_events")
 
 
 @query
 def watch_category_counts(spark, d):
-    out = _drained(spark, watch.watch_category_counts(_stream_lines(spark, d)), "watch_counts")
+    out = watch.drain_closed(lambda lines: watch.watch_category_counts(lines, "1 hour", "1 hour"),
+                             _stream_lines(spark, d), new_path(spark, "watch_counts"), "1 hour", "1 hour")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "category",
                       "failures")
 

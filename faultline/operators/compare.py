@@ -17,9 +17,10 @@ SECTION_ORDER = {"parameters": 1, "dependencies": 2, "configuration": 3, "enviro
 def baseline_link(runs: DataFrame) -> DataFrame:
     """(platform, run_id, baseline_id) where the declared baseline exists on the platform."""
     known = runs.select(F.col("run_id").alias("baseline_id"), "platform")
+    shared = [c for c in runs.columns if c == "shares_metadata"]
     return runs.filter(F.col("baseline_id").isNotNull()).select(
-        "run_id", "baseline_id", "platform"
-    ).join(known, ["baseline_id", "platform"]).select("platform", "run_id", "baseline_id")
+        "run_id", "baseline_id", "platform", *shared
+    ).join(known, ["baseline_id", "platform"]).select("platform", "run_id", "baseline_id", *shared)
 
 
 def run_entries(runs: DataFrame, configs: DataFrame | None) -> DataFrame:
@@ -56,8 +57,11 @@ def diff_records(entries: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A full outer comparison as one aggregate: both sides are tagged, unioned
     and folded by (run, section, key). The same pass lets a later snapshot
-    (higher ``ord``) override an earlier one.
+    (higher ``ord``) override an earlier one. A pair with ``shares_metadata`` has
+    nothing to compare.
     """
+    if "shares_metadata" in pairs.columns:
+        pairs = pairs.filter(~F.coalesce("shares_metadata", F.lit(False))).drop("shares_metadata")
     own = run_key(entries)
     other = [c for c in own if c != "run_id"] + ["baseline_id"]
     after = entries.join(pairs.select(*own), own).select(

@@ -6,61 +6,86 @@ equality joins on text pieces, both are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parsing
 from ..functions.text import tokenize
 from ..sources.model import run_key
+from ..storage import materialize
 from .skew import one_per_key
 
-GRAM = 3
+#: Lengths of the leading gram by which a token is looked up, and how many tokens may share one
+#: before the next length is used.
+GRAMS = (3, 6, 12, 24)
+HOT_GRAM = 16
+#: Characters of a text that one row indexes.
+BLOCK_CHARS = 256
 CELL_RUNS = 4096      # rows of one side that meet in one join cell of a hot token
 CELL_ISSUES = 4096
 
 
 # --- changes ----------------------------------------------------------------
 
-def _grams(text: Column) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(
-        at, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in range(1, GRAM + 1)]))))
+def _leads(wanted: DataFrame) -> DataFrame:
+    """gram, sizes: the leading gram of every needle, and the lengths of the needles behind it.
+
+    A gram shared by more than HOT_GRAM needles (they all begin ``col_``, say) gives way to
+    the next longer one that the needle has, so that a place in a text asks for few lengths.
+    """
+    length = F.length("needle")
+    levels = F.filter(F.array(*[F.lit(n) for n in GRAMS]), lambda n: n <= F.greatest(length, F.lit(GRAMS[0])))
+    grams = wanted.select("needle", F.explode(levels).alias("level")).withColumn(
+        "gram", F.substring("needle", F.lit(1), F.col("level")))
+    counts = one_per_key(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    chosen = grams.join(counts, "gram").groupBy("needle").agg(
+        F.min(F.when(F.col("n") <= HOT_GRAM, F.col("level"))).alias("rare"), F.max("level").alias("last"))
+    lead = F.substring("needle", F.lit(1), F.coalesce("rare", "last"))
+    return chosen.select(lead.alias("gram"), length.alias("size")).groupBy("gram").agg(F.collect_set("size").alias("sizes"))
+
+
+def text_blocks(texts: DataFrame, longest: Column) -> DataFrame:
+    """ord, block, part, more: the texts in blocks of BLOCK_CHARS; ``more`` is the block and what follows it, ``longest`` characters at least.
+
+    Cut in one pass over the text, so the work is linear in its length.
+    """
+    tail = F.ceil(longest / F.lit(BLOCK_CHARS)).cast("int")
+    parts = texts.select("ord", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0)).alias("parts"))
+    return parts.select("ord", tail.alias("tail"), "parts", F.posexplode("parts").alias("block", "part")).select(
+        "ord", "block", "part",
+        F.array_join(F.slice("parts", F.col("block") + 1, F.col("tail") + 1), "").alias("more"))
+
+
+def gram_index(blocks: DataFrame) -> DataFrame:
+    """ord, block, at, gram: a row for each place of a text and each gram length; short ones at every place too."""
+    places = blocks.select("ord", "block", "more", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("at"))
+    sizes = F.array(*[F.lit(n) for n in (*range(1, GRAMS[0]), *GRAMS)])
+    return places.select("ord", "block", "at", F.explode(F.array_distinct(F.transform(
+        sizes, lambda n: F.substring("more", F.col("at"), n)))).alias("gram"))
 
 
 def first_change_per_token(tokens: DataFrame, changes: DataFrame) -> DataFrame:
     """(needle, ord): the first change whose text contains each distinct token.
 
-    Substring search as an equality join: a change emits, only at the positions
-    where some token's leading gram occurs and only in the lengths such tokens
-    have, the piece of text a token would have to equal. Pieces are folded to
-    their lowest ``ord`` before the join, so it is one row against one row and a
-    gram shared by all tokens and all changes does not multiply them.
+    Substring search as equality joins over a positional gram index: a place in a text whose gram
+    leads some token is looked up once, then the pieces that such tokens would have to equal are read
+    from its block. Pieces are folded to their lowest ``ord`` before the last join, so it is one row against
+    one row and a gram shared by all tokens and all changes does not multiply them.
     """
     wanted = tokens.filter(F.col("token").isNotNull() & (F.col("token") != "")).select(
         F.lower("token").alias("needle")).distinct()
-    leads = wanted.groupBy(F.substring("needle", 1, GRAM).alias("gram")).agg(
-        F.collect_set(F.length("needle")).alias("sizes"))
+    wanted = materialize(wanted, "needles")
+    longest = F.coalesce(wanted.agg(F.max(F.length("needle"))).scalar(), F.lit(0))
     texts = changes.select(
         "ord", F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "),
                                 F.coalesce("summary", F.lit("")))).alias("text"))
-    leads_in_text = (
-        texts.select("ord", F.explode(_grams(F.col("text"))).alias("gram"))
-        .join(one_per_key(leads, "gram"), "gram")
-        .groupBy("ord").agg(F.collect_list(F.struct("gram", "sizes")).alias("leads"))
-    )
-    text = F.col("text")
-
-    def pieces_of(lead: Column) -> Column:
-        at = F.filter(
-            F.sequence(F.lit(1), F.length(text)),
-            lambda i: F.substring(text, i, F.length(lead["gram"])) == lead["gram"])
-        return F.flatten(F.transform(at, lambda i: F.transform(
-            lead["sizes"], lambda n: F.substring(text, i, n))))
-
+    blocks = materialize(text_blocks(texts, longest), "blocks")
+    led = gram_index(blocks).join(one_per_key(_leads(wanted), "gram"), "gram").select("ord", "block", "at", "sizes")
+    piece = F.substring("more", F.col("at"), F.col("size"))
     first = (
-        leads_in_text.join(texts, "ord")
-        .select("ord", F.explode(F.array_distinct(
-            F.flatten(F.transform("leads", pieces_of)))).alias("needle"))
+        led.select("ord", "block", "at", F.explode("sizes").alias("size")).distinct()
+        .join(blocks.select("ord", "block", "more"), ["ord", "block"])
+        .select("ord", piece.alias("needle"))
         .groupBy("needle").agg(F.min("ord").alias("ord"))
     )
     return wanted.join(first, "needle")
@@ -76,13 +101,15 @@ def change_correlate(tokens: DataFrame, changes: DataFrame) -> DataFrame:
     found = first_change_per_token(tokens, changes).join(
         changes.select("ord", F.col("id").alias("change_id"), F.col("kind").alias("change_kind"),
                        F.col("title").alias("change_title"),
-                       F.col("timestamp").alias("change_time")),
+                       F.col("timestamp").alias("change_time"),
+                       *[F.col(c).alias("change_ref") for c in changes.columns if c == "source_ref"]),
         "ord")
     return (
         tokens.withColumn("needle", F.lower("token"))
         .join(found, "needle")
         .select(*run_key(tokens), "token", "change_id", "change_kind", "change_title",
-                (F.col("change_time") <= F.col("started_at")).alias("predates"))
+                (F.col("change_time") <= F.col("started_at")).alias("predates"),
+                *[c for c in found.columns if c == "change_ref"])
     )
 
 
@@ -180,3 +207,87 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
         .filter(F.col("similarity") >= F.lit(min_similarity))
         .select(*own, "issue_key", "similarity")
     )
+
+
+def _ranked(seeds: DataFrame, issue_tokens: DataFrame) -> DataFrame:
+    """token, rank (a number, rising from rare to frequent), cells of both sides; tokens that both sides have."""
+    in_issues = issue_tokens.groupBy("token").agg(F.count("*").alias("in_issues"))
+    in_runs = seeds.groupBy("token").agg(F.count("*").alias("in_runs"))
+    known = in_issues.join(in_runs, "token").orderBy("in_issues", "token")  # a range partitioning: ids rise with it
+    return materialize(known.select("token", F.monotonically_increasing_id().alias("rank")), "ranks")
+
+
+def _token_sets(members: DataFrame, keys: list[str], ranks: DataFrame, size: str) -> DataFrame:
+    """``keys``, ``size``, ranks (sorted): the tokens of each member that the other side has."""
+    return members.join(one_per_key(ranks, "token"), "token").groupBy(*keys, size).agg(
+        F.sort_array(F.collect_list("rank")).alias("ranks"))
+
+
+def _classes(sets: DataFrame, size: str) -> DataFrame:
+    """The distinct sets, named by a digest."""
+    return sets.withColumn("set", F.md5(F.concat_ws(",", F.col(size).cast("string"), F.transform("ranks", lambda r: r.cast("string")))))
+
+
+def class_overlaps(run_sets: DataFrame, issue_sets: DataFrame, min_similarity: float) -> DataFrame:
+    """run_set, issue_set, similarity of the distinct sets that reach the threshold.
+
+    Each common token is a row (run_set, issue_set), counted in the map tasks; nothing but two
+    names and two sizes travels. A token in very many sets of both sides is dealt over a grid of cells, and
+    the size filter drops pairs that can't reach the threshold before they are counted.
+    """
+    left = run_sets.select(F.col("set").alias("run_set"), "n_run", F.explode("ranks").alias("rank"))
+    right = issue_sets.select(F.col("set").alias("issue_set"), "n_issue", F.explode("ranks").alias("rank"))
+    cells = left.groupBy("rank").agg(F.ceil(F.count("*") / CELL_RUNS).cast("int").alias("rows")).join(
+        right.groupBy("rank").agg(F.ceil(F.count("*") / CELL_ISSUES).cast("int").alias("columns")), "rank")
+    cells = one_per_key(cells, "rank")
+    left = left.join(cells, "rank").select(
+        "rank", "run_set", "n_run", F.pmod(F.xxhash64("run_set"), "rows").cast("int").alias("row"),
+        F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    right = right.join(cells, "rank").select(
+        "rank", "issue_set", "n_issue", F.pmod(F.xxhash64("issue_set"), "columns").cast("int").alias("column"),
+        F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
+    fits = F.least("n_run", "n_issue") >= F.greatest("n_run", "n_issue") * F.lit(min_similarity) - F.lit(1e-9)
+    common = left.join(right, ["rank", "row", "column"]).filter(fits).groupBy(
+        "run_set", "n_run", "issue_set", "n_issue").agg(F.count("*").alias("common"))
+    return common.withColumn("similarity", F.col("common") / (F.col("n_run") + F.col("n_issue") - F.col("common"))).filter(
+        F.col("similarity") >= F.lit(min_similarity)).select("run_set", "issue_set", "similarity")
+
+
+def related_issues(seeds: DataFrame, issues: DataFrame, top: int = 3,
+                   min_similarity: float = fixed.MIN_SIMILARITY) -> DataFrame:
+    """Per run with a related issue: n_related, and the ``top`` most similar as (rank, issue_key, similarity).
+
+    The pairs of ``similar_incidents`` are never built: runs with equal token sets are one, issues
+    with equal token sets are one with a count and their first ``top`` keys (by ``ord``), and only the
+    distinct sets are compared.
+    """
+    own = run_key(seeds)
+    issue_sets = issues.select(
+        F.col("key").alias("issue_key"), "ord",
+        tokenize(F.concat_ws(" ", "title", F.array_join("labels", " "))).alias("tokens"),
+    ).filter(F.size("tokens") > 0).withColumn("n_issue", F.size("tokens"))
+    issue_tokens = issue_sets.select("issue_key", "ord", "n_issue", F.explode("tokens").alias("token"))
+    sizes = seeds.groupBy(*own).agg(F.count("*").cast("int").alias("n_run"))
+    largest = issue_sets.agg(F.max("n_issue"))
+    reachable = sizes.filter(_required(F.col("n_run"), min_similarity) <= largest.scalar())
+    ranks = _ranked(seeds, issue_tokens)
+
+    runs = _classes(_token_sets(seeds.join(one_per_key(reachable, *own), own), own, ranks, "n_run"), "n_run")
+    runs = materialize(runs, "run_sets")
+    known = _classes(_token_sets(issue_tokens, ["issue_key", "ord"], ranks, "n_issue"), "n_issue")
+    # The first keys of a set: the rank filter is applied before the shuffle too.
+    place = F.row_number().over(Window.partitionBy("set").orderBy("ord", "issue_key"))
+    counted = known.groupBy("set", "n_issue").agg(F.count("*").alias("weight"), F.first("ranks").alias("ranks"))
+    heads = known.withColumn("place", place).filter(F.col("place") <= top).groupBy("set").agg(
+        F.collect_list(F.struct("ord", "issue_key")).alias("heads"))
+    issue_classes = materialize(counted.join(heads, "set"), "issue_sets")
+
+    pairs = class_overlaps(runs.groupBy("set", "n_run").agg(F.first("ranks").alias("ranks")), issue_classes, min_similarity)
+    pairs = pairs.join(issue_classes.select(F.col("set").alias("issue_set"), "weight", "heads"), "issue_set")
+    order = Window.partitionBy("run_set").orderBy(F.desc("similarity"), "ord", "issue_key")
+    best = pairs.select("run_set", "similarity", F.explode("heads").alias("h")).select("run_set", "similarity", "h.*") \
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top) \
+        .groupBy("run_set").agg(F.sort_array(F.collect_list(F.struct("rank", "issue_key", "similarity"))).alias("top"))
+    per_set = pairs.groupBy("run_set").agg(F.sum("weight").alias("n_related")).join(best, "run_set")
+    return runs.select(*own, F.col("set").alias("run_set")).join(one_per_key(per_set, "run_set"), "run_set").select(
+        *own, "n_related", "top")

@@ -12,12 +12,14 @@ from ..functions.scoring import confidence_sql
 from ..functions.signatures import label_sql
 from ..functions.text import short_id, short_id_sql
 from ..operators import classify, compare, correlate, dedup
-from ..sources.model import RUN_KEY
+from ..sources.model import RUN_KEY, SOURCE_REF_TYPE, source_ref
 from ..storage import materialize
 
+#: Rows of a kind that a hypothesis lists; ``None`` lists all of them.
 DEPENDENCY_EVIDENCE = 5
 PARAMETER_EVIDENCE = 5
 ISSUE_EVIDENCE = 3
+ALTERNATES = 2
 
 
 @dataclass(frozen=True)
@@ -26,9 +28,13 @@ class Investigation:
 
     scored: DataFrame          # one row per run: everything the score rests on
     diff: DataFrame            # run, section, key, before, after
-    related: DataFrame         # run, issue_key, similarity (all of them)
+    closest: DataFrame | None  # run, n_related, the most similar issues
     issues: DataFrame | None
     pairs: DataFrame
+    seeds: DataFrame | None = None       # run, token: the search text of each run
+    changes: DataFrame | None = None
+    errors: DataFrame | None = None      # the redacted log events
+    min_similarity: float = fixed.MIN_SIMILARITY
 
     def staged(self) -> Investigation:
         """With the scored runs and the diff written once; for callers that
@@ -36,11 +42,36 @@ class Investigation:
         return replace(self, scored=materialize(self.scored, "scored"),
                        diff=materialize(self.diff, "diff"))
 
-    def hypotheses(self) -> DataFrame:
-        return build_hypotheses(self.scored)
-
-    def evidence(self) -> DataFrame:
-        return build_evidence(self.scored, self.diff, self.related, self.issues)
+    def hypotheses(self, alternates: int | None = ALTERNATES) -> DataFrame:
+        return build_hypotheses(self.scored, alternates)
+
+    def evidence(self, dependencies: int | None = DEPENDENCY_EVIDENCE,
+                 parameters: int | None = PARAMETER_EVIDENCE,
+                 issues: int | None = ISSUE_EVIDENCE,
+                 alternates: int | None = ALTERNATES) -> DataFrame:
+        """All evidence. The limits are those of a report; without them every row is listed, ranked by ``ord``."""
+        return build_evidence(self.scored, self.diff, self.ranked_issues(issues), self.issues,
+                              dependencies, parameters, alternates)
+
+    @property
+    def related(self) -> DataFrame | None:
+        """run, issue_key, similarity: all pairs; only reports without limits need them."""
+        if self.seeds is None:
+            return None
+        return correlate.similar_incidents(self.seeds, self.issues, self.min_similarity)
+
+    def ranked_issues(self, limit: int | None = ISSUE_EVIDENCE) -> DataFrame | None:
+        """run, n (from 1), issue_key, similarity: the most similar issues of each run, or all of them."""
+        if self.closest is None:
+            return None
+        if limit is not None and limit <= ISSUE_EVIDENCE:
+            return self.closest.select(*RUN_KEY, F.explode("top").alias("t")).select(
+                *RUN_KEY, F.col("t.rank").alias("n"), "t.issue_key", "t.similarity").filter(F.col("n") <= limit)
+        pairs = self.related
+        order = Window.partitionBy(*RUN_KEY).orderBy(F.desc("similarity"), "ord", "issue_key")
+        ranked = pairs.join(self.issues.select(F.col("key").alias("issue_key"), "ord"), "issue_key") \
+            .withColumn("n", F.row_number().over(order)).drop("ord")
+        return ranked if limit is None else ranked.filter(F.col("n") <= limit)
 
     def recommendations(self) -> DataFrame:
         return recommend(self.hypotheses())
@@ -52,7 +83,7 @@ class Investigation:
 # --- scoring ----------------------------------------------------------------
 
 def score_runs(runs: DataFrame, triage: DataFrame, found: DataFrame | None,
-               diff: DataFrame, related: DataFrame | None, pairs: DataFrame) -> DataFrame:
+               diff: DataFrame, closest: DataFrame | None, pairs: DataFrame) -> DataFrame:
     """Join what is known per run and compute score and confidence.
 
     Every input has at most one row per run, so no join multiplies rows.
@@ -62,16 +93,15 @@ def score_runs(runs: DataFrame, triage: DataFrame, found: DataFrame | None,
         F.expr("count_if(section = 'parameters') as changed_parameters"))
     base = runs.join(triage, RUN_KEY, "left").join(changed, RUN_KEY, "left") \
         .join(pairs.selectExpr(*RUN_KEY, "true as paired"), RUN_KEY, "left")
-    change = ["change_id", "change_kind", "change_title", "predates"]
-    if found is None:
-        change = [f"cast(null as {'boolean' if c == 'predates' else 'string'}) as {c}"
-                  for c in change]
-    else:
+    kinds = {"change_id": "string", "change_kind": "string", "change_title": "string",
+             "predates": "boolean", "change_ref": SOURCE_REF_TYPE}
+    change = [c if found is not None and c in found.columns else f"cast(null as {kind}) as {c}"
+              for c, kind in kinds.items()]
+    if found is not None:
         base = base.join(found.drop("token"), RUN_KEY, "left")
     issue_count = "0L as related_issues"
-    if related is not None:
-        base = base.join(related.groupBy(*RUN_KEY).agg(F.expr("count(*) as n_related")),
-                         RUN_KEY, "left")
+    if closest is not None:
+        base = base.join(closest.select(*RUN_KEY, "n_related"), RUN_KEY, "left")
         issue_count = "coalesce(n_related, 0L) as related_issues"
     counters = ["hit_count", "errors", "templates", "removed_duplicates", "removed_cascades",
                 "meaningful", "changed_dependencies", "changed_parameters"]
@@ -118,16 +148,17 @@ def investigate(runs: DataFrame, events: DataFrame, *, configs: DataFrame | None
     pairs = compare.baseline_link(runs)
     diff = compare.diff_records(compare.run_entries(runs, configs), pairs)
 
-    found = related = None
+    found = closest = seeds = None
     if correlate_evidence and changes is not None:
         tokens = triage.filter(F.col("token").isNotNull()).select(*RUN_KEY, "token").join(
             runs.select(*RUN_KEY, "started_at"), RUN_KEY)
         found = correlate.change_correlate(tokens, changes)
     if search_issues:
-        related = materialize(correlate.similar_incidents(
-            correlate.seed_tokens(runs, redacted), issues, min_similarity), "related")
-    scored = score_runs(runs, triage, found, diff, related, pairs)
-    return Investigation(scored, diff, related, issues if related is not None else None, pairs)
+        seeds = materialize(correlate.seed_tokens(runs, redacted), "seeds")
+        closest = materialize(correlate.related_issues(seeds, issues, ISSUE_EVIDENCE, min_similarity), "closest")
+    scored = score_runs(runs, triage, found, diff, closest, pairs)
+    return Investigation(scored, diff, closest, issues if search_issues else None, pairs, seeds,
+                         changes if correlate_evidence else None, redacted, min_similarity)
 
 
 # --- hypotheses -------------------------------------------------------------
@@ -136,7 +167,10 @@ def _alternate_sql(weight: str) -> str:
     return f"least({fixed.ALTERNATE_CAP}D, {weight} / 100D / {fixed.ALTERNATE_DIVISOR}D)"
 
 
-_SECONDS = (f"filter(slice(categories, 2, 2), c -> {_alternate_sql('c.weight')} >= "
+def _seconds(alternates: int | None) -> str:
+    """The categories behind the first, ``alternates`` of them or all; a run has at most one per category."""
+    count = "greatest(size(categories) - 1, 0)" if alternates is None else str(int(alternates))
+    return (f"filter(slice(categories, 2, {count}), c -> {_alternate_sql('c.weight')} >= "
             f"{fixed.ALTERNATE_FLOOR}D)")
 
 
@@ -148,8 +182,8 @@ def _hypothesis_sql(ord_: str, seed: str, category: str, title: str, rationale:
             f"'score', round({score}, 3))")
 
 
-def ranked_hypotheses() -> Column:
-    """Array per scored run: the primary and up to two alternates, best first."""
+def ranked_hypotheses(alternates: int | None = ALTERNATES) -> Column:
+    """Array per scored run: the primary and its alternates, best first."""
     label, other = label_sql("category"), label_sql("c.category")
     primary = _hypothesis_sql(
         "0", "concat('h-primary', category, coalesce(token, ''))", "category",
@@ -164,13 +198,13 @@ def ranked_hypotheses() -> Column:
         f"concat('Secondary signal: ', c.matches, ' matching signature(s) for ', {other}, '.')",
         _alternate_sql("c.weight"))
     return F.expr(f"sort_array(concat(array({primary}), "
-                  f"transform(coalesce({_SECONDS}, array()), (c, i) -> {alternate})))")
+                  f"transform(coalesce({_seconds(alternates)}, array()), (c, i) -> {alternate})))")
 
 
-def build_hypotheses(scored: DataFrame) -> DataFrame:
+def build_hypotheses(scored: DataFrame, alternates: int | None = ALTERNATES) -> DataFrame:
     """One row per hypothesis."""
     return scored.select(
-        *RUN_KEY, F.posexplode(ranked_hypotheses()).alias("pos", "h"), "match_code",
+        *RUN_KEY, F.posexplode(ranked_hypotheses(alternates)).alias("pos", "h"), "match_code",
     ).select(
         *RUN_KEY, (F.col("pos") + 1).alias("rank"), (F.col("h.ord") == 0).alias("is_primary"),
         "h.hypothesis_id", "h.category", "h.title", "h.rationale", "h.confidence", "h.score",
@@ -198,15 +232,18 @@ def recommend(hypotheses: DataFrame) -> DataFrame:
 
 # --- evidence ---------------------------------------------------------------
 
-_EVIDENCE = "ord int, kind string, statement string, log_seq bigint, seed string, url string"
+#: Where each kind stands within a hypothesis.
+_DEPENDENCIES, _PARAMETERS, _BASELINE, _ISSUES = (k * 1_000_000_000 for k in range(1, 5))
 
 
-def _evidence(ord_, kind, statement, seed, log_seq=None, url=None) -> Column:
+def _evidence(ord_, kind, statement, seed, log_seq=None, url=None, code=None, ref=None) -> Column:
     return F.struct(
-        ord_.cast("int").alias("ord"), F.lit(kind).alias("kind"), statement.alias("statement"),
+        ord_.cast("bigint").alias("ord"), F.lit(kind).alias("kind"), statement.alias("statement"),
         (F.lit(None) if log_seq is None else log_seq).cast("bigint").alias("log_seq"),
         seed.alias("seed"),
-        (F.lit(None) if url is None else url).cast("string").alias("url"))
+        (F.lit(None) if url is None else url).cast("string").alias("url"),
+        (F.lit(None) if code is None else code).cast(parsing.CODE_REF_TYPE).alias("code"),
+        (F.lit(None) if ref is None else ref).cast(SOURCE_REF_TYPE).alias("source_ref"))
 
 
 def _change_text(noun: str) -> Column:
@@ -216,12 +253,12 @@ def _change_text(noun: str) -> Column:
                     F.lit(" vs. last success."))
 
 
-def _top_changes(diff: DataFrame, section: str, limit: int) -> DataFrame:
-    """First keys per run. The rank filter is applied before the shuffle too
+def _top_changes(diff: DataFrame, section: str, limit: int | None) -> DataFrame:
+    """Ranked keys per run. A limit is applied before the shuffle too
     (window group limit), so a run with very many keys ships only ``limit``."""
     order = Window.partitionBy(*RUN_KEY).orderBy(F.lower("key"), "key")
-    return diff.filter(F.col("section") == section).withColumn(
-        "n", F.row_number().over(order)).filter(F.col("n") <= limit)
+    ranked = diff.filter(F.col("section") == section).withColumn("n", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("n") <= limit)
 
 
 def evidence_from_run(scored: DataFrame) -> DataFrame:
@@ -236,19 +273,20 @@ def evidence_from_run(scored: DataFrame) -> DataFrame:
                      F.col("earliest_seq").cast("string"), F.lit("): "),
                      F.col("earliest_message")),
             F.concat(F.lit("e-earliest"), F.col("earliest_seq").cast("string")),
-            log_seq=F.col("earliest_seq"))),
+            log_seq=F.col("earliest_seq"), code=F.col("match_code"))),
         F.when(F.col("change_id").isNotNull(), _evidence(
             F.lit(1), "strong_correlation",
             F.concat(F.col("change_kind"), F.lit(' "'), F.col("change_title"),
                      F.lit('" references "'), token, F.lit('" and predates the failed run.')),
-            F.concat(F.lit("e-change"), F.col("change_id")))),
+            F.concat(F.lit("e-change"), F.col("change_id")), ref=F.col("change_ref"),
+            url=F.col("change_ref.url"))),
         F.when(F.col("change_id").isNull() & token.isNotNull(), _evidence(
             F.lit(1), "inference",
             F.concat(F.lit('Failure centers on "'), token,
                      F.lit('"; no correlated change was found in connected systems.')),
             F.concat(F.lit("e-token"), token))),
         F.when(~F.col("compared"), _evidence(
-            F.lit(30), "missing_information",
+            F.lit(_BASELINE), "missing_information",
             F.lit("No successful baseline run was supplied; cross-run comparison was skipped."),
             F.lit("e-nobaseline"))),
     ))
@@ -256,38 +294,40 @@ def evidence_from_run(scored: DataFrame) -> DataFrame:
         *RUN_KEY, "category", "e.*")
 
 
-def evidence_from_diff(scored: DataFrame, diff: DataFrame) -> DataFrame:
+def evidence_from_diff(scored: DataFrame, diff: DataFrame,
+                       dependencies: int | None = DEPENDENCY_EVIDENCE,
+                       parameters: int | None = PARAMETER_EVIDENCE) -> DataFrame:
     about = scored.select(*RUN_KEY, "category")
-    deps = _top_changes(diff, "dependencies", DEPENDENCY_EVIDENCE).join(
+    deps = _top_changes(diff, "dependencies", dependencies).join(
         about.filter(F.col("category").startswith("deps.")), RUN_KEY)
-    params = _top_changes(diff, "parameters", PARAMETER_EVIDENCE).join(about, RUN_KEY)
+    params = _top_changes(diff, "parameters", parameters).join(about, RUN_KEY)
     return deps.select(*RUN_KEY, "category", _evidence(
-        F.col("n") + 9, "strong_correlation", _change_text("Dependency"),
+        F.col("n") + _DEPENDENCIES, "strong_correlation", _change_text("Dependency"),
         F.concat(F.lit("e-dep"), F.col("key"))).alias("e")).unionByName(
         params.select(*RUN_KEY, "category", _evidence(
-            F.col("n") + 19, "inference", _change_text("Parameter"),
+            F.col("n") + _PARAMETERS, "inference", _change_text("Parameter"),
             F.concat(F.lit("e-param"), F.col("key"))).alias("e"))
     ).select(*RUN_KEY, "category", "e.*")
 
 
-def evidence_from_issues(scored: DataFrame, related: DataFrame, issues: DataFrame) -> DataFrame:
-    """The most similar issues per run; ties keep the issue order."""
-    order = Window.partitionBy(*RUN_KEY).orderBy(F.desc("similarity"), "ord")
-    top = related.join(
-        issues.select(F.col("key").alias("issue_key"), "ord", "title", "url"), "issue_key"
-    ).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= ISSUE_EVIDENCE)
+def evidence_from_issues(scored: DataFrame, ranked: DataFrame, issues: DataFrame) -> DataFrame:
+    """A line per ranked issue (``Investigation.ranked_issues``); ties keep the issue order."""
+    platform = "platform" if "platform" in issues.columns else "cast(null as string)"
+    top = ranked.join(
+        issues.select(F.col("key").alias("issue_key"), "title", "url", F.expr(platform).alias("issue_platform")), "issue_key")
     percent = F.floor(F.col("similarity") * 100).cast("string")
     return top.join(scored.select(*RUN_KEY, "category"), RUN_KEY).select(
         *RUN_KEY, "category", _evidence(
-            F.col("n") + 39, "inference",
+            F.col("n") + _ISSUES, "inference",
             F.concat(F.lit("Similar prior incident "), F.col("issue_key"), F.lit(': "'),
                      F.col("title"), F.lit('" (similarity '), percent, F.lit("%).")),
-            F.concat(F.lit("e-issue"), F.col("issue_key")), url=F.col("url")).alias("e")
+            F.concat(F.lit("e-issue"), F.col("issue_key")), url=F.col("url"),
+            ref=source_ref(F.col("issue_platform"), F.col("issue_key"), F.col("url"))).alias("e")
     ).select(*RUN_KEY, "category", "e.*")
 
 
-def evidence_alternates(scored: DataFrame) -> DataFrame:
-    return scored.select(*RUN_KEY, F.explode(F.expr(_SECONDS)).alias("c")).select(
+def evidence_alternates(scored: DataFrame, alternates: int | None = ALTERNATES) -> DataFrame:
+    return scored.select(*RUN_KEY, F.explode(F.expr(_seconds(alternates))).alias("c")).select(
         *RUN_KEY, F.col("c.category").alias("category"), _evidence(
             F.lit(0), "inference",
             F.concat(F.col("c.matches").cast("string"),
@@ -296,13 +336,15 @@ def evidence_alternates(scored: DataFrame) -> DataFrame:
     ).select(*RUN_KEY, "category", "e.*")
 
 
-def build_evidence(scored: DataFrame, diff: DataFrame, related: DataFrame | None,
-                   issues: DataFrame | None) -> DataFrame:
+def build_evidence(scored: DataFrame, diff: DataFrame, ranked: DataFrame | None,
+                   issues: DataFrame | None, dependencies: int | None = DEPENDENCY_EVIDENCE,
+                   parameters: int | None = PARAMETER_EVIDENCE,
+                   alternates: int | None = ALTERNATES) -> DataFrame:
     """All evidence, one row each, ordered by ``ord`` within a hypothesis."""
-    parts = [evidence_from_run(scored), evidence_from_diff(scored, diff),
-             evidence_alternates(scored)]
-    if related is not None and issues is not None:
-        parts.append(evidence_from_issues(scored, related, issues))
+    parts = [evidence_from_run(scored), evidence_from_diff(scored, diff, dependencies, parameters),
+             evidence_alternates(scored, alternates)]
+    if ranked is not None and issues is not None:
+        parts.append(evidence_from_issues(scored, ranked, issues))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -329,7 +371,8 @@ def notes(scored: DataFrame) -> Column:
 def build_incidents(scored: DataFrame, created_at: str | None = None) -> DataFrame:
     """One incident per run, headed by its best hypothesis.
 
-    ``created_at`` stamps the rows; the clock is not read.
+    ``created_at`` stamps the rows; the clock is not read. ``incident_id`` comes from
+    the run's id, so equal ids of two platforms share it; ``incident_key`` does not.
     """
     headed = scored.withColumn("top", ranked_hypotheses()[0])
     cause = F.when(F.col("earliest_message").isNotNull(), F.concat(
@@ -337,6 +380,7 @@ def build_incidents(scored: DataFrame, created_at: str | None = None) -> DataFra
     return headed.select(
         "run_id",
         short_id("concat('inc', run_id)").alias("incident_id"),
+        F.concat_ws(":", "platform", "run_id").alias("incident_key"),
         F.concat(F.col("pipeline"), F.lit(": "), F.col("top.title")).alias("title"),
         "platform", "pipeline",
         F.coalesce("failed_stage", "earliest_source").alias("failed_stage"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..operators.frames import attach_frame
+from ..operators.skew import one_per_key
+from ..storage import materialize
 from . import schemas
 from .model import EVENT_COLUMNS, run_row, source_ref
 
@@ -47,6 +49,19 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "path", (F.col("at") + F.col("shift")).cast("bigint").alias("seq"), "line")
 
 
+def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, length of every file below ``paths`` (files, folders or globs), empty ones too; no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(
+        F.col("_metadata.file_path").alias("path"), "length")
+
+
+def scan_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, length, seq, line of every log file; a blank file is one row without a line."""
+    lines = read_log_lines(spark, paths).withColumnRenamed("path", "file")
+    files = list_files(spark, paths)
+    return one_per_key(files, "path").join(lines, F.col("path") == F.col("file"), "left").drop("file")
+
+
 def parse_lines(lines: DataFrame, frames: bool = True) -> DataFrame:
     """Lines (run_id, platform, seq, line, source) -> log events."""
     line = F.col("line")
@@ -93,17 +108,41 @@ def run_meta_join(logs: DataFrame, meta: DataFrame) -> DataFrame:
         F.col("meta.environment").alias("environment"))
 
 
+def _plain_path(path: Column) -> Column:
+    """The path with ``folder/..`` and ``.`` steps resolved, as far as two steps up."""
+    out = F.regexp_replace(path, r"/(\./)+", "/")
+    for _ in range(2):
+        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\./", "/")
+    return out
+
+
+def link_baselines(runs: DataFrame, files: DataFrame) -> DataFrame:
+    """``runs`` whose ``baseline_id`` is a listed file, or null: a missing baseline is no baseline.
+
+    ``shares_metadata`` marks the pair: a sidecar's values describe the run and its baseline
+    alike, so such a pair differs in its log alone, whoever else names the same file.
+    """
+    known = one_per_key(files.select(F.col("path").alias("known")).distinct(), "known")
+    found = runs.withColumn("baseline_id", _plain_path(F.col("baseline_id"))).join(
+        known, F.col("baseline_id") == F.col("known"), "left")
+    return found.withColumn("baseline_id", F.col("known")).drop("known").withColumn(
+        "shares_metadata", F.col("baseline_id").isNotNull())
+
+
 def declared_baselines(runs: DataFrame) -> DataFrame:
-    """Baseline runs named by sidecars: status ``success``, the metadata of the
-    run that names them, no baseline of their own."""
-    kept = [c for c in runs.columns if c not in ("run_id", "status", "baseline_id")]
-    return (
+    """Baseline runs named by sidecars, one per platform and file: status ``success``, no metadata
+    of their own (that is the naming run's, see ``link_baselines``), no baseline."""
+    own = ("run_id", "status", "baseline_id", "parameters", "dependencies", "environment", "source_ref", "shares_metadata")
+    kept = [c for c in runs.columns if c not in (*own, "platform")]
+    named = (
         runs.filter(F.col("baseline_id").isNotNull())
-        .groupBy("baseline_id").agg(F.min_by(F.struct(*kept), "run_id").alias("meta"))
-        .select(F.col("baseline_id").alias("run_id"), F.lit("success").alias("status"),
-                F.lit(None).cast("string").alias("baseline_id"), "meta.*")
-        .select(*runs.columns)
+        .groupBy("platform", "baseline_id").agg(F.min_by(F.struct(*kept), "run_id").alias("meta"))
+        .select("platform", F.col("baseline_id").alias("run_id"), F.lit("success").alias("status"), "meta.*")
     )
+    named = named.join(one_per_key(runs.select("platform", "run_id"), "platform", "run_id"), ["platform", "run_id"], "left_anti")
+    named = named.withColumn("source_ref", source_ref(F.col("platform"), F.col("run_id"), file=F.col("run_id")))
+    return named.select(*[c if c in named.columns else F.lit(None).cast(runs.schema[c].dataType).alias(c)
+                          for c in runs.columns])
 
 
 def meta_config_explode(runs: DataFrame) -> DataFrame:
@@ -122,17 +161,20 @@ def scan_logs(spark: SparkSession, log_paths: list[str], meta_paths: list[str],
               ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, events, configs) of log files with their sidecars.
 
-    ``baseline_paths``: the files that sidecars may name as baselines.
+    ``log_paths``: the runs, one per file, blank ones too. ``baseline_paths``: files that
+    sidecars may name as baselines; they are runs only where they are named.
+    Both take files, folders or globs.
     """
-    lines = read_log_lines(spark, log_paths + (baseline_paths or []))
-    baselines = spark.createDataFrame([(p,) for p in baseline_paths or []], "file string")
-    paths = lines.select("path").distinct().join(
-        baselines, F.col("path").endswith(F.col("file")), "left_anti") \
-        if baseline_paths else lines.select("path").distinct()
-    failed = run_meta_join(paths, read_meta(spark, meta_paths))
+    files = list_files(spark, log_paths)
+    listed = files
+    if baseline_paths:
+        baselines = list_files(spark, baseline_paths)
+        files = files.join(one_per_key(baselines.select("path"), "path"), "path", "left_anti")
+        listed = listed.unionByName(baselines)
+    failed = materialize(link_baselines(run_meta_join(files.select("path"), read_meta(spark, meta_paths)), listed), "log_runs")
     runs = failed.unionByName(declared_baselines(failed))
     configs = meta_config_explode(runs)
-    events = parse_lines(
-        lines.withColumnRenamed("path", "run_id").join(
-            runs.select("run_id", "platform", F.col("failed_stage").alias("source")), "run_id"))
+    lines = read_log_lines(spark, log_paths + (baseline_paths or []))
+    stages = runs.select(F.col("run_id").alias("path"), "platform", F.col("failed_stage").alias("source"))
+    events = parse_lines(lines.join(stages, "path").withColumnRenamed("path", "run_id"))
     return runs.drop("dependencies", "environment"), events, configs

@@ -22,6 +22,9 @@ CHANGE_COLUMNS = ["ord", "id", "platform", "kind", "title", "timestamp", "author
                   "source_ref"]
 
 
+SOURCE_REF_TYPE = "struct<platform:string,native_id:string,url:string,locator:map<string,string>>"
+
+
 def source_ref(platform: Column, native_id: Column, url: Column | None = None,
                **locator: Column) -> Column:
     pairs = [x for k, v in locator.items() for x in (F.lit(k), v)]

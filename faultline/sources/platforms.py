@@ -103,11 +103,11 @@ def ci_status(conclusion: Column) -> Column:
             .otherwise("unknown"))
 
 
-def gha_events(logs: DataFrame) -> DataFrame:
+def gha_events(logs: DataFrame, frames: bool = True) -> DataFrame:
     lines = text_lines(logs, F.col("text"), "run_id").select(
         F.col("run_id").cast("string").alias("run_id"), F.lit("github-actions").alias("platform"),
         "seq", "line", F.lit(None).cast("string").alias("source"))
-    return parse_lines(lines)
+    return parse_lines(lines, frames)
 
 
 def gha_changes(commits: DataFrame) -> DataFrame:
@@ -277,8 +277,10 @@ def runs_list(runs: DataFrame, status: str = "all", pipeline: str | None = None,
     return runs
 
 
-def run_get(runs: DataFrame, run_id: str) -> DataFrame:
-    return runs.filter(F.col("run_id") == run_id)
+def run_get(runs: DataFrame, run_id: str, platform: str | None = None) -> DataFrame:
+    """The run of that id; on several platforms, of the one named."""
+    found = runs.filter(F.col("run_id") == run_id)
+    return found if platform is None else found.filter(F.col("platform") == platform)
 
 
 def runs_get(runs: DataFrame, ids: DataFrame) -> DataFrame:
