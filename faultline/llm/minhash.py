@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = reps.select(F.explode("bands").alias("bucket"), "uid", F.col("n_shingles").alias("n"))
     shared = members.groupBy("bucket").agg(F.min("uid").alias("hub"), F.max("uid").alias("last")).filter("hub < last")
     members = materialize(members.join(shared.select("bucket", "hub"), "bucket"), "buckets")
-    wanted = members.select("uid").distinct().join(signed.select("uid", "doc_id", "key"), "uid")
+    wanted = members.select("uid").distinct().join(signed.select("uid", "doc_id", "text_hash", "key"), "uid")
     texts = materialize(_texts(docs, wanted, words), "texts")
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
@@ -172,6 +172,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Buckets that are not one component yet: the members that can still link, those with the fewest shingles of their own first.
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("n") - F.col("most"), "uid"))
     mixed = materialize(_open(members.select("bucket", "uid", "n"), labels).drop("label"), "open")
+    if not mixed.limit(1).count():
+        return _result(signed, classes, labels)
     still = _viable(mixed, texts, words, percent)
     ranked = materialize(_open(still, labels).withColumn("rank", rank), "ranked")
     rough = f"100 * least(most, most_a) >= {percent} * (n + n_a - least(most, most_a))"
@@ -184,9 +186,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs = ranked.join(pivots, "bucket").filter(f"label <> label_a and rank > rank_a and {rough}")
             pairs = pairs.select("uid_a", "uid", "n_a", "n", "shared_a", "shared").mapInArrow(_close(percent), "a long, b long")
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            tested = tested.union(pairs.union(pairs.select("b", "a")))
-            labels = components(_linked(pairs, texts, words, percent), labels)
+        if not pairs.limit(1).count():
+            continue
+        tested = tested.union(pairs.union(pairs.select("b", "a")))
+        labels = components(_linked(pairs, texts, words, percent), labels)
         if not whole:
             ranked = materialize(_open(ranked.drop("label"), labels), "ranked")
             if not ranked.limit(1).count():
@@ -195,10 +198,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """uid and text of the wanted classes; of several rows with one id, the one with the class's set."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string"))
+    """uid and text of the wanted classes; of several rows with one id, the one with the class's set.
+
+    Joined by id and text, so that rows with one id (or none) meet only those of their own text.
+    """
+    rows = _rows(docs).toDF("_id", "_hash", "text")
+    same_row = rows["_id"].eqNullSafe(wanted["doc_id"]) & rows["_hash"].eqNullSafe(wanted["text_hash"])
     # The ids are the small side: hashed, so that the texts are not sorted.
-    joined = rows.join(wanted.hint("shuffle_hash"), rows["_id"].eqNullSafe(wanted["doc_id"])).select("uid", "key", "text")
+    joined = rows.join(wanted.hint("shuffle_hash"), same_row).select("uid", "key", "text")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -329,15 +336,18 @@ def _result(signed: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each near-duplicate group."""
-    groups = near_duplicates(docs, words, percent).withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    stay = (groups.groupBy("_doc", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
-            .filter("stays").select("_doc", "text_hash", "rows"))
+    # A null id is no number: a flag keeps it apart from every id there is.
+    none, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    key = ["_none", "_doc", "text_hash"]
+    groups = near_duplicates(docs, words, percent).withColumn("_none", none).withColumn("_doc", number)
+    stay = (groups.groupBy(*key).agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+            .filter("stays").select(*key, "rows"))
     stay = materialize(stay, "stay")
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"),
+    rows = docs.select(F.struct("*").alias("row"), none.alias("_none"), number.alias("_doc"),
                        F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     # The decisions are the small side: hashed, so that the texts are not sorted.
-    kept = rows.join(stay.hint("shuffle_hash"), ["_doc", "text_hash"])
+    kept = rows.join(stay.hint("shuffle_hash"), key)
     out = kept
     if stay.filter("rows > 1").limit(1).count():  # repeated rows: one of each
-        out = kept.filter("rows = 1").unionByName(kept.filter("rows > 1").dropDuplicates(["_doc", "text_hash"]))
+        out = kept.filter("rows = 1").unionByName(kept.filter("rows > 1").dropDuplicates(key))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm import components, linededup, minhash, rpforest
 from tests.llm.test_text_operators import run
@@ -157,3 +158,25 @@ def test_leaf_fold_keeps_unlike_lines_apart(share):
     lines = np.array([5, 6, 7])
     got = linededup.fold_leaf(lines, [pack(1, 2, 3, 4, 5), pack(1, 2, 3, 4, 9), pack(1, 8, 8, 8, 8)], share)
     assert got.tolist() == ([5, 5, 7] if share == 0.6 else [5, 6, 7])
+
+
+def test_minhash_many_null_and_equal_ids(spark):
+    """5,000 texts without an id, and 5,000 with one: as with ids of their own, in like time."""
+    import time
+
+    def docs(ids):
+        return spark.range(5_000).select(ids.alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.floor(F.col("id") / 5)) for k in range(12)]).alias("text"))
+
+    def timed(frame):
+        start = time.time()
+        rows = run(minhash.near_duplicates, spark, frame, 4, 80).collect()
+        return time.time() - start, rows
+
+    base, rows = timed(docs(F.col("id")))
+    assert sum(r.kept for r in rows) == 1_000
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        took, rows = timed(docs(ids))
+        assert len(rows) == 5_000 and sum(r.stays for r in rows) == 1_000 and took < 3 * base + 10
+    assert run(minhash.drop_near_duplicates, spark, docs(F.lit(None).cast("long")), 4, 80).count() == 1_000
+    odd = spark.createDataFrame([(-(1 << 63), "a b c d e f"), (None, "q r s t u v"), (None, "a b c d e f")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in run(minhash.drop_near_duplicates, spark, odd, 4, 80).collect()) == ["-9223372036854775808", "None"]
