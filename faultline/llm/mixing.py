@@ -5,11 +5,14 @@ rows, gives every document a posterior over domains. A document of t tokens
 and posterior p, taken at rate r, contributes r * t * p_k expected tokens to
 domain k. The rates solve
 
-    min over 0 <= r <= max_rate of  sum_k (sum_i r_i t_i p_ik - T_k)^2 / (2 N) + ridge / 2 * sum_i t_i (r_i - 1)^2
+    min over 0 <= r <= max_rate of  e^T G^-1 e / (2 N),  e_k = sum_i r_i t_i p_ik - T_k
 
-(N: all tokens) by accelerated projected gradient steps. A step needs one sum
-per domain over all documents, which Spark gathers; a rate is a fold over the
-steps' residuals, so no step rewrites the documents and lineage stays flat.
+(N: all tokens; G: the domains' second moments, sum_i t_i p_i p_i^T / N) by scaled projected gradient steps from r = 1:
+r <- clip(r - a p^T H^-1 e / N), H the second moments of the documents that a step can still move. So a step meets
+the targets at once as long as no rate meets a bound, and reachable targets are met within TOLERANCE. A step takes
+two sums over all documents, which Spark gathers: H, and e for several lengths a at a time, of which the best is taken; a rate is
+a fold over the few steps, so no step rewrites the documents and lineage stays flat.
+Targets out of reach are approached until a step brings less than LEAST_GAIN.
 
 ``copies`` turns a rate into whole copies: its integer part, plus one where a
 hash of the document falls below the rest.
@@ -40,8 +43,8 @@ TRAIN_DOCS = 4_000
 TRAIN_CHARS = 20_000
 WORD_SLOTS = 2_048
 KNOWN_WORDS = 400_000
-#: Steps of the solver at most, and the relative residual change at which it stops.
-STEPS, TOLERANCE, RIDGE = 60, 1e-4, 1e-3
+#: Steps of the solver at most; the error, relative to each target, at which it stops; the least relative gain of a step; its lengths.
+STEPS, TOLERANCE, LEAST_GAIN, LENGTHS = 20, 1e-4, 0.01, (1.0, 0.5, 0.25, 0.125)
 
 #: Domains of the `labels` table.
 DOMAINS = ("good", "low", "toxic")
@@ -139,10 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str
     return fit(list(zip(rows["text"].to_pylist(), rows["domain"].to_pylist(), strict=True)), domains)
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """row (struct of the input's columns), tokens, p (posterior over the domains) of every whole text."""
+def memberships(docs: DataFrame, model: Classifier, keep: list[str] | None = None) -> DataFrame:
+    """row (struct of the input's columns, or of those to ``keep``), tokens, p (posterior over the domains) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # WORD_SLOTS rows
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("string").alias("text"))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, model = Features(), sent.value
@@ -162,76 +165,98 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.mapInArrow(score, beside_row(rows, "tokens long, p array<double>"))
 
 
-def _fold(t: np.ndarray, p: np.ndarray, steps: list[np.ndarray], max_rate: float, ridge: float) -> np.ndarray:
-    """The extrapolated rates after ``steps`` (each the residuals a gradient step used) - and the plain ones."""
-    rate = np.ones(len(t))
-    ahead = rate
-    for k, residual in enumerate(steps):
-        new = np.clip(ahead - (p @ residual + ridge * (ahead - 1)) / (1 + ridge), 0, max_rate)
-        ahead = new + k / (k + 3) * (new - rate)
-        rate = new
-    return np.stack([ahead, rate], 1)
+def rates(p: np.ndarray, steps: list[np.ndarray], max_rate: float) -> np.ndarray:
+    """The rates after ``steps``."""
+    rate = np.ones(len(p))
+    for step in steps:
+        rate = np.clip(rate - p @ step, 0, max_rate)
+    return rate
 
 
-def solve(table: DataFrame, targets: np.ndarray, max_rate: float, ridge: float = RIDGE,
-          steps: int = STEPS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
-    """The residuals of the projected-gradient steps; ``table``: tokens, p."""
+def solve(table: DataFrame, targets: np.ndarray, max_rate: float, steps: int = STEPS,
+          tolerance: float = TOLERANCE) -> list[np.ndarray]:
+    """The steps of the scaled projected gradient; ``table``: tokens, p."""
     domains = len(targets)
 
-    def sums(taken: list[np.ndarray]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def gather(fn: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        """The sum over all documents of what ``fn`` gives for a batch (tokens, p)."""
         def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, domains))
+            total = np.zeros(size)
             for batch in batches:
                 t = batch.column(0).to_numpy().astype(float)
-                p = batch.column(1).flatten().to_numpy().reshape(len(t), domains)
-                total += (_fold(t, p, taken, max_rate, ridge) * t[:, None]).T @ p
-            yield pa.RecordBatch.from_arrays([pa.array(total[0:1].tolist()), pa.array(total[1:2].tolist())],
-                                             names=["ahead", "now"])
-        return add
-
-    def gather(taken: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        part = table.select("tokens", "p").mapInArrow(sums(taken), "ahead array<double>, now array<double>")
-        row = part.agg(*[F.sum(F.col(c)[k]).alias(f"{c}{k}") for c in ("ahead", "now") for k in range(domains)]).first()
-        values = np.array([v or 0.0 for v in row], float)
-        return values[:domains], values[domains:]
-
-    total = table.agg(F.sum("tokens")).first()[0] or 0
+                total += fn(t, batch.column(1).flatten().to_numpy().reshape(len(t), domains)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["total"])
+
+        part = table.select("tokens", "p").mapInArrow(add, "total array<double>")
+        row = part.agg(*[F.sum(F.col("total")[k]).alias(f"s{k}") for k in range(size)]).first()
+        return np.array([v or 0.0 for v in row], float)
+
+    def moments(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return (p * t[:, None]).T @ p
+
+    def scaled(matrix: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """matrix^-1 e; a direction without any mass does not move."""
+        w, v = np.linalg.eigh(matrix)
+        top = w.max(initial=0.0)
+        return v @ np.where(w > 1e-9 * top, (v.T @ e) / np.maximum(w, 1e-9 * top + 1e-300), 0.0)
+
+    got = gather(lambda t, p: np.concatenate([t @ p, moments(t, p).ravel()]), domains + domains**2)
+    e, gram = got[:domains] - targets, got[domains:].reshape(domains, domains)
+    if not got[:domains].sum():
+        return []
+    least = tolerance * np.maximum(np.abs(targets), 1e-6 * got[:domains].sum())
     taken: list[np.ndarray] = []
-    before = None
-    for _ in range(steps if total else 0):
-        ahead, now = gather(taken)
-        if before is not None and np.abs(now - before).max() <= tolerance * total / 100:
+    for _ in range(steps):
+        if (np.abs(e) <= least).all():
             break
-        before = now
-        taken.append((ahead - targets) / total)
+        far = e @ scaled(gram, e)
+        slope = scaled(gram, e)
+
+        def movable(t, p, slope=slope, taken=tuple(taken)):
+            rate, g = rates(p, taken, max_rate), p @ slope
+            free = ((rate > 0) | (g < 0)) & ((rate < max_rate) | (g > 0))
+            return moments(t[free], p[free])
+
+        direction = scaled(gather(movable, domains**2).reshape(domains, domains), e)
+
+        def tried(t, p, direction=direction, taken=tuple(taken)):
+            return np.stack([(rates(p, [*taken, a * direction], max_rate) * t) @ p for a in LENGTHS])
+
+        ends = gather(tried, len(LENGTHS) * domains).reshape(-1, domains) - targets
+        costs = [x @ scaled(gram, x) for x in ends]
+        best = int(np.argmin(costs))
+        if costs[best] >= far * (1 - LEAST_GAIN):
+            break
+        taken.append(LENGTHS[best] * direction)
+        e = ends[best]
     return taken
 
 
 def mix(docs: DataFrame, model: Classifier, weights: dict[str, float], max_rate: float | None = None,
-        total: float | None = None) -> DataFrame:
+        total: float | None = None, keep: list[str] | None = None) -> DataFrame:
     """row, tokens, p, rate, copies for every row of ``docs``.
 
     ``weights``: share of each domain in the mix. ``total``: its tokens; left
     out, it is as many as ``docs`` has - or, where a rate may not exceed 1, as
-    many as let the domain that fills its share best be taken whole.
+    many as the scarcest domain allows when it is taken whole.
     """
     top = float("inf") if max_rate is None else float(max_rate)
     share = np.array([weights[d] for d in model.domains], float)
     share /= share.sum()
-    staged = materialize(memberships(docs, model), "memberships")
+    staged = materialize(memberships(docs, model, keep), "memberships")
     sums = staged.agg(*[F.sum(F.col("tokens") * F.col("p")[k]) for k in range(len(share))]).first()
     have = np.array([v or 0.0 for v in sums])
     if total is None:
         filled = have[share > 0] / share[share > 0]
-        total = have.sum() if top > 1 else float(filled.max(initial=0.0))
+        total = have.sum() if top > 1 else float(filled.min(initial=have.sum()))
     taken = solve(staged, share * total, top)
 
     def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.column(1).to_numpy().astype(float)
+            t = batch.column(1).to_numpy()
             p = batch.column(2).flatten().to_numpy().reshape(len(t), len(share))
-            rates = np.where(t > 0, np.round(_fold(t, p, taken, top, RIDGE)[:, 1], 9), 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates)], names=["row", "tokens", "p", "rate"])
+            found = np.where(t > 0, np.round(rates(p, taken, top), 9), 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["row", "tokens", "p", "rate"])
 
     rated = staged.mapInArrow(rate, beside_row(staged, "tokens long, p array<double>, rate double"))
     chance = F.pmod(F.xxhash64("row.doc_id", F.lit(20_240_607)), F.lit(1 << 40)) / float(1 << 40)

@@ -141,7 +141,7 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     domain = mixing.label_domain(F.col("quality"), F.col("toxic"))
     model = mixing.train(docs, table(spark, sf_dir, "labels"), domain, mixing.DOMAINS)
-    out = mixing.mix(docs, model, MIX)
+    out = mixing.mix(docs, model, MIX, keep=["doc_id"])
     return out.select("row.doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)],
                       "rate", "copies")
 

@@ -54,14 +54,32 @@ def test_rates_meet_reachable_targets(spark):
     table = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "tokens long, p array<double>")
     target = np.array([0.6, 0.3, 0.1]) * t.sum()
     steps = run(mixing.solve, spark, table, target, float("inf"))
-    rate = mixing._fold(t.astype(float), p, steps, float("inf"), mixing.RIDGE)[:, 1]
-    assert (rate >= 0).all() and (rate * t) @ p == pytest.approx(target, rel=0.04)  # the ridge keeps it from exact
+    rate = mixing.rates(p, steps, float("inf"))
+    assert (rate >= 0).all() and (rate * t) @ p == pytest.approx(target, rel=1e-4)
+    # with rates of at most 1: what is in reach is met
+    low = (np.clip(0.9 - p[:, 2] - 0.5 * p[:, 1] + rng.normal(0, 0.05, 400), 0, 1) * t) @ p
+    rate = mixing.rates(p, run(mixing.solve, spark, table, low, 1.0), 1.0)
+    assert rate.max() <= 1 and (rate * t) @ p == pytest.approx(low, rel=1e-3)
+    # out of reach: no feasible neighbour is clearly better
+    high = np.array([0.2, 0.9, 0.2]) * t.sum()
+    rate = mixing.rates(p, run(mixing.solve, spark, table, high, 1.0), 1.0)
+    inverse = np.linalg.inv((p * t[:, None]).T @ p)
 
     def loss(r):
-        return (((r * t) @ p - target) ** 2).sum() / (2 * t.sum()) + mixing.RIDGE / 2 * (t * (r - 1) ** 2).sum()
+        e = (r * t) @ p - high
+        return e @ inverse @ e
 
-    for _ in range(50):  # no feasible neighbour is clearly better
-        assert loss(np.maximum(rate + rng.normal(0, 0.02, 400), 0)) >= loss(rate) * 0.99
+    for _ in range(50):
+        assert loss(np.clip(rate + rng.normal(0, 0.02, 400), 0, 1)) >= loss(rate) * 0.97
+    assert loss(np.ones(400)) > loss(rate)
+
+
+def test_mixing_query_meets_the_targets(spark):
+    rows = queries.QUERIES["op10_soft_mixing"](spark, "/root/testdata/sf0.01")
+    domains = [f"p_{d}" for d in mixing.DOMAINS]
+    got = rows.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col(c)) for c in domains], F.sum("tokens")).first()
+    want = [queries.MIX[d] * got[3] for d in mixing.DOMAINS]
+    assert list(got)[:3] == pytest.approx(want, rel=1e-3)
 
 
 def test_mixing_edges(spark):
