@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.operators.skew import one_per_key
 from faultline.storage import materialize
 
 
@@ -18,7 +19,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     id's smallest neighbour, then every id and its smaller neighbours are. A
     round is a map-side aggregate and a join; each is written to shared storage,
     so a lost executor costs one round. It ends when the links are stars,
-    after about the logarithm of the longest path.
+    after about the logarithm of the longest path. Links with a null end are
+    none; an id linked with itself alone gets no row; without links there are no rows.
     """
     if labels is not None:
         for end in ("a", "b"):
@@ -29,9 +31,9 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     while not _stars(edges):
         down, up = edges.select("u", "v"), edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = down.union(up).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = up.join(one_per_key(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(one_per_key(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         edges = materialize(small, "edges")
     roots = edges.select(F.col("v").alias("id")).distinct()
