@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -36,6 +37,17 @@ def importable(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark clean up after finished steps.
+
+    Broadcasts and shuffles of a step stay on executors, and their records on the driver, until the
+    driver's memory happens to be collected; a driver that has memory to spare does that late.
+    Called between stages and rounds, so that what a pipeline holds does not grow with its stages.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
