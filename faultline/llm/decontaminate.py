@@ -41,7 +41,7 @@ from faultline.storage import materialize
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of the bitmap per shingle, and its size as powers of two.
-BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 15, 27
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 256, 22, 27
 EMITTED = 20_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATORS = [b for b in range(0x80) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]
@@ -69,7 +69,7 @@ def _rolled(hashed: np.ndarray, size: int) -> np.ndarray:
 
 
 class Bitmap:
-    """Numbers that may occur; false ones pass at a rate of about one in BITS_PER_KEY, or more once the bits are at their most."""
+    """Numbers that may occur; false ones pass at a rate of at most one in BITS_PER_KEY, or more once the bits are at their most."""
 
     def __init__(self, bits: int, blocks: dict[int, bytes]):
         self.shift = np.uint64(64 - bits)
