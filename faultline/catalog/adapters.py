@@ -64,6 +64,24 @@ def line_case(stamp: str) -> str:
     return f"case k % {len(LINES)} {whens} end"
 
 
+# a user's own signatures, one per kind and number: (name, text before, token before the number, text after)
+USER_KINDS = [
+    ("warehouse", "Warehouse '", "WH_", "' was"), ("tests", r"\<", "", " tests failed"),
+    ("grant", "on table ", "t", r"\>"), ("library", "installation failed for ", "lib_", r"\>"),
+    ("worker", "-4266141740", "", " lost"), ("unique", r"\<", "unique_orders_", r"\>"),
+    ("column", "Column '", "c_", "' does not exist"), ("host", "by host ", "h", r"\>"),
+    ("documents", "examined ", "", " docs"),
+]
+USER_NUMBERS = 112
+
+
+def user_signatures() -> list[tuple]:
+    """1,008 signatures in the layout of ``fixed.SIGNATURES``."""
+    return [(f"user.{name}.{n}", f"user.{name}", None, 40 + n % 50, (1,), f"{name}: $1",
+             f"{before}({token}{n}){after}", False)
+            for name, before, token, after in USER_KINDS for n in range(USER_NUMBERS)]
+
+
 RUN_ID = "cast(user_id as string) || '-w' || cast(wk as string)"
 PLATFORM = ("case user_id % 6 when 0 then 'local' when 1 then 'databricks' when 2 then 'snowflake' "
             "when 3 then 'mongodb' when 4 then 'github-actions' else 'dbt' end")

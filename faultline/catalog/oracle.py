@@ -536,6 +536,14 @@ oracle("dedup_counters", "select run_id, errors, templates, removed_duplicates,
 oracle("earliest_failure", """select run_id, earliest_seq, earliest_message, earliest_source, reason, match_title, token
     from earliest""")
 oracle("signature_match", "select run_id, seq, sig_ord, signature, category, weight from hits")
+USER_VALUES = ", ".join(
+    f"({i}, {q(name)}, {q(token)}, {q(re2(before + token + '([0-9]+)' + after))})"
+    for i, (name, before, token, after) in enumerate(A.USER_KINDS))
+oracle("signature_match_many", f"""select run_id, seq, cast(kind * {A.USER_NUMBERS} + n as bigint) as sig_ord,
+    'user.' || name || '.' || n as signature, 'user.' || name as category, cast(40 + n % 50 as bigint) as weight,
+    name || ': ' || token || n as title, token || n as token
+    from (select run_id, seq, kind, name, token, try_cast(regexp_extract(message, pattern, 1) as bigint) as n
+          from meaningful, (values {USER_VALUES}) as v(kind, name, token, pattern)) where n < {A.USER_NUMBERS}""")
 oracle("signature_title", "select run_id, seq, signature, title from hits")
 oracle("signature_token", "select run_id, seq, signature, token, code_path, code_line from hits")
 oracle("classify_by_category", "select run_id, rank, category, weight, matches from categories")

@@ -461,6 +461,14 @@ def signature_match(spark, d):
         "category", F.col("weight").cast("bigint").alias("weight"))
 
 
+@query
+def signature_match_many(spark, d):
+    """1,008 signatures of a user, looked up by their required literals."""
+    matches = classify.signature_match(dedup.dedup_errors(events(spark, d)), A.user_signatures())
+    return matches.select("run_id", "seq", F.col("sig_ord").cast("bigint").alias("sig_ord"), "signature",
+                          "category", F.col("weight").cast("bigint").alias("weight"), "title", "token")
+
+
 @query
 def signature_title(spark, d):
     return _matches(spark, d).select("run_id", "seq", "signature", "title")

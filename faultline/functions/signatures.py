@@ -29,17 +29,19 @@ def _title(message: str, pattern: str, title: str) -> str:
 
 
 def signature_matches(message: str, platform: str, code: str,
-                      signatures: list[tuple] | None = None) -> Column:
+                      signatures: list[tuple] | None = None, only: list[int] | None = None) -> Column:
     """Array of matches in signature order; empty when nothing matches.
 
     The arguments are SQL expressions. Patterns are literals, so each is
     compiled once per task; a signature table joined as rows would compile a
     pattern per row. ``signatures`` takes a user-supplied list in the layout of
-    ``fixed.SIGNATURES``.
+    ``fixed.SIGNATURES``; ``only`` names the positions of it to try. The
+    expression grows with the list: see ``operators.rules`` for a long one.
     """
     items = []
-    for ord_, (sig, category, only_on, weight, groups, title, raw, ci) in enumerate(
-            fixed.SIGNATURES if signatures is None else signatures):
+    listed = fixed.SIGNATURES if signatures is None else signatures
+    for ord_ in range(len(listed)) if only is None else only:
+        sig, category, only_on, weight, groups, title, raw, ci = listed[ord_]
         pattern = java(raw, ci)
         hit = f"rlike({message}, {text(pattern)})"
         if only_on:

@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.signatures import signature_matches
 from ..sources.model import RUN_KEY
+from .rules import indexed_matches
+
+INDEX_FROM = 64  # lists longer than this are looked up by literal; the matches are the same
+
+
+def _long(signatures: list[tuple] | None) -> bool:
+    return signatures is not None and len(signatures) > INDEX_FROM
 
 
 def signature_match(meaningful: DataFrame, signatures: list[tuple] | None = None) -> DataFrame:
     """One row per (event, signature) match over the meaningful errors."""
+    if _long(signatures):
+        return indexed_matches(meaningful, "message", "platform", "code", signatures).select(
+            "run_id", "platform", "seq", "m.*")
     return meaningful.select(
         "run_id", "platform", "seq",
         F.explode(signature_matches("message", "platform", "code", signatures)).alias("m"),
@@ -28,10 +38,13 @@ def triage_runs(groups: DataFrame, signatures: list[tuple] | None = None) -> Dat
     back to its cascades is decided at the end from the same rows, so no join
     and no per-run window is needed.
     """
-    matched = groups.select(
-        "run_id", "platform", "n_events", "n_hits", "event", "cascade",
-        F.posexplode_outer(signature_matches(
-            "event.message", "platform", "event.code", signatures)).alias("pos", "m"))
+    kept = ["run_id", "platform", "n_events", "n_hits", "event", "cascade"]
+    found = "event.message", "platform", "event.code", signatures
+    if _long(signatures):  # each group once without a match, and once per match
+        matches = indexed_matches(groups.select(*kept), *found).withColumn("pos", F.lit(1))
+        matched = matches.unionByName(groups.select(*kept, F.lit(0).alias("pos")), allowMissingColumns=True)
+    else:
+        matched = groups.select(*kept, F.posexplode_outer(signature_matches(*found)).alias("pos", "m"))
 
     lead = "coalesce(pos, 0) = 0"                        # once per group
     error = f"{lead} and event is not null"
