@@ -15,15 +15,6 @@ Notation used inside the patterns (``dialect.py`` turns it into Java or RE2):
 
 # --- fixed values: taxonomy ------------------------------------------------
 
-PLATFORMS = [
-    "local", "github", "github-actions", "databricks", "snowflake", "mongodb",
-    "jira", "dbt", "fabric", "airflow", "adf", "glue", "step-functions",
-    "spark", "kafka", "fivetran", "dagster", "prefect", "business-central",
-    "azure-devops", "servicenow", "slack", "teams",
-]
-
-SEVERITIES = ["info", "warning", "error", "fatal"]
-RUN_STATUSES = ["success", "failed", "cancelled", "running", "unknown"]
 CONFIDENCE_RANK = {"low": 1, "medium": 2, "high": 3}
 
 CATEGORY_LABELS = {
@@ -350,7 +341,3 @@ GENERIC_KNOWLEDGE = (
      "Compare against the last successful run to isolate what changed."],
     ["Address the earliest meaningful error first, then re-run to confirm downstream stages recover."],
 )
-
-EVIDENCE_KINDS = [
-    "confirmed", "strong_correlation", "inference", "assumption", "missing_information",
-]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, templates
 from ..sources.model import run_key
+from ..storage import materialize
 from .skew import one_per_key
 
 DEPENDENCY_KINDS = ("dependencies", "libraries")
@@ -88,15 +89,17 @@ def new_errors(events: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Reads the undeduplicated stream: cascades count, and each distinct message
     is reported once at its first position. Messages are folded before their
-    templates are computed and before anything is joined.
+    templates are computed and before anything is joined. A run is looked up
+    both as itself and as a baseline: the folded messages, few beside the log,
+    are written once, so the log is read once. Only templates are looked up in
+    a baseline, so one that many runs share is not repeated for each.
     """
     own = run_key(events)
     other = [c for c in own if c != "run_id"] + ["baseline_id"]
-    messages = (
+    messages = materialize(
         events.filter(parsing.is_error(F.col("severity")))
         .groupBy(*own, "message").agg(F.min("seq").alias("seq"))
-        .withColumn("template", templates.normalize_template(F.col("message")))
-    )
+        .withColumn("template", templates.normalize_template(F.col("message"))), "error_messages")
     known = messages.withColumnRenamed("run_id", "baseline_id").select(*other, "template").distinct()
     return messages.join(one_per_key(pairs.select(*own, "baseline_id"), *own), own).join(
         one_per_key(known, *other, "template"), [*other, "template"], "left_anti"

@@ -18,8 +18,10 @@ def attach_frame(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     An exception line consumes the pending frame, so among frame and exception
     lines only the direct predecessor matters: a lag, not a running scan. Only
     those lines are shuffled. A run may hold most of the log, so the lag runs
-    per block of ``block_rows`` sequence numbers and the last line of each
-    block is carried to the next one.
+    per block of ``block_rows`` sequence numbers. The first line of a block
+    takes its predecessor from a second lag, over the first and last lines of
+    the run's blocks alone. The log is read twice, once for those lines and
+    once for all others; nothing is joined.
     """
     message = F.col("message")
     marked = events.withColumn("__frame", parsing.has_code_ref(message)).withColumn(
@@ -35,23 +37,18 @@ def attach_frame(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .withColumn("__block", F.floor(F.col("seq") / F.lit(block_rows)))
     )
     own = run_key(events)
-    keys = [*own, "__block"]
-    tails = lines.groupBy(*keys).agg(F.max_by(F.struct("__ref"), "seq").alias("__tail"))
-    carried = (
-        tails.withColumn(
-            "__carry",
-            F.lag("__tail.__ref").over(Window.partitionBy(*own).orderBy("__block")))
-        .filter(F.col("__carry").isNotNull())
-        .select(*keys, "__carry")
-    )
-    in_block = Window.partitionBy(*keys).orderBy("seq")
-    lagged = lines.withColumn("__prev", F.lag("__ref").over(in_block)).withColumn(
-        "__head", F.row_number().over(in_block) == 1)
-    resolved = lagged.join(carried, keys, "left").withColumn(
-        "code",
-        F.when(F.col("__frame"), F.col("__ref"))
-        .when(F.col("__head"), F.col("__carry"))
-        .otherwise(F.col("__prev")),
+    in_block = Window.partitionBy(*own, "__block").orderBy("seq")
+    at_edge = Window.partitionBy(*own, "__inside").orderBy("seq")
+    resolved = (
+        lines.withColumns({
+            "__prev": F.lag("__ref").over(in_block),
+            "__head": F.row_number().over(in_block) == 1,
+            "__tail": F.lead(F.lit(True), 1, False).over(in_block) == False})  # noqa: E712
+        .withColumn("__inside", F.when(~F.col("__head") & ~F.col("__tail"), F.col("__block")))
+        .withColumn("__carry", F.lag("__ref").over(at_edge))
+        .withColumn("code", F.when(F.col("__frame"), F.col("__ref"))
+                    .when(F.col("__head"), F.col("__carry"))
+                    .otherwise(F.col("__prev")))
     )
     out = events.columns + ["code"]
     return plain.select(*out).unionByName(resolved.select(*out))

@@ -44,6 +44,8 @@ def test_frames_cross_block_boundaries(spark):
         got = {(r.run_id, r.seq): r.code and r.code.line
                for r in frames.attach_frame(df, block_rows=block).collect()}
         assert got == want
+    text = plan(frames.attach_frame(df))
+    assert "Join" not in text and text.count("Scan ExistingRDD") == 2
 
 
 def test_read_log_lines_numbers_across_splits(spark, tmp_path):
