@@ -133,39 +133,108 @@ READ_BACK = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long,
              "formatted_chars long, order_errors long, complete boolean")
 
 
-def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """Digests of the conversations, parsed from the formatted text and its loss mask alone.
+class Reader:
+    """Reads one conversation's marked text and loss mask, fed in pieces cut anywhere.
 
-    ``formatted`` comes straight from ``format_conversations``: rows of a
-    conversation follow each other in their partition.
+    Turns are found by the control strings alone. A mark is taken only when no
+    longer one could still follow from the next piece; what is held is the
+    text since the last mark, so at most one turn.
     """
-    t = template or Template()
 
-    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        esc = Escape(t.controls())
-        scan = re.compile("|".join(map(re.escape, t.controls())))
-        roles = {r.before: (name, r.after) for name, r in t.roles.items()}
-        whole: dict | None = None
-
-        def turn(text: str) -> tuple[str, str]:
-            """Role and text of one turn, read from the marked text."""
-            marks = [m for m in scan.finditer(text) if m[0] != t.opening]
-            if marks[0][0] in roles:
-                name, after = roles[marks[0][0]]
-                if len(marks) != 2 or marks[1][0] != after:
-                    raise ValueError("marks do not match")
-                return name, esc.unescape(text[marks[0].end() : marks[1].start()])
-            if [m[0] for m in marks] != list(t.other):
+    def __init__(self, template: Template, esc: Escape, scan: re.Pattern):
+        self.t, self.esc, self.scan = template, esc, scan
+        self.longest = max(map(len, template.controls()))
+        self.text, self.mask, self.at = "", [], 0  # mask: (end, loss) of the runs of the held text
+        self.marks: list[str] = []  # of the turn being read
+        self.fields: list[str] = []
+        self.opened, self.state = False, "start"
+        self.n = self.loss_chars = self.chars = self.errors = 0
+        self.turns, self.loss, self.lossy = hashlib.sha256(), hashlib.sha256(), []
+
+    def feed(self, text: str, loss: bool) -> None:
+        if text:
+            self.text += text
+            if self.mask and self.mask[-1][1] == loss:
+                self.mask.pop()
+            self.mask.append((len(self.text), loss))
+            self.chars += len(text)
+
+    def _masked(self, start: int, end: int) -> str:
+        out, begin = [], 0
+        for stop, loss in self.mask:
+            if loss and begin < end and stop > start:
+                out.append(self.text[max(begin, start) : min(stop, end)])
+            begin = stop
+        return "".join(out)
+
+    def read(self, last: bool = False) -> None:
+        """Takes every mark that is certain; all of them at the end."""
+        done = 0
+        while (m := self.scan.search(self.text, self.at)) and (last or m.start() + self.longest <= len(self.text)):
+            self._mark(m[0], done, m.start())
+            if self._masked(m.start(), m.end()):
+                raise ValueError("a mark is under the loss mask")
+            done = self.at = m.end()
+        if done:
+            self.text = self.text[done:]
+            self.mask = [(stop - done, loss) for stop, loss in self.mask if stop > done]
+        self.at = 0 if last else max(0, len(self.text) - self.longest)
+        if last and (self.text or self.marks or not self.opened):
+            raise ValueError("the text ends inside a turn")
+
+    def _mark(self, mark: str, start: int, end: int) -> None:
+        between = self.text[start:end]
+        if not self.marks:
+            starts = {r.before for r in self.t.roles.values()} | {self.t.other[0]}
+            if between or (mark not in starts if self.opened else mark != self.t.opening):
                 raise ValueError("marks do not match")
-            return (esc.unescape(text[marks[0].end() : marks[1].start()]),
-                    esc.unescape(text[marks[1].end() : marks[2].start()]))
+            if self.opened:
+                self.marks.append(mark)
+            self.opened = True
+            return
+        self.fields.append(self.esc.unescape(between))
+        self.lossy.append(self._masked(start, end))
+        self.marks.append(mark)
+        named = next(((name, r.after) for name, r in self.t.roles.items() if r.before == self.marks[0]), None)
+        wanted = [self.marks[0], named[1]] if named else list(self.t.other)
+        if self.marks != wanted[: len(self.marks)]:
+            raise ValueError("marks do not match")
+        if len(self.marks) == len(wanted):
+            self._turn(*((named[0], self.fields[0]) if named else self.fields))
+
+    def _turn(self, role: str, said: str) -> None:
+        self.turns.update(f"{role}\n{said}\n".encode())
+        for x in self.lossy:
+            plain = self.esc.unescape(x)
+            self.loss.update(plain.encode())
+            self.loss_chars += len(plain)
+        step = self.t.machine.get(self.state, {}).get(role)
+        self.errors += step is None
+        self.state = step or (role if role in self.t.machine else self.state)
+        self.n += 1
+        self.marks, self.fields, self.lossy = [], [], []
+
+    def result(self, conv_id: int | None) -> dict:
+        self.read(last=True)
+        return {"conv_id": conv_id, "n_turns": self.n, "turns_sha256": self.turns.hexdigest(),
+                "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars,
+                "order_errors": self.errors, "complete": self.errors == 0 and self.state in self.t.final}
 
-        def close(w: dict) -> dict:
-            return {"conv_id": w["id"], "n_turns": w["n"], "turns_sha256": w["turns"].hexdigest(),
-                    "loss_chars": w["loss_chars"], "loss_sha256": w["loss"].hexdigest(),
-                    "formatted_chars": w["chars"], "order_errors": w["errors"],
-                    "complete": w["errors"] == 0 and w["state"] in t.final}
 
+def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
+    """Digests of the conversations, parsed from the joined text and its loss mask alone.
+
+    Of ``formatted`` only conv_id and segments (text, loss) are read. Rows of a
+    conversation follow each other in their partition, as they come from
+    ``format_conversations``; where its text is cut into rows and segments does
+    not matter: a turn is what the marks say. Text that the template's marks
+    do not parse raises an error.
+    """
+    t = template or Template()
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        esc, scan = Escape(t.controls()), re.compile("|".join(map(re.escape, t.controls())))
+        now, reader = None, None
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
                             ("loss_chars", pa.int64()), ("loss_sha256", pa.string()),
                             ("formatted_chars", pa.int64()), ("order_errors", pa.int64()), ("complete", pa.bool_())])
@@ -173,25 +242,15 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
             for at in range(0, batch.num_rows, STEP):
                 out = []
                 for row in batch.slice(at, STEP).to_pylist():
-                    if row["position"] == 0:
-                        if whole:
-                            out.append(close(whole))
-                        whole = {"id": row["conv_id"], "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(),
-                                 "loss_chars": 0, "chars": 0, "errors": 0, "state": "start"}
-                    text = "".join(s["text"] for s in row["segments"])
-                    role, said = turn(text)
-                    whole["turns"].update(f"{role}\n{said}\n".encode())
+                    if reader is None or row["conv_id"] != now:
+                        if reader:
+                            out.append(reader.result(now))
+                        now, reader = row["conv_id"], Reader(t, esc, scan)
                     for s in row["segments"]:
-                        if s["loss"]:
-                            plain = esc.unescape(s["text"])
-                            whole["loss"].update(plain.encode())
-                            whole["loss_chars"] += len(plain)
-                    whole["n"] += 1
-                    whole["chars"] += len(text)
-                    whole["errors"] += row["order_error"]
-                    whole["state"] = row["state"]
+                        reader.feed(s["text"], s["loss"])
+                    reader.read()
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if whole:
-            yield pa.RecordBatch.from_pylist([close(whole)], schema=schema)
+        if reader:
+            yield pa.RecordBatch.from_pylist([reader.result(now)], schema=schema)
 
-    return formatted.mapInArrow(parse, READ_BACK)
+    return formatted.select("conv_id", "segments").mapInArrow(parse, READ_BACK)

@@ -218,3 +218,37 @@ def test_chat_reads_back_every_text(spark):
     formatted = run(chat.format_conversations, spark, table.filter("conv_id = 1")).collect()
     text = "".join(s.text for r in formatted for s in r.segments)
     assert text.count("[INST]") == text.count("[/INST]") == 6 and text.count("<<SYS>>") == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64])
+def test_chat_reader_sees_only_the_joined_text(size):
+    """The text cut at any place, with the mask as flags per character, reads back the same."""
+    t = chat.Template()
+    esc, scan = chat.Escape(t.controls()), re.compile("|".join(map(re.escape, t.controls())))
+    turns = [("system", "<<SYS"), ("user", "</s>[INST] ok [/INST]"), ("assistant", "a\\b[OUT"), ("tool]", "x[/ROLE]"), ("assistant", "")]
+    marked = [(t.opening, False)]
+    for name, said in turns:
+        role = t.roles.get(name)
+        head = [(role.before, False)] if role else [(t.other[0], False), (esc.escape(name), False), (t.other[1], False)]
+        marked += [*head, (esc.escape(said), bool(role and role.loss)), (role.after if role else t.other[2], False)]
+    flat = [(c, loss) for text, loss in marked for c in text]
+    reader = chat.Reader(t, esc, scan)
+    for at in range(0, len(flat), size):
+        for c, loss in flat[at : at + size]:
+            reader.feed(c, loss)
+        reader.read()
+    got = reader.result(1)
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+    said = "".join(x for r, x in turns if r == "assistant")
+    assert (got["loss_chars"], got["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert (got["n_turns"], got["formatted_chars"], got["complete"]) == (5, len(flat), False)
+
+
+@pytest.mark.parametrize("text", ["", "<s>[INST]a", "<s>[INST]a</s>", "[INST]a[/INST]", "<s>x[INST]a[/INST]", "<s>[INST]a[/INST]y",
+                                  "<s>[INST]a[INST]b[/INST]"])
+def test_chat_reader_rejects_broken_marks(text):
+    t = chat.Template()
+    reader = chat.Reader(t, chat.Escape(t.controls()), re.compile("|".join(map(re.escape, t.controls()))))
+    reader.feed(text, False)
+    with pytest.raises(ValueError):
+        reader.result(1)
