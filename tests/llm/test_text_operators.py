@@ -103,6 +103,81 @@ def test_kneser_ney_sums_to_one_and_backs_off():
     got = model.levels[0]
     assert {int(g): None for g in got.grams} == {b: None for b in kinds}
     assert model.log_perplexity(np.zeros(0, np.uint64)) is None
+    # every byte of "ab" follows every other often: no count is 1 to 3, and an unseen byte is unlikely, not impossible
+    grams, n = np.unique(perplexity.ngrams("abbaabab" * 50, 1), return_counts=True)
+    assert -20 < perplexity.KneserNey(grams, n, 1)._log(np.array([ord("z")], np.uint64), 1)[0] < -5
+
+
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney by the definition: dictionaries of byte tuples."""
+
+    def __init__(self, texts: list[str], order: int):
+        self.order, self.counts = order, {order: Counter(g for t in texts for g in self.grams(t, order))}
+        for size in range(order - 1, 0, -1):  # different grams that end in this one
+            self.counts[size] = Counter(g[1:] for g in self.counts[size + 1])
+        self.total, self.kinds, self.cut = {}, {}, {}
+        for size, counts in self.counts.items():
+            n = Counter(counts.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
+            cut = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[k + 1] else 0.0 for k in (1, 2, 3)]
+            self.cut[size] = [0.0, *(c if c > 0 else k / 2 for k, c in enumerate(cut, 1))]
+            self.total[size], self.kinds[size] = Counter(), defaultdict(Counter)
+            for g, c in counts.items():
+                self.total[size][g[:-1]] += c
+                self.kinds[size][g[:-1]][min(c, 3)] += 1
+
+    @staticmethod
+    def grams(text, order):
+        data = bytes(order - 1) + b" ".join(text.encode().split())
+        return [tuple(data[i : i + order]) for i in range(len(data) - order + 1)]
+
+    def p(self, gram):
+        size = len(gram)
+        if not size:
+            return 1 / 256
+        lower, total = self.p(gram[1:]), self.total[size][gram[:-1]]
+        if not total:
+            return lower
+        c, cut = self.counts[size][gram], self.cut[size]
+        back = sum(cut[k] * m for k, m in self.kinds[size][gram[:-1]].items())
+        return (c - cut[min(c, 3)] + back * lower) / total
+
+    def log_perplexity(self, text):
+        grams = self.grams(text, self.order)
+        return -sum(math.log(self.p(g)) for g in grams) / len(grams)
+
+
+def test_perplexity_equals_plain_kneser_ney_of_the_passing_rows(spark, prose):
+    """Rows that fail the base rules are scored, but neither the model nor the bands are made of them."""
+    junk = [(200 + i, f"zq{i}z zq{i}z " * 40, "aa", "s", 0) for i in range(30)] + [(300, "short the and", "bb", "s", 0)]
+    alone = [(301, "few words", "cc", "s", 0), (302, prose[0][1], "dd", "s", 0)]
+    docs = spark.createDataFrame(prose + junk + alone, DOCS)
+    docs = docs.withColumn("log_perplexity", F.lit("x")).withColumn("n_words", F.lit("y"))  # clashing names
+    rows = {r.doc_id: r for r in run(perplexity.judge_quality, spark, docs).collect()}
+    for lang in ("aa", "bb"):
+        halves = [[d[1] for d in prose if d[2] == lang and zlib.crc32(d[1].encode()) % 2 == k] for k in (0, 1)]
+        plain = [PlainKneserNey(texts, perplexity.ORDER) for texts in halves]
+        assert all(halves)
+        for d in prose + junk:
+            if d[2] == lang:
+                judge = plain[1 - zlib.crc32(d[1].encode()) % 2]
+                assert rows[d[0]].log_perplexity == pytest.approx(judge.log_perplexity(d[1]), abs=1e-9)
+    assert all(rows[d[0]].kept for d in prose) and all(rows[d[0]].base_failed for d in junk)
+    assert rows[302].kept  # the only text of its language is judged by its own model
+    assert rows[301].log_perplexity is None and not rows[301].kept and rows[301].upper is None
+
+
+def test_perplexity_of_a_very_long_text(spark, prose):
+    """A million words in one row, beside ordinary ones; an exact copy of a row gets the same figures."""
+    words = prose[1][1].split()
+    long = " ".join(words * (1_000_000 // len(words) + 1))
+    docs = spark.createDataFrame([*prose, prose[3], (900, long, "aa", "s", 0)], DOCS)
+    rows = run(perplexity.judge_quality, spark, docs).collect()
+    (row,) = [r for r in rows if r.doc_id == 900]
+    assert row.log_perplexity < math.log(256)
+    assert row.n_words >= 1_000_000 and row.base_failed
+    one, two = [r for r in rows if r.doc_id == 3]
+    assert one == two and len(rows) == 62
 
 
 def test_perplexity_band_rejects_what_is_unlike_its_language(spark, prose):
