@@ -4,9 +4,14 @@ TREES trees are grown on a sample of SAMPLE vectors (the sample only places the
 splits): a node splits at a gap near the median of a random projection, and
 vectors within a band around the split go both ways. A node ends as a leaf at
 about LEAF vectors, or where its vectors are so close together that a split
-would only part links. *Every* vector is routed down every tree and compared,
-in double precision, with the vectors of its leaves; a leaf of more than BLOCK vectors
-is compared block by block in separate tasks. So there is no cap on a leaf.
+would only part links, or, open, where its sample is used up. Spark counts the
+vectors that reach an open leaf; where they are too many, a task grows a
+subtree from a fresh sample of that leaf's own vectors, which are routed on,
+and so forth until no open leaf is too large. So the depth follows the table and not the
+sample, and the subtrees stay a table and are never gathered on the driver.
+*Every* vector is routed down every tree and compared, in double precision,
+with the vectors of its leaves; a leaf of more than BLOCK vectors is compared
+block by block in separate tasks. So there is no cap on a leaf.
 
 A pair that meets in several leaves is counted in the first of them only:
 each vector carries the numbers of all its leaves. Links are not written as
@@ -24,6 +29,8 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.components import components
+from faultline.operators.skew import one_per_key
 from faultline.storage import materialize
 
 TREES, LEAF, BLOCK = 8, 800, 2_048
@@ -46,6 +54,8 @@ BAND = 0.6
 TIGHT = 0.93
 #: Sampled vectors that a node needs to be split.
 LEAST = 16
+#: Vectors of an open leaf that place the splits of its subtree, about; and those that one task routes.
+SUBSAMPLE, ROUTED = 4_000, 200_000
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -57,18 +67,22 @@ def unit(raw: np.ndarray) -> np.ndarray:
 class Forest:
     """Split directions and bands of all trees, in one list of nodes; leaves are numbered throughout."""
 
-    def __init__(self, sample: np.ndarray, rows: int, cosine: float, trees: int = TREES, leaf: int = LEAF):
-        rng = np.random.default_rng(SEED)
+    def __init__(self, sample: np.ndarray, rows: int, cosine: float, trees: int = TREES, leaf: int = LEAF, seed: int = SEED):
+        rng = np.random.default_rng(seed)
         dim = sample.shape[1]
         self.nodes: list[tuple[np.ndarray, float, float, int, int]] = []  # direction, low, high, left, right
         self.roots: list[int] = []  # a node's number, or -1 - the leaf's
         self.leaves = 0
+        self.open: set[int] = set()  # leaves that ended for want of sampled vectors
         scale = rows / max(1, len(sample))
         least = BAND * np.sqrt(2 - 2 * cosine) / np.sqrt(dim)
 
         def grow(at: np.ndarray) -> int:
             held = sample[at]
-            if len(at) * scale <= leaf or len(at) < LEAST or np.linalg.norm(held.mean(0)) >= TIGHT:
+            done = len(at) * scale <= leaf or np.linalg.norm(held.mean(0)) >= TIGHT
+            if done or len(at) < LEAST:
+                if not done:
+                    self.open.add(self.leaves)
                 self.leaves += 1
                 return -self.leaves
             for _ in range(8):
@@ -97,6 +111,8 @@ class Forest:
 
         for _ in range(trees):
             self.roots.append(grow(np.arange(len(sample))))
+            if rows <= leaf:  # one leaf holds all: further trees would repeat it
+                break
 
     def route(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The (sorted) leaves of each vector."""
@@ -202,8 +218,68 @@ def _compare(cosine: float, kind: str, dim: int):
     return compare
 
 
+ROUTE = "uid long, vec binary, leaf long, open boolean"
+
+
+def _deepen(placed: DataFrame, cosine: float, kind: str, dim: int, leaf: int,
+            sample: int) -> tuple[DataFrame, DataFrame] | None:
+    """The open leaves in ``placed`` that are too large, and their vectors (uid, vec, leaf, open) one level of subtrees on.
+
+    None if there is no such leaf. Rows are streamed past their leaf's subtree, a hot leaf in several tasks.
+    """
+    counts = placed.filter("open").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * leaf)
+    counts = materialize(counts, "open")
+    if counts.isEmpty():
+        return None
+    rows = placed.select("uid", "vec", "leaf").join(one_per_key(counts, "leaf"), "leaf")
+    share = F.pmod(F.xxhash64("uid", "leaf"), F.lit(1 << 30)) / F.lit(1 << 30)
+
+    def grow(group: pa.Table) -> pa.Table:
+        group = group.sort_by("uid")
+        own, rows = group["leaf"][0].as_py(), group["n"][0].as_py()
+        v = unit(np.frombuffer(b"".join(group["vec"].to_pylist()), kind).reshape(group.num_rows, dim))
+        tree = Forest(v, rows, cosine, 1, leaf, seed=own % (1 << 63))
+        return pa.table({"leaf": pa.array([own], pa.int64()), "n": pa.array([rows], pa.int64()),
+                         "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    drawn = rows.filter(share <= F.lit(float(sample)) / F.col("n")).select("leaf", "n", "vec", "uid")
+    trees = materialize(drawn.groupBy("leaf").applyInArrow(grow, "leaf long, n long, tree binary"), "subtrees")
+    parts = F.ceil(F.col("n") / ROUTED).cast("int")
+    both = rows.select("leaf", F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"), "uid", "vec",
+                       F.lit(None).cast("binary").alias("tree"))
+    both = both.unionByName(trees.select(
+        "leaf", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(None).cast("long").alias("uid"),
+        F.lit(None).cast("binary").alias("vec"), "tree"))
+
+    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, parent = None, None
+        for batch in batches:
+            heads = np.flatnonzero(batch["tree"].is_valid().to_numpy(zero_copy_only=False))
+            edges = np.union1d([0, batch.num_rows], heads).astype(int).tolist()
+            for a, b in zip(edges, edges[1:]):
+                if batch["tree"][a].is_valid:
+                    tree, parent = pickle.loads(batch["tree"][a].as_py()), batch["leaf"][a].as_py()
+                    names = [xxhash.xxh3_64_intdigest(f"{parent} {k}") - (1 << 63) for k in range(tree.leaves)]
+                    a += 1
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                v = unit(np.frombuffer(b"".join(part["vec"].to_pylist()), kind).reshape(part.num_rows, dim))
+                leaves = tree.route(v)
+                at = np.repeat(np.arange(part.num_rows), [len(x) for x in leaves])
+                own = np.concatenate(leaves).tolist()
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [part["uid"].take(take), part["vec"].take(take), pa.array([names[k] for k in own], pa.int64()),
+                     pa.array([k in tree.open for k in own], pa.bool_())], names=["uid", "vec", "leaf", "open"])
+
+    # The subtree's row, whose uid is null, comes before its vectors.
+    streamed = both.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.asc_nulls_first("uid"))
+    return counts, materialize(streamed.mapInArrow(route, ROUTE), "deeper")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = TREES, leaf: int = LEAF,
-                    sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+                    sample: int = SAMPLE, block: int = BLOCK, subsample: int = SUBSAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     rows, kind, dim = _prepared(vectors)
@@ -223,12 +299,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, trees: int = TREES,
             if not batch.num_rows:
                 continue
             v = unit(np.frombuffer(b"".join(batch.column(2).to_pylist()), kind).reshape(batch.num_rows, dim))
-            leaves = pa.array(forest.value.route(v), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, leaves], names=["uid", "weight", "vec", "leaves"])
-
-    routed = materialize(reps.mapInArrow(route, "uid long, weight long, vec binary, leaves array<int>"), "routed")
+            leaves = forest.value.route(v)
+            some = [[x for x in own if x in forest.value.open] for own in leaves]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(leaves, pa.list_(pa.int64())), pa.array(some, pa.list_(pa.int64()))],
+                names=["uid", "weight", "vec", "leaves", "open"])
+
+    routed = materialize(reps.mapInArrow(route, "uid long, weight long, vec binary, leaves array<long>, open array<long>"), "routed")
+    level = routed.select("uid", "vec", F.explode("open").alias("leaf"), F.lit(True).alias("open"))
+    final, deeper = routed.select("uid", F.explode("leaves").alias("leaf")), False
+    while (step := _deepen(level, cosine, kind, dim, leaf, subsample)) is not None:
+        split, level = step  # a leaf with a subtree gives way to that subtree's leaves
+        final = final.join(split.select("leaf"), "leaf", "left_anti").unionByName(level.select("leaf", "uid"))
+        deeper = True
+    if deeper:
+        final = final.groupBy("uid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
+        routed = materialize(routed.drop("leaves", "open").join(final, "uid"), "routed")
     placed = routed.withColumn("leaf", F.explode("leaves"))
-    blocks = placed.groupBy("leaf").agg(F.count("*").alias("n"))  # one row per leaf of the forest
+    blocks = placed.groupBy("leaf").agg(F.count("*").alias("n"))
     blocks = blocks.filter("n > 1").select("leaf", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = placed.join(F.broadcast(blocks), "leaf").withColumn(
         "block", F.pmod(F.xxhash64("uid", "leaf"), F.col("blocks")).cast("int"))

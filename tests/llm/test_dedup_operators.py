@@ -96,6 +96,51 @@ def test_forest_links_and_groups(spark):
     assert run(rpforest.near_duplicates, spark, table.limit(0)).count() == 0
 
 
+def near_vectors(n, dim, seed):
+    """Unlike vectors, clusters at a cosine of about 0.9 and one group with a third of all rows."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, dim))
+    v[n // 2 : n // 2 + n // 10] = np.repeat(v[: n // 50], 5, 0)[: n // 10] + rng.standard_normal((n // 10, dim)) * 0.3
+    v[-(n // 3) :] = v[0] + rng.standard_normal((n // 3, dim)) * 0.3
+    return v
+
+
+def test_forest_grows_beyond_its_sample(spark):
+    """A sample that could split only twice: subtrees of the open leaves go on, and no leaf is left to grow with the table."""
+    n, leaf = 2_000, 80
+    v = near_vectors(n, 24, 11)
+    table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    first = rpforest.Forest(unit[:: n // 64][:64], n, 0.9, 8, leaf)
+    assert first.open and max(np.bincount(np.concatenate(first.route(unit)))) > 2 * leaf
+    levels = []
+    deepen = rpforest._deepen
+
+    def watched(*args):
+        levels.append(deepen(*args))
+        return levels[-1]
+
+    rpforest._deepen = watched
+    try:
+        got = {r.vec_id: r for r in run(rpforest.near_duplicates, spark, table, 0.9, 4, leaf, 64, 1_024, 300).collect()}
+    finally:
+        rpforest._deepen = deepen
+    assert len(levels) > 1 and levels[-1] is None
+    open_left = levels[-2][1].filter("open").groupBy("leaf").count().agg(F.max("count")).first()[0]
+    assert (open_left or 0) <= 2 * leaf
+    links = unit @ unit.T >= 0.9
+    np.fill_diagonal(links, False)
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= links.sum(1)).all() and found.sum() >= 0.9 * links.sum()
+    want = np.arange(n)
+    while True:  # smallest id along links
+        reach = np.minimum(want, np.where(links, want[None, :], n).min(1))
+        if (reach == want).all():
+            break
+        want = reach
+    assert np.mean([got[i].component_id == want[i] for i in range(n)]) > 0.9
+
+
 def plain_line_dedup(docs, min_texts):
     """(doc, line) pairs to drop, by the definitions, on real tokens."""
     distinct, texts = {}, defaultdict(set)
