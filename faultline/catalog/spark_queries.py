@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import fixed, injection, parsing, redaction, scoring, templates, text
 from ..functions.signatures import category_label
 from ..operators import classify, compare, correlate, dedup, frames, trend
+from ..operators.skew import shuffled
 from ..plans import investigate as inv
 from ..plans import reports
 from ..sources import logs
@@ -515,7 +516,7 @@ def change_correlate(spark, d):
     tokens = materialize(triage(spark, d).filter("token is not null").select(*RUN_KEY, "token"),
                          "tokens")
     return correlate.change_correlate(
-        tokens.join(A.runs(spark, d).select(*RUN_KEY, "started_at"), RUN_KEY),
+        tokens.join(shuffled(A.runs(spark, d).select(*RUN_KEY, "started_at")), RUN_KEY),
         changes(spark, d)).drop("platform", "change_ref")
 
 

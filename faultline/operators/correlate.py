@@ -13,7 +13,7 @@ from ..functions import fixed, parsing
 from ..functions.text import tokenize
 from ..sources.model import run_key
 from ..storage import materialize
-from .skew import one_per_key
+from .skew import one_per_key, shuffled
 
 #: Lengths of the leading gram by which a token is looked up, and how many tokens may share one
 #: before the next length is used.
@@ -21,6 +21,8 @@ GRAMS = (3, 6, 12, 24)
 HOT_GRAM = 16
 #: Characters of a text that one row indexes.
 BLOCK_CHARS = 256
+#: Leading grams, 24 characters at most each, that are sent to every task; more of them are shuffled.
+FEW_LEADS = 50_000
 CELL_RUNS = 4096      # rows of one side that meet in one join cell of a hot token
 CELL_ISSUES = 4096
 
@@ -57,13 +59,28 @@ def text_blocks(texts: DataFrame, longest: Column) -> DataFrame:
 
 
 def gram_index(blocks: DataFrame) -> DataFrame:
-    """ord, block, at, gram: a row for each place of a text and each gram length; short ones at every place too."""
+    """ord, block, more, at, gram: a row for each place of a text and each gram length; short ones at every place too."""
     places = blocks.select("ord", "block", "more", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("at"))
     sizes = F.array(*[F.lit(n) for n in (*range(1, GRAMS[0]), *GRAMS)])
-    return places.select("ord", "block", "at", F.explode(F.array_distinct(F.transform(
+    return places.select("ord", "block", "more", "at", F.explode(F.array_distinct(F.transform(
         sizes, lambda n: F.substring("more", F.col("at"), n)))).alias("gram"))
 
 
+def _pieces(blocks: DataFrame, leads: DataFrame, few: int) -> DataFrame:
+    """ord, needle: what the texts hold, in the sizes asked for, at each place that a gram of ``leads`` leads.
+
+    The index has hundreds of rows for a row of ``blocks``, which the planner's size check does not
+    see, so the sides are fixed here: up to ``few`` leads are sent to the index, more meet it in a
+    sort-merge join, and the block is fetched again for the places found.
+    """
+    index, piece = gram_index(blocks), F.substring("more", F.col("at"), F.col("size")).alias("needle")
+    if leads.count() <= few:
+        return index.join(F.broadcast(leads), "gram").select("ord", "more", "at", F.explode("sizes").alias("size")).select("ord", piece)
+    led = index.drop("more").join(shuffled(one_per_key(leads, "gram")), "gram").select(
+        "ord", "block", "at", F.explode("sizes").alias("size")).distinct()
+    return led.join(shuffled(blocks.select("ord", "block", "more")), ["ord", "block"]).select("ord", piece)
+
+
 def first_change_per_token(tokens: DataFrame, changes: DataFrame) -> DataFrame:
     """(needle, ord): the first change whose text contains each distinct token.
 
@@ -80,14 +97,8 @@ def first_change_per_token(tokens: DataFrame, changes: DataFrame) -> DataFrame:
         "ord", F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "),
                                 F.coalesce("summary", F.lit("")))).alias("text"))
     blocks = materialize(text_blocks(texts, longest), "blocks")
-    led = gram_index(blocks).join(one_per_key(_leads(wanted), "gram"), "gram").select("ord", "block", "at", "sizes")
-    piece = F.substring("more", F.col("at"), F.col("size"))
-    first = (
-        led.select("ord", "block", "at", F.explode("sizes").alias("size")).distinct()
-        .join(blocks.select("ord", "block", "more"), ["ord", "block"])
-        .select("ord", piece.alias("needle"))
-        .groupBy("needle").agg(F.min("ord").alias("ord"))
-    )
+    leads = materialize(_leads(wanted), "leads")
+    first = _pieces(blocks, leads, FEW_LEADS).groupBy("needle").agg(F.min("ord").alias("ord"))
     return wanted.join(first, "needle")
 
 
@@ -98,12 +109,11 @@ def change_correlate(tokens: DataFrame, changes: DataFrame) -> DataFrame:
     ``tokens``: (platform, run_id, token, started_at). ``predates`` compares the times;
     it informs and never filters.
     """
-    found = first_change_per_token(tokens, changes).join(
-        changes.select("ord", F.col("id").alias("change_id"), F.col("kind").alias("change_kind"),
-                       F.col("title").alias("change_title"),
-                       F.col("timestamp").alias("change_time"),
-                       *[F.col(c).alias("change_ref") for c in changes.columns if c == "source_ref"]),
-        "ord")
+    mentioned = changes.select(
+        "ord", F.col("id").alias("change_id"), F.col("kind").alias("change_kind"), F.col("title").alias("change_title"),
+        F.col("timestamp").alias("change_time"),
+        *[F.col(c).alias("change_ref") for c in changes.columns if c == "source_ref"])
+    found = first_change_per_token(tokens, changes).join(shuffled(mentioned), "ord")
     return (
         tokens.withColumn("needle", F.lower("token"))
         .join(found, "needle")
@@ -167,7 +177,7 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
             F.ceil(F.col("in_runs") / CELL_RUNS).cast("int").alias("run_cells"),
             F.ceil(F.col("in_issues") / CELL_ISSUES).cast("int").alias("issue_cells"))
     )
-    known = one_per_key(known, "token")
+    known = shuffled(one_per_key(known, "token"))
     entry = F.struct("item", "run_cells", "issue_cells")
 
     def prefix(size: str, unknown: Column) -> Column:
@@ -175,7 +185,7 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
         return F.slice("items", F.lit(1), F.greatest(length, F.lit(0)))
 
     run_side = (
-        seeds.join(one_per_key(reachable, *own), own)
+        seeds.join(shuffled(one_per_key(reachable, *own)), own)
         .join(known, "token")
         .groupBy(*own, "n_run").agg(F.sort_array(F.collect_list(entry)).alias("items"))
         .withColumn("prefix", prefix("n_run", F.col("n_run") - F.size("items")))
@@ -201,7 +211,7 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
     common = F.size(F.array_intersect("run_items", "issue_items"))
     similarity = common / (F.col("n_run") + F.col("n_issue") - common)
     return (
-        run_side.join(issue_side, ["item", "row", "column"])
+        run_side.join(shuffled(issue_side), ["item", "row", "column"])
         .filter(F.col("item") == F.array_min(F.array_intersect("run_prefix", "issue_items")))
         .withColumn("similarity", similarity)
         .filter(F.col("similarity") >= F.lit(min_similarity))
@@ -219,7 +229,7 @@ def _ranked(seeds: DataFrame, issue_tokens: DataFrame) -> DataFrame:
 
 def _token_sets(members: DataFrame, keys: list[str], ranks: DataFrame, size: str) -> DataFrame:
     """``keys``, ``size``, ranks (sorted): the tokens of each member that the other side has."""
-    return members.join(one_per_key(ranks, "token"), "token").groupBy(*keys, size).agg(
+    return members.join(shuffled(one_per_key(ranks, "token")), "token").groupBy(*keys, size).agg(
         F.sort_array(F.collect_list("rank")).alias("ranks"))
 
 
@@ -239,7 +249,7 @@ def class_overlaps(run_sets: DataFrame, issue_sets: DataFrame, min_similarity: f
     right = issue_sets.select(F.col("set").alias("issue_set"), "n_issue", F.explode("ranks").alias("rank"))
     cells = left.groupBy("rank").agg(F.ceil(F.count("*") / CELL_RUNS).cast("int").alias("rows")).join(
         right.groupBy("rank").agg(F.ceil(F.count("*") / CELL_ISSUES).cast("int").alias("columns")), "rank")
-    cells = one_per_key(cells, "rank")
+    cells = shuffled(one_per_key(cells, "rank"))
     left = left.join(cells, "rank").select(
         "rank", "run_set", "n_run", F.pmod(F.xxhash64("run_set"), "rows").cast("int").alias("row"),
         F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
@@ -247,7 +257,7 @@ def class_overlaps(run_sets: DataFrame, issue_sets: DataFrame, min_similarity: f
         "rank", "issue_set", "n_issue", F.pmod(F.xxhash64("issue_set"), "columns").cast("int").alias("column"),
         F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
     fits = F.least("n_run", "n_issue") >= F.greatest("n_run", "n_issue") * F.lit(min_similarity) - F.lit(1e-9)
-    common = left.join(right, ["rank", "row", "column"]).filter(fits).groupBy(
+    common = left.join(shuffled(right), ["rank", "row", "column"]).filter(fits).groupBy(
         "run_set", "n_run", "issue_set", "n_issue").agg(F.count("*").alias("common"))
     return common.withColumn("similarity", F.col("common") / (F.col("n_run") + F.col("n_issue") - F.col("common"))).filter(
         F.col("similarity") >= F.lit(min_similarity)).select("run_set", "issue_set", "similarity")
@@ -272,7 +282,7 @@ def related_issues(seeds: DataFrame, issues: DataFrame, top: int = 3,
     reachable = sizes.filter(_required(F.col("n_run"), min_similarity) <= largest.scalar())
     ranks = _ranked(seeds, issue_tokens)
 
-    runs = _classes(_token_sets(seeds.join(one_per_key(reachable, *own), own), own, ranks, "n_run"), "n_run")
+    runs = _classes(_token_sets(seeds.join(shuffled(one_per_key(reachable, *own)), own), own, ranks, "n_run"), "n_run")
     runs = materialize(runs, "run_sets")
     known = _classes(_token_sets(issue_tokens, ["issue_key", "ord"], ranks, "n_issue"), "n_issue")
     # The first keys of a set: the rank filter is applied before the shuffle too.
@@ -283,11 +293,11 @@ def related_issues(seeds: DataFrame, issues: DataFrame, top: int = 3,
     issue_classes = materialize(counted.join(heads, "set"), "issue_sets")
 
     pairs = class_overlaps(runs.groupBy("set", "n_run").agg(F.first("ranks").alias("ranks")), issue_classes, min_similarity)
-    pairs = pairs.join(issue_classes.select(F.col("set").alias("issue_set"), "weight", "heads"), "issue_set")
+    pairs = pairs.join(shuffled(issue_classes.select(F.col("set").alias("issue_set"), "weight", "heads")), "issue_set")
     order = Window.partitionBy("run_set").orderBy(F.desc("similarity"), "ord", "issue_key")
     best = pairs.select("run_set", "similarity", F.explode("heads").alias("h")).select("run_set", "similarity", "h.*") \
         .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top) \
         .groupBy("run_set").agg(F.sort_array(F.collect_list(F.struct("rank", "issue_key", "similarity"))).alias("top"))
     per_set = pairs.groupBy("run_set").agg(F.sum("weight").alias("n_related")).join(best, "run_set")
-    return runs.select(*own, F.col("set").alias("run_set")).join(one_per_key(per_set, "run_set"), "run_set").select(
+    return runs.select(*own, F.col("set").alias("run_set")).join(shuffled(one_per_key(per_set, "run_set")), "run_set").select(
         *own, "n_related", "top")

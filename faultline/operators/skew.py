@@ -1,4 +1,4 @@
-"""Joins of a large side with hot keys against one row per key."""
+"""Joins of a large side with hot keys against one row per key, and of sides whose size the planner can't see."""
 
 from __future__ import annotations
 
@@ -16,3 +16,12 @@ def one_per_key(side: DataFrame, *keys: str) -> DataFrame:
     side can be split.
     """
     return side.repartition(F.xxhash64(*keys))
+
+
+def shuffled(side: DataFrame) -> DataFrame:
+    """Join ``side`` by shuffle and sort, whatever size is guessed for it and for the side it meets.
+
+    The planner guesses from the bytes of a compressed file and knows nothing of the rows that an
+    explode adds, so a side without a bound can pass for a small one and be sent through the driver.
+    """
+    return side.hint("merge")

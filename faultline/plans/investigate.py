@@ -12,6 +12,7 @@ from ..functions.scoring import confidence_sql
 from ..functions.signatures import label_sql
 from ..functions.text import short_id, short_id_sql
 from ..operators import classify, compare, correlate, dedup
+from ..operators.skew import shuffled
 from ..sources.model import RUN_KEY, SOURCE_REF_TYPE, source_ref
 from ..storage import materialize
 
@@ -69,7 +70,7 @@ class Investigation:
                 *RUN_KEY, F.col("t.rank").alias("n"), "t.issue_key", "t.similarity").filter(F.col("n") <= limit)
         pairs = self.related
         order = Window.partitionBy(*RUN_KEY).orderBy(F.desc("similarity"), "ord", "issue_key")
-        ranked = pairs.join(self.issues.select(F.col("key").alias("issue_key"), "ord"), "issue_key") \
+        ranked = pairs.join(shuffled(self.issues.select(F.col("key").alias("issue_key"), "ord")), "issue_key") \
             .withColumn("n", F.row_number().over(order)).drop("ord")
         return ranked if limit is None else ranked.filter(F.col("n") <= limit)
 
@@ -91,7 +92,7 @@ def score_runs(runs: DataFrame, triage: DataFrame, found: DataFrame | None,
     changed = diff.groupBy(*RUN_KEY).agg(
         F.expr("count_if(section = 'dependencies') as changed_dependencies"),
         F.expr("count_if(section = 'parameters') as changed_parameters"))
-    base = runs.join(triage, RUN_KEY, "left").join(changed, RUN_KEY, "left") \
+    base = runs.join(shuffled(triage), RUN_KEY, "left").join(changed, RUN_KEY, "left") \
         .join(pairs.selectExpr(*RUN_KEY, "true as paired"), RUN_KEY, "left")
     kinds = {"change_id": "string", "change_kind": "string", "change_title": "string",
              "predates": "boolean", "change_ref": SOURCE_REF_TYPE}
@@ -101,7 +102,7 @@ def score_runs(runs: DataFrame, triage: DataFrame, found: DataFrame | None,
         base = base.join(found.drop("token"), RUN_KEY, "left")
     issue_count = "0L as related_issues"
     if closest is not None:
-        base = base.join(closest.select(*RUN_KEY, "n_related"), RUN_KEY, "left")
+        base = base.join(shuffled(closest.select(*RUN_KEY, "n_related")), RUN_KEY, "left")
         issue_count = "coalesce(n_related, 0L) as related_issues"
     counters = ["hit_count", "errors", "templates", "removed_duplicates", "removed_cascades",
                 "meaningful", "changed_dependencies", "changed_parameters"]
@@ -151,7 +152,7 @@ def investigate(runs: DataFrame, events: DataFrame, *, configs: DataFrame | None
     found = closest = seeds = None
     if correlate_evidence and changes is not None:
         tokens = triage.filter(F.col("token").isNotNull()).select(*RUN_KEY, "token").join(
-            runs.select(*RUN_KEY, "started_at"), RUN_KEY)
+            shuffled(runs.select(*RUN_KEY, "started_at")), RUN_KEY)
         found = correlate.change_correlate(tokens, changes)
     if search_issues:
         seeds = materialize(correlate.seed_tokens(runs, redacted), "seeds")
@@ -313,10 +314,10 @@ def evidence_from_diff(scored: DataFrame, diff: DataFrame,
 def evidence_from_issues(scored: DataFrame, ranked: DataFrame, issues: DataFrame) -> DataFrame:
     """A line per ranked issue (``Investigation.ranked_issues``); ties keep the issue order."""
     platform = "platform" if "platform" in issues.columns else "cast(null as string)"
-    top = ranked.join(
-        issues.select(F.col("key").alias("issue_key"), "title", "url", F.expr(platform).alias("issue_platform")), "issue_key")
+    top = ranked.join(shuffled(
+        issues.select(F.col("key").alias("issue_key"), "title", "url", F.expr(platform).alias("issue_platform"))), "issue_key")
     percent = F.floor(F.col("similarity") * 100).cast("string")
-    return top.join(scored.select(*RUN_KEY, "category"), RUN_KEY).select(
+    return top.join(shuffled(scored.select(*RUN_KEY, "category")), RUN_KEY).select(
         *RUN_KEY, "category", _evidence(
             F.col("n") + _ISSUES, "inference",
             F.concat(F.lit("Similar prior incident "), F.col("issue_key"), F.lit(': "'),
