@@ -654,7 +654,8 @@ oracle("watch_triage", f"""select run_id, seq, severity, message, coalesce(b.cat
     select *, list_extract(list_sort(list_transform(list_filter({signature_structs()}, lambda x: x is not null),
       lambda x: {{'o': -x.weight, 's': x.sig_ord, 'category': x.category, 'title': x.title}})), 1) as b
     from (select *, null::varchar as code_path, null::bigint as code_line from errs))""")
-oracle("watch_dedup", "select platform, run_id, template, any_value(severity) as severity from errs group by platform, run_id, template")
+oracle("watch_dedup", """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, platform, run_id, template, any_value(severity) as severity,
+    min(seq) as seq, count(*) as n_events from errs group by date_trunc('day', ts), platform, run_id, template""")
 oracle("watch_error_counts", """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, platform, run_id, template, min(seq) as seq, count(*) as n_events
     from errs group by all""")
 oracle("watch_category_counts", f"""select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, category, count(*) as failures from (

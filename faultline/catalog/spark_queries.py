@@ -763,19 +763,27 @@ def watch_triage(spark, d):
 
 @query
 def watch_dedup(spark, d):
-    """The alert stream: every repeat within the bound is one alert."""
-    out = _drained(spark, watch.watch_dedup(_stream_lines(spark, d), "60 days"), "watch_dedup")
-    return out.select("platform", "run_id", "template", "severity")
+    """The alert stream, every repeat within the bound one alert, and per day the first line and the errors that it stands for."""
+    alerts = _drained(spark, watch.watch_dedup(_stream_lines(spark, d), "60 days"), "watch_dedup")
+    days = _daily_errors(spark, d)
+    keys = ["platform", "run_id", "template"]
+    return alerts.select(*keys, "severity").alias("a").join(
+        days.alias("d"), [F.col(f"a.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys], "left").select(
+        "day", *[f"a.{k}" for k in keys], "severity", "seq", "n_events")
 
 
-@query
-def watch_error_counts(spark, d):
+def _daily_errors(spark, d):
     out = watch.drain_closed(lambda lines: watch.watch_error_counts(lines, "1 day", "1 hour"),
                              _stream_lines(spark, d), new_path(spark, "watch_errors"), "1 day", "1 hour")
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "platform", "run_id",
                       "template", "seq", "n_events")
 
 
+@query
+def watch_error_counts(spark, d):
+    return _daily_errors(spark, d)
+
+
 @query
 def watch_category_counts(spark, d):
     out = watch.drain_closed(lambda lines: watch.watch_category_counts(lines, "1 hour", "1 hour"),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +76,27 @@ def test_issue_search_sends_no_tokens_through_the_driver(spark):
     assert exploded_broadcasts(correlate._token_sets(members, ["key"], ranks, "n")) == []
     assert {r.run_id: r.n_related for r in correlate.related_issues(seeds, issues).collect()} == {
         r.run_id: r.n for r in pairs.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+
+
+def test_watch_dedup_keeps_the_days_of_an_alert(spark, tmp_path):
+    from faultline.catalog.spark_queries import QUERIES
+
+    at = [datetime(2024, 1, 2, 8), datetime(2024, 1, 2, 9), datetime(2024, 1, 3, 8)]
+    pq.write_table(pa.table({
+        "event_id": pa.array([1, 2, 3], pa.int64()), "user_id": pa.array([7] * 3, pa.int64()), "event_type": ["view"] * 3,
+        "ts": pa.array(at, pa.timestamp("us")), "props": ['{"k": 13}'] * 3}), tmp_path / "events.parquet")
+    out = QUERIES["watch_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.day, r.run_id, r.severity, r.seq, r.n_events) for r in out) == [
+        ("2024-01-02", "7-w0", "error", 1, 2), ("2024-01-03", "7-w0", "error", 3, 1)]
+
+
+def test_log_files_are_opened_once(spark, tmp_path):
+    from faultline.sources import logs
+
+    for name, text in {"a": "x\n\ny \n", "b": " \n"}.items():
+        (tmp_path / f"{name}.log").write_text(text)
+    lines = logs.read_log_lines(spark, str(tmp_path))
+    assert "text" not in {line.split("Format: ")[1].split(",")[0].lower() for line in
+                          lines._jdf.queryExecution().executedPlan().toString().splitlines() if "Format: " in line}
+    got = sorted((r.path[-5:], r.seq, r.line) for r in logs.scan_files(spark, str(tmp_path)).collect())
+    assert [(p, line) for p, _, line in got] == [("a.log", "x"), ("a.log", "y"), ("b.log", None)]
