@@ -212,7 +212,8 @@ def write_log_files(spark: SparkSession, sf_dir: str, path: str) -> None:
     blank = F.split("run_id", "-")[0].cast("int") % 10 == 9
     log_lines(spark, sf_dir).select(
         F.col("run_id").alias("run"), "seq", F.when(blank, " ").otherwise(F.concat("line", F.lit("  "))).alias("value")
-    ).repartition("run").sortWithinPartitions("run", "seq").select("run", "value").write.partitionBy("run").text(path)
+    ).repartition("run").sortWithinPartitions("run", "seq").select("run", "value").write.partitionBy("run").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # each task moves its own files, not the driver all
 
 
 def write_dbt_files(spark: SparkSession, sf_dir: str, path: str) -> tuple[str, str]:

@@ -28,16 +28,16 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Files are read splittably. Within a split the row order is the line order,
     so a line's number is the count of lines in the earlier splits of its file
-    plus its offset in its own split. Only one row per split is aggregated.
+    plus its offset in its own split. Only one row per split is aggregated. The
+    lines are written once, as opening very many files costs most.
     """
-    lines = (
+    lines = materialize(
         spark.read.option("lineSep", "\n").text(paths)
         .select(F.col("_metadata.file_path").alias("path"),
                 F.col("_metadata.file_block_start").alias("split"),
                 parsing.right_strip(F.col("value")).alias("line"))
         .filter(parsing.strip(F.col("line")) != "")
-        .withColumn("at", F.monotonically_increasing_id())
-    )
+        .withColumn("at", F.monotonically_increasing_id()), "log_lines")
     earlier = Window.partitionBy("path").orderBy("split").rowsBetween(
         Window.unboundedPreceding, -1)
     splits = (
