@@ -55,9 +55,12 @@ def issues(spark, d) -> DataFrame:
 
 def investigation(spark, d, **options) -> inv.Investigation:
     options = {"changes": changes(spark, d), "issues": issues(spark, d)} | options
+    # runs, configurations and lines have several consumers (frames are found apart): written once,
+    # or they are made of the events for each
+    lines = materialize(A.log_lines(spark, d).drop("ts"), "log_lines")
     return inv.investigate(
-        A.runs(spark, d), logs.parse_lines(A.log_lines(spark, d)),
-        configs=A.configs(spark, d), **options)
+        materialize(A.runs(spark, d), "runs"), logs.parse_lines(lines),
+        configs=materialize(A.configs(spark, d), "configs"), **options)
 
 
 def offline(spark, d) -> inv.Investigation:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
 from .dialect import SPACE_CHARS, java, text
+from .literals import required_literals
 
 _SPACES = text(SPACE_CHARS)
 
@@ -29,14 +30,17 @@ def _title(message: str, pattern: str, title: str) -> str:
 
 
 def signature_matches(message: str, platform: str, code: str,
-                      signatures: list[tuple] | None = None, only: list[int] | None = None) -> Column:
+                      signatures: list[tuple] | None = None, only: list[int] | None = None,
+                      low: str | None = None) -> Column:
     """Array of matches in signature order; empty when nothing matches.
 
     The arguments are SQL expressions. Patterns are literals, so each is
     compiled once per task; a signature table joined as rows would compile a
     pattern per row. ``signatures`` takes a user-supplied list in the layout of
-    ``fixed.SIGNATURES``; ``only`` names the positions of it to try. The
-    expression grows with the list: see ``operators.rules`` for a long one.
+    ``fixed.SIGNATURES``; ``only`` names the positions of it to try. ``low``
+    names the lower-cased message: a signature then runs its pattern only where
+    that holds a literal which the pattern requires. The expression grows with
+    the list: see ``operators.rules`` for a long one.
     """
     items = []
     listed = fixed.SIGNATURES if signatures is None else signatures
@@ -44,6 +48,9 @@ def signature_matches(message: str, platform: str, code: str,
         sig, category, only_on, weight, groups, title, raw, ci = listed[ord_]
         pattern = java(raw, ci)
         hit = f"rlike({message}, {text(pattern)})"
+        needed = required_literals(raw) if low else []
+        if needed:
+            hit = f"({' or '.join(f'contains({low}, {text(x)})' for x in needed)}) and {hit}"
         if only_on:
             hit = f"({platform} is null or {platform} = {text(only_on)}) and {hit}"
         token = "cast(null as string)"
@@ -62,6 +69,17 @@ def signature_matches(message: str, platform: str, code: str,
     return F.expr(f"array_compact(array({', '.join(items)}))")
 
 
+def with_matches(events: DataFrame, message: str, platform: str, code: str,
+                 signatures: list[tuple] | None = None, only: list[int] | None = None) -> DataFrame:
+    """``events`` with ``matches``, the array of ``signature_matches``.
+
+    A column of its own, to be exploded by name: a generator over the expression
+    works out the type of the whole list again for each row.
+    """
+    low = events.select("*", F.expr(f"lower({message})").alias("__low"))
+    return low.select(*events.columns, signature_matches(message, platform, code, signatures, only, "__low").alias("matches"))
+
+
 def label_sql(category: str) -> str:
     labels = ", ".join(text(x) for kv in fixed.CATEGORY_LABELS.items() for x in kv)
     return f"try_element_at(map({labels}), {category})"

@@ -25,11 +25,10 @@ def jaccard_similarity(a: Column, b: Column) -> Column:
 
 def short_id_sql(seed: str) -> str:
     """32-bit FNV-1a over UTF-16 units, base 36, seven characters."""
-    units = f"hex(encode({seed}, 'UTF-16BE'))"
+    units = f"regexp_extract_all(hex(encode({seed}, 'UTF-16BE')), '.{{4}}', 0)"  # cut once, not once a unit
     return f"""substring(lpad(lower(conv(cast(aggregate(
-        transform(if(length({units}) = 0, cast(array() as array<int>), sequence(0, cast(length({units}) / 4 as int) - 1)),
-                  u -> cast(conv(substring({units}, u * 4 + 1, 4), 16, 10) as bigint)),
-        2166136261L, (h, c) -> ((h ^ c) * 16777619L) & 4294967295L) as string), 10, 36)), 7, '0'), 1, 7)"""
+        {units}, 2166136261L, (h, c) -> ((h ^ cast(conv(c, 16, 10) as bigint)) * 16777619L) & 4294967295L
+        ) as string), 10, 36)), 7, '0'), 1, 7)"""
 
 
 def short_id(seed: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.signatures import signature_matches
+from ..functions.signatures import with_matches
 from ..sources.model import RUN_KEY
 from .rules import indexed_matches
 
@@ -19,13 +19,11 @@ def _long(signatures: list[tuple] | None) -> bool:
 
 def signature_match(meaningful: DataFrame, signatures: list[tuple] | None = None) -> DataFrame:
     """One row per (event, signature) match over the meaningful errors."""
+    known = meaningful.select("run_id", "platform", "seq", "message", "code")
     if _long(signatures):
-        return indexed_matches(meaningful, "message", "platform", "code", signatures).select(
-            "run_id", "platform", "seq", "m.*")
-    return meaningful.select(
-        "run_id", "platform", "seq",
-        F.explode(signature_matches("message", "platform", "code", signatures)).alias("m"),
-    ).select("run_id", "platform", "seq", "m.*")
+        return indexed_matches(known, "message", "platform", "code", signatures).select("run_id", "platform", "seq", "m.*")
+    return with_matches(known, "message", "platform", "code", signatures).select(
+        "run_id", "platform", "seq", F.explode("matches").alias("m")).select("run_id", "platform", "seq", "m.*")
 
 
 def triage_runs(groups: DataFrame, signatures: list[tuple] | None = None) -> DataFrame:
@@ -44,7 +42,7 @@ def triage_runs(groups: DataFrame, signatures: list[tuple] | None = None) -> Dat
         matches = indexed_matches(groups.select(*kept), *found).withColumn("pos", F.lit(1))
         matched = matches.unionByName(groups.select(*kept, F.lit(0).alias("pos")), allowMissingColumns=True)
     else:
-        matched = groups.select(*kept, F.posexplode_outer(signature_matches(*found)).alias("pos", "m"))
+        matched = with_matches(groups.select(*kept), *found).select(*kept, F.posexplode_outer("matches").alias("pos", "m"))
 
     lead = "coalesce(pos, 0) = 0"                        # once per group
     error = f"{lead} and event is not null"

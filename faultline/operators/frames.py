@@ -26,7 +26,7 @@ def attach_frame(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     message = F.col("message")
     marked = events.withColumn("__frame", parsing.has_code_ref(message)).withColumn(
         "__raise",
-        ~F.col("__frame") & (F.col("severity") == "error") & parsing.is_exception_line(message),
+        ~F.col("__frame") & parsing.is_exception_line(message) & (F.col("severity") == "error"),  # the dear test last
     )
     traced = F.col("__frame") | F.col("__raise")
     plain = marked.filter(~traced).withColumn("code", F.lit(None).cast(parsing.CODE_REF_TYPE))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, parsing, redaction, scoring
 from ..functions.scoring import confidence_sql
 from ..functions.signatures import label_sql
-from ..functions.text import short_id, short_id_sql
+from ..functions.text import short_id
 from ..operators import classify, compare, correlate, dedup
 from ..operators.skew import shuffled
 from ..sources.model import RUN_KEY, SOURCE_REF_TYPE, source_ref
@@ -178,13 +178,13 @@ def _seconds(alternates: int | None) -> str:
 def _hypothesis_sql(ord_: str, seed: str, category: str, title: str, rationale: str,
                     score: str) -> str:
     return (f"named_struct('order', -round({score}, 3), 'ord', {ord_}, "
-            f"'hypothesis_id', {short_id_sql(seed)}, 'category', {category}, 'title', {title}, "
+            f"'seed', {seed}, 'category', {category}, 'title', {title}, "
             f"'rationale', {rationale}, 'confidence', {confidence_sql(score)}, "
             f"'score', round({score}, 3))")
 
 
 def ranked_hypotheses(alternates: int | None = ALTERNATES) -> Column:
-    """Array per scored run: the primary and its alternates, best first."""
+    """Array per scored run: the primary and its alternates, best first; ``seed`` makes a hypothesis's id."""
     label, other = label_sql("category"), label_sql("c.category")
     primary = _hypothesis_sql(
         "0", "concat('h-primary', category, coalesce(token, ''))", "category",
@@ -208,7 +208,7 @@ def build_hypotheses(scored: DataFrame, alternates: int | None = ALTERNATES) ->
         *RUN_KEY, F.posexplode(ranked_hypotheses(alternates)).alias("pos", "h"), "match_code",
     ).select(
         *RUN_KEY, (F.col("pos") + 1).alias("rank"), (F.col("h.ord") == 0).alias("is_primary"),
-        "h.hypothesis_id", "h.category", "h.title", "h.rationale", "h.confidence", "h.score",
+        short_id("h.seed").alias("hypothesis_id"), "h.category", "h.title", "h.rationale", "h.confidence", "h.score",
         F.when(F.col("h.ord") == 0, F.col("match_code")).alias("code"))
 
 
@@ -291,8 +291,8 @@ def evidence_from_run(scored: DataFrame) -> DataFrame:
             F.lit("No successful baseline run was supplied; cross-run comparison was skipped."),
             F.lit("e-nobaseline"))),
     ))
-    return scored.select(*RUN_KEY, "category", F.explode(items).alias("e")).select(
-        *RUN_KEY, "category", "e.*")
+    return scored.select(*RUN_KEY, "category", items.alias("items")).select(
+        *RUN_KEY, "category", F.explode("items").alias("e")).select(*RUN_KEY, "category", "e.*")
 
 
 def evidence_from_diff(scored: DataFrame, diff: DataFrame,
@@ -375,7 +375,8 @@ def build_incidents(scored: DataFrame, created_at: str | None = None) -> DataFra
     ``created_at`` stamps the rows; the clock is not read. ``incident_id`` comes from
     the run's id, so equal ids of two platforms share it; ``incident_key`` does not.
     """
-    headed = scored.withColumn("top", ranked_hypotheses()[0])
+    # exploded, so that a filter on what comes of it stays above and does not work it out again
+    headed = scored.withColumn("head", ranked_hypotheses()[0]).withColumn("top", F.explode(F.array("head")))
     cause = F.when(F.col("earliest_message").isNotNull(), F.concat(
         F.lit(" The earliest meaningful error was: "), F.col("earliest_message")))
     return headed.select(
