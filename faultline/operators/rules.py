@@ -61,7 +61,9 @@ def indexed_matches(events: DataFrame, message: str, platform: str, code: str,
     does contain run their expression. Of several literals of a signature the
     event's first counts, so nothing is told apart by a shuffle. Candidates are
     sorted by signature within their task, so that each expression is compiled
-    once there and not once a row. Signatures without a required literal run on
+    once there and not once a row. They are sorted without the expression, long
+    beside an event, and get it after: the list is broadcast, which keeps the
+    order. Signatures without a required literal run on
     every event, as in ``signature_matches``.
 
     An event whose message is null matches nothing.
@@ -72,10 +74,13 @@ def indexed_matches(events: DataFrame, message: str, platform: str, code: str,
         known = ", ".join(map(text, grams))
         leads = (f"filter(array_distinct(regexp_extract_all(lower({message}), '(?s)(?=(.{{{SIZE}}}))', 1)), "
                  f"g -> g in ({known}))")
-        joined = events.withColumn("__gram", F.explode(F.expr(leads))).join(index, "__gram").filter(
-            f"contains(lower({message}), __rule.literal) "
-            f"and (__rule.only_on is null or {platform} is null or {platform} = __rule.only_on) "
-            f"and filter(__rule.literals, x -> contains(lower({message}), x))[0] = __rule.literal")
+        keys = ["sig_ord", "only_on", "literal", "literals"]  # what tells candidates apart; the rest is long
+        leading = index.select("__gram", F.struct(*[f"__rule.{k}" for k in keys]).alias("__lead"))
+        rules = index.select(F.col("__rule.sig_ord").alias("__ord"), "__rule").filter("__rule.literal = __rule.literals[0]")
+        joined = events.withColumn("__gram", F.explode(F.expr(leads))).join(F.broadcast(leading), "__gram").filter(
+            f"contains(lower({message}), __lead.literal) "
+            f"and (__lead.only_on is null or {platform} is null or {platform} = __lead.only_on) "
+            f"and filter(__lead.literals, x -> contains(lower({message}), x))[0] = __lead.literal")
         extract = f"regexp_extract({message}, __rule.pattern, {{}})"
         title = (f"coalesce(__rule.title, trim(both {text(SPACE_CHARS)} from array_join(transform(__rule.parts, "
                  f"p -> coalesce(p.plain, {extract.format('p.grp')})), '')))")
@@ -85,8 +90,10 @@ def indexed_matches(events: DataFrame, message: str, platform: str, code: str,
                  f"'path', {extract.format('__rule.path_group')}, "
                  f"'line', try_cast({extract.format('__rule.line_group')} as bigint), "
                  "'symbol', cast(null as string)))")
-        # the generator keeps the sort in place: a filter would be moved below it
-        parts.append(joined.sortWithinPartitions("__rule.sig_ord").select(*events.columns, F.explode(F.expr(
+        # the generators keep the sort in place: it would be dropped below a join, and a filter moved below it
+        ordered = joined.select(*events.columns, F.col("__lead.sig_ord").alias("__found")).sortWithinPartitions("__found")
+        ruled = ordered.select(*events.columns, F.explode(F.array("__found")).alias("__ord")).join(F.broadcast(rules), "__ord")
+        parts.append(ruled.select(*events.columns, F.explode(F.expr(
             f"array_compact(array(case when regexp_instr({message}, __rule.pattern) > 0 then named_struct("
             "'sig_ord', __rule.sig_ord, 'signature', __rule.signature, 'category', __rule.category, "
             f"'weight', __rule.weight, 'title', {title}, 'token', {token}, 'code', {place}) end))")).alias("m")))
