@@ -10,9 +10,14 @@ model, or by its own where the other has none in that language. The lower
 orders' continuation counts, the three discounts of each order and the
 probabilities follow from these counts, and are stored as sorted arrays of
 64-bit n-gram numbers (the bytes packed, so the hash is free of collisions)
-searched by bisection. Bytes rather than words: a language has at most 2^24
-trigrams of bytes, so the broadcast model is bounded however large the corpus
-is, while its counts keep growing with it.
+searched by bisection.
+
+The orders up to LOWER are broadcast: a language has at most 2^24 trigrams of
+bytes, however large the corpus is. The two orders above grow with it and stay
+a table. Documents are dealt to parts; a part asks for each of its n-grams
+once. An n-gram, its context, its suffix and the suffix's context all hold the
+bytes in its middle, so counts and questions that share them meet in one task,
+which has all it needs for both orders; the answers go back to their part.
 
 Bands: the logarithm of the perplexity is gathered per language in bins of
 BIN, again over the documents that the base rules pass; documents beyond SPREAD
@@ -41,7 +46,11 @@ from pyspark.sql import functions as F
 from faultline.llm.common import slices
 from faultline.storage import materialize
 
-ORDER = 3
+LOWER = 3  # orders that every task holds
+ORDER = LOWER + 2
+PART_BYTES = 32_000_000  # text of a part of the documents; the larger, the fewer n-grams are asked for twice
+MIN_PARTS, SMALL_PART = 24, 4_000_000  # fewer parts only where they would be smaller than that
+ROWS = 500  # documents whose n-grams are folded at a time
 BIN, SPREAD, MIN_DISTANCE = 0.001, 10.0, 0.02
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SPACES = " \t\n\r\x0b\x0c"
@@ -151,6 +160,17 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
     return (np.where(known, values[at], missing) if len(keys) else np.full(len(wanted), missing)), known
 
 
+def discounts(kinds: np.ndarray) -> np.ndarray:
+    """By count (0 to 3 and more), from how many n-grams have the counts 0 to 4."""
+    kinds = np.asarray(kinds, float)
+    y = kinds[1] / max(1.0, kinds[1] + 2 * kinds[2])
+    cut = np.array([0.0, 0.5, 1.0, 1.5])
+    for k in (1, 2, 3):
+        if kinds[k] and kinds[k + 1] and (estimate := k - (k + 1) * y * kinds[k + 1] / kinds[k]) > 0:
+            cut[k] = estimate
+    return cut
+
+
 class KneserNey:
     """Interpolated modified Kneser-Ney; natural logarithms.
 
@@ -159,20 +179,19 @@ class KneserNey:
     was discounted, not the smallest number there is.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.order = order
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int = LOWER,
+                 below: KneserNey | None = None, cuts: list[np.ndarray] | None = None):
+        """``below`` is the model of the lower orders, if some other has it; ``cuts`` the discounts of
+        the orders above it, lowest first, if ``grams`` are not all there are."""
+        self.order, self.below, self.base = order, below, below.order if below else 0
         self.levels: list[Level] = []
         tables = [(grams, counts)]
-        for size in range(order - 1, 0, -1):  # continuation counts: kinds of first byte
+        for size in range(order - 1, self.base, -1):  # continuation counts: kinds of first byte
             mask = np.uint64((1 << 8 * size) - 1)
             tables.append(np.unique(tables[-1][0] & mask, return_counts=True))
-        for size, (keys, n) in enumerate(reversed(tables), 1):
-            kinds = np.bincount(np.minimum(n, 5), minlength=5).astype(float)
-            y = kinds[1] / max(1.0, kinds[1] + 2 * kinds[2])
-            cut = np.array([0.0, 0.5, 1.0, 1.5])
-            for k in (1, 2, 3):
-                if kinds[k] and kinds[k + 1] and (estimate := k - (k + 1) * y * kinds[k + 1] / kinds[k]) > 0:
-                    cut[k] = estimate
+        for at_level, (keys, n) in enumerate(reversed(tables)):
+            size = self.base + at_level + 1
+            cut = cuts[at_level] if cuts else discounts(np.bincount(np.minimum(n, 5), minlength=5))
             discount = cut[np.minimum(n, 3)]
             contexts, at = np.unique(keys >> np.uint64(8), return_inverse=True)
             total = np.bincount(at, n, len(contexts))
@@ -182,9 +201,9 @@ class KneserNey:
             self.levels.append(Level(keys, np.log(p), contexts, np.log(back)))
 
     def _log(self, wanted: np.ndarray, size: int) -> np.ndarray:
-        if size == 0:
-            return np.full(len(wanted), -np.log(256.0))
-        level = self.levels[size - 1]
+        if size == self.base:
+            return self.below._log(wanted, size) if self.below else np.full(len(wanted), -np.log(256.0))
+        level = self.levels[size - 1 - self.base]
         logp, known = _find(level.grams, level.logp, wanted, 0.0)
         miss = np.flatnonzero(~known)
         if len(miss):
@@ -199,38 +218,138 @@ class KneserNey:
         return float(-(self._log(kinds, self.order) @ n) / len(grams))
 
 
-def train(docs: DataFrame, order: int = ORDER) -> dict[tuple[str, int], KneserNey]:
-    """The model of each language and fold, made of the texts of that fold."""
-    counted = count_ngrams(docs, order).toArrow()  # at most 2^(8 order) rows a language and fold
-    key = np.array([f"{half}{lang}" for lang, half in zip(counted["lang"].to_pylist(), counted["fold"].to_pylist(), strict=True)], object)
-    gram, n = counted["gram"].to_numpy().astype(np.uint64), counted["n"].to_numpy()
+@dataclass
+class Model:
+    """What every task holds of a language's fold: the lower orders, and the discounts of those above."""
+
+    below: KneserNey
+    cuts: list[np.ndarray]
+
+
+def _shorter(counted: DataFrame, size: int) -> DataFrame:
+    """Continuation counts of the next order."""
+    return counted.groupBy("lang", "fold", F.col("gram").bitwiseAND((1 << 8 * size) - 1).alias("gram")).agg(
+        F.count("*").alias("n"))
+
+
+def train(counted: DataFrame) -> dict[tuple[str, int], Model]:
+    """The lower orders of each language and fold, from the counts of order ORDER."""
+    four = _shorter(counted, ORDER - 1)
+    kinds = [F.count_if(F.col("n") == k).alias(f"k{k}") for k in range(1, 5)]
+    known = {(r.lang, r.fold, size): [0, r.k1, r.k2, r.k3, r.k4]
+             for size, table in ((ORDER - 1, four), (ORDER, counted))
+             for r in table.groupBy("lang", "fold").agg(*kinds).collect()}
+    three = _shorter(four, LOWER).toArrow()  # at most 2^24 rows a language and fold
+    key = np.array([f"{half}{lang}" for lang, half in zip(three["lang"].to_pylist(), three["fold"].to_pylist(), strict=True)], object)
+    gram, n = three["gram"].to_numpy().astype(np.uint64), three["n"].to_numpy()
     models = {}
     for name in sorted(set(key)):
         own = np.flatnonzero(key == name)
         own = own[np.argsort(gram[own])]
-        models[name[1:], int(name[0])] = KneserNey(gram[own], n[own], order)
+        lang, half = name[1:], int(name[0])
+        models[lang, half] = Model(KneserNey(gram[own], n[own], LOWER),
+                                   [discounts(known[lang, half, size]) for size in (ORDER - 1, ORDER)])
     return models
 
 
-def score(docs: DataFrame, models: dict[tuple[str, int], KneserNey]) -> DataFrame:
-    """doc_id, lang, the base counts and log_perplexity of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+def _judge(models, lang: str, text: str | None) -> tuple[str, int] | None:
+    half = fold(text)
+    return next(((lang, h) for h in (1 - half, half) if (lang, h) in models), None)
 
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
-        for part in slices(batches):
-            counts, logs = [], []
-            for lang, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+
+def _middle(grams: np.ndarray, groups: int) -> np.ndarray:
+    """The group of n-grams, by the bytes that their contexts and suffixes share."""
+    return (grams >> np.uint64(8) & np.uint64((1 << 8 * (ORDER - 2)) - 1)) % np.uint64(groups)
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    return np.diff(grams, prepend=np.uint64(0)).tobytes()  # differences of sorted numbers compress
+
+
+def _unpacked(data: list[bytes]) -> list[np.ndarray]:
+    return [np.cumsum(np.frombuffer(d, np.uint64)) for d in data]
+
+
+def _by_model(table: pa.Table) -> dict[tuple[str, int], list[int]]:
+    """The rows of each (lang, fold) of ``table``."""
+    places: dict[tuple[str, int], list[int]] = {}
+    for i, name in enumerate(zip(table["lang"].to_pylist(), table["fold"].to_pylist(), strict=True)):
+        places.setdefault(name, []).append(i)
+    return places
+
+
+def score(docs: DataFrame, counted: DataFrame, models: dict[tuple[str, int], Model]) -> DataFrame:
+    """doc_id, lang, the base counts and log_perplexity of every row."""
+    sc = docs.sparkSession.sparkContext
+    sent, have = sc.broadcast(models), frozenset(models)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(size // PART_BYTES), min(MIN_PARTS, int(size // SMALL_PART))) + 1
+    groups = max(parts, MIN_PARTS)
+    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(parts)).cast("int"))
+    asked_type = "part int, lang string, fold int, grp int, grams binary"
+    asked_schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("fold", pa.int32()), ("grp", pa.int32()),
+                              ("grams", pa.binary())])
+
+    def ask(part: pa.Table) -> pa.Table:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for a in range(0, part.num_rows, ROWS):
+            some, by = part.slice(a, ROWS), {}
+            for lang, text in zip(some["lang"].to_pylist(), some["text"].to_pylist(), strict=True):
+                if name := _judge(have, lang, text):
+                    by.setdefault(name, [held.get(name, np.zeros(0, np.uint64))]).append(ngrams(text, ORDER))
+            held |= {name: np.unique(np.concatenate(grams)) for name, grams in by.items()}
+        number, rows = part["part"][0].as_py(), []
+        for (lang, half), grams in held.items():
+            at = _middle(grams, groups)
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order].astype(np.int64), prepend=-1))
+            for some in np.split(order, starts[1:]) if len(order) else []:
+                rows.append({"part": number, "lang": lang, "fold": half, "grp": int(at[some[0]]), "grams": _packed(grams[some])})
+        return pa.Table.from_pylist(rows, asked_schema)
+
+    def answer(counts: pa.Table, wanted: pa.Table) -> pa.Table:
+        data, logs = wanted["grams"].to_pylist(), [b""] * wanted.num_rows
+        keys, n = counts["gram"].to_numpy().astype(np.uint64), counts["n"].to_numpy()
+        known = _by_model(counts) if len(data) else {}
+        for name, rows in _by_model(wanted).items():
+            own = np.array(known.get(name, []), np.int64)
+            own = own[np.argsort(keys[own])]
+            model, grams = sent.value[name], _unpacked([data[i] for i in rows])
+            found = KneserNey(keys[own], n[own], ORDER, model.below, model.cuts)._log(np.concatenate(grams), ORDER)
+            for i, some in zip(rows, np.split(found, np.cumsum([len(g) for g in grams])[:-1]), strict=True):
+                logs[i] = some.tobytes()
+        return wanted.select(asked_schema.names).append_column("logs", pa.array(logs, pa.binary()))
+
+    asked = dealt.groupBy("part").applyInArrow(ask, asked_type)
+    grp = F.shiftright("gram", 8).bitwiseAND((1 << 8 * (ORDER - 2)) - 1) % groups  # as in _middle
+    answered = counted.withColumn("grp", grp.cast("int")).groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(
+        answer, asked_type + ", logs binary")
+
+    def judge(part: pa.Table, answers: pa.Table) -> pa.Table:
+        held, out = {}, []
+        data, logp = answers["grams"].to_pylist(), answers["logs"].to_pylist()
+        for name, rows in _by_model(answers).items():
+            keys = np.concatenate(_unpacked([data[i] for i in rows]))
+            order = np.argsort(keys)
+            held[name] = keys[order], np.concatenate([np.frombuffer(logp[i]) for i in rows])[order]
+        for a in range(0, part.num_rows, ROWS):
+            some, counts, logs = part.slice(a, ROWS), [], []
+            for lang, text in zip(some["lang"].to_pylist(), some["text"].to_pylist(), strict=True):
                 counts.append(base_counts(text))
-                half = fold(text)
-                model = models.get((lang, 1 - half)) or models.get((lang, half))
-                logs.append(model.log_perplexity(ngrams(text, model.order)) if model else None)
+                grams, name = ngrams(text, ORDER), _judge(have, lang, text)
+                if name and len(grams):
+                    keys, values = held[name]
+                    logs.append(float(-values[np.searchsorted(keys, grams)].sum() / len(grams)))
+                else:
+                    logs.append(None)
             columns = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), *columns, pa.array(logs, pa.float64())],
-                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"])
+            out.append(pa.Table.from_arrays(
+                [some["doc_id"], some["lang"], *columns, pa.array(logs, pa.float64())], names=names))
+        return pa.concat_tables(out) if out else pa.schema(
+            [(c, pa.string() if c == "lang" else pa.float64() if c == names[-1] else pa.int64()) for c in names]).empty_table()
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
+    return dealt.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(
         judge, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                "n_repeat_words long, log_perplexity double")
 
@@ -254,7 +373,8 @@ def judge_quality(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     """doc_id, the base counts, base_failed, log_perplexity, lower, upper, kept of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
                        F.col("text").cast("string"))
-    scored = materialize(score(rows, train(rows)), "perplexity")
+    counted = materialize(count_ngrams(rows), "ngrams")
+    scored = materialize(score(rows, counted, train(counted)), "perplexity")
     failed = fails(F.col("n_words"), F.col("n_repeat_words"))
     inside = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
     return (scored.join(F.broadcast(bands(scored, spread)), "lang", "left")  # one row per language
