@@ -6,7 +6,7 @@ import pytest
 
 from faultline.llm import perplexity
 
-from .test_text_operators import PlainKneserNey
+from .test_text_operators import PlainKneserNey, prose  # noqa: F401
 
 
 def test_perplexity_of_five_bytes_over_many_parts(spark, prose, monkeypatch):
