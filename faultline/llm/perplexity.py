@@ -14,8 +14,9 @@ searched by bisection.
 
 The orders up to LOWER are broadcast: a language has at most 2^24 trigrams of
 bytes, however large the corpus is. The two orders above grow with it and stay
-a table. Documents are dealt to parts; a part asks for each of its n-grams
-once. An n-gram, its context, its suffix and the suffix's context all hold the
+a table. Documents are dealt to parts, and travel packed: a task compresses the
+documents of a part together, as text is most of what moves. A part asks for
+each of its n-grams once. An n-gram, its context, its suffix and the suffix's context all hold the
 bytes in its middle, so counts and questions that share them meet in one task,
 which has all it needs for both orders; the answers go back to their part.
 
@@ -51,10 +52,12 @@ ORDER = LOWER + 2
 PART_BYTES = 32_000_000  # text of a part of the documents; the larger, the fewer n-grams are asked for twice
 MIN_PARTS, SMALL_PART = 24, 4_000_000  # fewer parts only where they would be smaller than that
 ROWS = 500  # documents whose n-grams are folded at a time
+PACK_BYTES = 32_000_000  # documents that a task holds before it packs them by part
 BIN, SPREAD, MIN_DISTANCE = 0.001, 10.0, 0.02
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SPACES = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
+_DOCUMENT = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -270,6 +273,42 @@ def _unpacked(data: list[bytes]) -> list[np.ndarray]:
     return [np.cumsum(np.frombuffer(d, np.uint64)) for d in data]
 
 
+def pack_documents(docs: DataFrame, parts: int) -> DataFrame:
+    """part, docs: the rows of ``docs`` (doc_id, lang, text), dealt to parts; a row holds many, compressed together."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(np.argsort(rows["part"].to_numpy(), kind="stable"))
+        numbers, starts = np.unique(rows["part"].to_numpy(), return_index=True)
+        blobs = []
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, _DOCUMENT, options=options) as stream:
+                stream.write_table(rows.slice(a, b - a).select(_DOCUMENT.names).cast(_DOCUMENT).combine_chunks())
+            blobs.append(out.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "docs"])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for some in slices(batches):
+            held.append(some)
+            size += some.nbytes
+            if size >= PACK_BYTES:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    part = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(parts)).cast("int").alias("part")
+    return docs.select(part, "doc_id", "lang", "text").mapInArrow(pack, "part int, docs binary")
+
+
+def unpack_documents(packed: pa.Table) -> pa.Table:
+    """doc_id, lang, text of rows that ``pack_documents`` made."""
+    return pa.concat_tables([_DOCUMENT.empty_table(), *(pa.ipc.open_stream(b.as_buffer()).read_all() for b in packed["docs"])])
+
+
 def _by_model(table: pa.Table) -> dict[tuple[str, int], list[int]]:
     """The rows of each (lang, fold) of ``table``."""
     places: dict[tuple[str, int], list[int]] = {}
@@ -285,15 +324,16 @@ def score(docs: DataFrame, counted: DataFrame, models: dict[tuple[str, int], Mod
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(size // PART_BYTES), min(MIN_PARTS, int(size // SMALL_PART))) + 1
     groups = max(parts, MIN_PARTS)
-    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(parts)).cast("int"))
+    dealt = pack_documents(docs, parts)
     asked_type = "part int, lang string, fold int, grp int, grams binary"
     asked_schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("fold", pa.int32()), ("grp", pa.int32()),
                               ("grams", pa.binary())])
 
     def ask(part: pa.Table) -> pa.Table:
         held: dict[tuple[str, int], np.ndarray] = {}
-        for a in range(0, part.num_rows, ROWS):
-            some, by = part.slice(a, ROWS), {}
+        own = unpack_documents(part)
+        for a in range(0, own.num_rows, ROWS):
+            some, by = own.slice(a, ROWS), {}
             for lang, text in zip(some["lang"].to_pylist(), some["text"].to_pylist(), strict=True):
                 if name := _judge(have, lang, text):
                     by.setdefault(name, [held.get(name, np.zeros(0, np.uint64))]).append(ngrams(text, ORDER))
@@ -326,14 +366,14 @@ def score(docs: DataFrame, counted: DataFrame, models: dict[tuple[str, int], Mod
         answer, asked_type + ", logs binary")
 
     def judge(part: pa.Table, answers: pa.Table) -> pa.Table:
-        held, out = {}, []
+        held, out, own = {}, [], unpack_documents(part)
         data, logp = answers["grams"].to_pylist(), answers["logs"].to_pylist()
         for name, rows in _by_model(answers).items():
             keys = np.concatenate(_unpacked([data[i] for i in rows]))
             order = np.argsort(keys)
             held[name] = keys[order], np.concatenate([np.frombuffer(logp[i]) for i in rows])[order]
-        for a in range(0, part.num_rows, ROWS):
-            some, counts, logs = part.slice(a, ROWS), [], []
+        for a in range(0, own.num_rows, ROWS):
+            some, counts, logs = own.slice(a, ROWS), [], []
             for lang, text in zip(some["lang"].to_pylist(), some["text"].to_pylist(), strict=True):
                 counts.append(base_counts(text))
                 grams, name = ngrams(text, ORDER), _judge(have, lang, text)
