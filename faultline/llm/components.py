@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.common import release
 from faultline.operators.skew import one_per_key
 from faultline.storage import materialize
 
@@ -29,6 +30,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     edges = materialize(edges, "edges")
     while not _stars(edges):
+        release(links.sparkSession)
         down, up = edges.select("u", "v"), edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = down.union(up).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = up.join(one_per_key(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -51,4 +53,4 @@ def _stars(edges: DataFrame) -> bool:
     ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
         edges.select("v", F.lit(0), F.lit(1)))
     ends = ends.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
-    return not ends.filter("below > 1 or (below > 0 and above > 0)").limit(1).count()
+    return ends.filter("below > 1 or (below > 0 and above > 0)").isEmpty()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import slices
+from faultline.llm.common import release, slices
 from faultline.llm.components import components
 from faultline.storage import materialize
 
@@ -168,16 +168,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
              .select(F.col("hub").alias("a"), F.col("uid").alias("b")))
     first = materialize(pairs, "pairs")
     tested = first.union(first.select("b", "a"))
+    release(docs.sparkSession)
     labels = components(_linked(first, texts, words, percent))
     # Buckets that are not one component yet: the members that can still link, those with the fewest shingles of their own first.
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("n") - F.col("most"), "uid"))
     mixed = materialize(_open(members.select("bucket", "uid", "n"), labels).drop("label"), "open")
-    if not mixed.limit(1).count():
+    if mixed.isEmpty():
         return _result(signed, classes, labels)
+    release(docs.sparkSession)
     still = _viable(mixed, texts, words, percent)
     ranked = materialize(_open(still, labels).withColumn("rank", rank), "ranked")
     rough = f"100 * least(most, most_a) >= {percent} * (n + n_a - least(most, most_a))"
     for whole in (False, True):
+        release(docs.sparkSession)
         if whole:
             pairs = _block_pairs(ranked, percent)
         else:
@@ -186,13 +189,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs = ranked.join(pivots, "bucket").filter(f"label <> label_a and rank > rank_a and {rough}")
             pairs = pairs.select("uid_a", "uid", "n_a", "n", "shared_a", "shared").mapInArrow(_close(percent), "a long, b long")
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
+        if pairs.isEmpty():
             continue
         tested = tested.union(pairs.union(pairs.select("b", "a")))
         labels = components(_linked(pairs, texts, words, percent), labels)
         if not whole:
             ranked = materialize(_open(ranked.drop("label"), labels), "ranked")
-            if not ranked.limit(1).count():
+            if ranked.isEmpty():
                 break
     return _result(signed, classes, labels)
 
@@ -343,11 +346,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     stay = (groups.groupBy(*key).agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
             .filter("stays").select(*key, "rows"))
     stay = materialize(stay, "stay")
+    release(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), none.alias("_none"), number.alias("_doc"),
                        F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     # The decisions are the small side: hashed, so that the texts are not sorted.
     kept = rows.join(stay.hint("shuffle_hash"), key)
     out = kept
-    if stay.filter("rows > 1").limit(1).count():  # repeated rows: one of each
+    if not stay.filter("rows > 1").isEmpty():  # repeated rows: one of each
         out = kept.filter("rows = 1").unionByName(kept.filter("rows > 1").dropDuplicates(key))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -43,3 +43,13 @@ def test_perplexity_shuffles_no_plain_texts(spark, prose):  # noqa: F811
     plan = perplexity.score(docs, counted, perplexity.train(counted))._jdf.queryExecution().optimizedPlan().toString()
     groups = [line for line in plan.split("\n") if "FlatMapGroupsInArrow" in line or "FlatMapCoGroupsInArrow" in line]
     assert len(groups) == 3 and not any("text" in line for line in groups)
+
+
+def test_components_release_what_a_round_held(spark, monkeypatch):
+    from faultline.llm import components as module
+
+    released = []
+    monkeypatch.setattr(module, "release", released.append)
+    links = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    assert {(r.id, r.root) for r in module.components(links).collect()} == {(k, 0) for k in range(21)}
+    assert len(released) >= 2  # once a round
