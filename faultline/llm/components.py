@@ -28,7 +28,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             links = links.join(labels.select(F.col("id").alias(end), "root"), end, "left")
             links = links.withColumn(end, F.coalesce("root", end)).drop("root")
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    edges = materialize(edges, "edges")
+    edges = materialize(edges, "edges", narrow=True)
     while not _stars(edges):
         release(links.sparkSession)
         down, up = edges.select("u", "v"), edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
@@ -37,15 +37,15 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(one_per_key(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        edges = materialize(small, "edges")
+        edges = materialize(small, "edges", narrow=True)
     roots = edges.select(F.col("v").alias("id")).distinct()
     found = (edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
              .union(roots.select("id", F.col("id").alias("root"))))
     if labels is None:
-        return materialize(found, "labels")
+        return materialize(found, "labels", narrow=True)
     later = found.select(F.col("id").alias("root"), F.col("root").alias("later"))
     moved = labels.join(later, "root", "left").select("id", F.coalesce("later", "root").alias("root"))
-    return materialize(moved.union(found.join(labels, "id", "left_anti").select("id", "root")), "labels")
+    return materialize(moved.union(found.join(labels, "id", "left_anti").select("id", "root")), "labels", narrow=True)
 
 
 def _stars(edges: DataFrame) -> bool:

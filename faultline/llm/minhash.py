@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = signed.join(classes, ["key", "uid"])
     members = reps.select(F.explode("bands").alias("bucket"), "uid", F.col("n_shingles").alias("n"))
     shared = members.groupBy("bucket").agg(F.min("uid").alias("hub"), F.max("uid").alias("last")).filter("hub < last")
-    members = materialize(members.join(shared.select("bucket", "hub"), "bucket"), "buckets")
+    members = materialize(members.join(shared.select("bucket", "hub"), "bucket"), "buckets", narrow=True)
     wanted = members.select("uid").distinct().join(signed.select("uid", "doc_id", "text_hash", "key"), "uid")
     texts = materialize(_texts(docs, wanted, words), "texts")
 
@@ -166,13 +166,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sizes = members.select(F.col("uid").alias("hub"), F.col("n").alias("m")).distinct()
     pairs = (members.filter("uid > hub").select("hub", "uid", "n").distinct().join(sizes, "hub").filter(fits)
              .select(F.col("hub").alias("a"), F.col("uid").alias("b")))
-    first = materialize(pairs, "pairs")
+    first = materialize(pairs, "pairs", narrow=True)
     tested = first.union(first.select("b", "a"))
     release(docs.sparkSession)
     labels = components(_linked(first, texts, words, percent))
     # Buckets that are not one component yet: the members that can still link, those with the fewest shingles of their own first.
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("n") - F.col("most"), "uid"))
-    mixed = materialize(_open(members.select("bucket", "uid", "n"), labels).drop("label"), "open")
+    mixed = materialize(_open(members.select("bucket", "uid", "n"), labels).drop("label"), "open", narrow=True)
     if mixed.isEmpty():
         return _result(signed, classes, labels)
     release(docs.sparkSession)
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                 "bucket", *[F.col(c).alias(f"{c}_a") for c in ("uid", "n", "most", "shared", "label", "rank")])
             pairs = ranked.join(pivots, "bucket").filter(f"label <> label_a and rank > rank_a and {rough}")
             pairs = pairs.select("uid_a", "uid", "n_a", "n", "shared_a", "shared").mapInArrow(_close(percent), "a long, b long")
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs", narrow=True)
         if pairs.isEmpty():
             continue
         tested = tested.union(pairs.union(pairs.select("b", "a")))

@@ -28,12 +28,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/faultline/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle partitions behind one file of a table of narrow rows, where that is more files than cores.
+FILE_PARTITIONS = 16
+
+
+def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once and read it back.
 
     For a result with several consumers: the work behind it runs once, a lost
     executor costs no recomputation of it, and later scans prune columns.
+
+    ``narrow``: the rows are a few numbers, so they are dealt out once more, to as many files as there
+    are cores. A file costs an executor several processes (Hadoop without its native library runs chmod for
+    each file, checksum and folder), and a process just forked shares all memory of its executor.
     """
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    if narrow:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(max(spark.sparkContext.defaultParallelism, parts // FILE_PARTITIONS))
+    path = new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

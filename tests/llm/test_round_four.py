@@ -53,3 +53,30 @@ def test_components_release_what_a_round_held(spark, monkeypatch):
     links = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
     assert {(r.id, r.root) for r in module.components(links).collect()} == {(k, 0) for k in range(21)}
     assert len(released) >= 2  # once a round
+
+
+def test_near_duplicates_write_few_files(spark):
+    import glob
+
+    from faultline.llm import minhash
+    from faultline.storage import shared_dir
+
+    def near(k, lost):
+        return " ".join(f"{k % 6}w{i}" for i in range(60) if i != lost)
+
+    # Links in a chain, so that there are rounds, and buckets of two components.
+    docs = spark.createDataFrame([(k, near(k, k // 6)) for k in range(240)] + [(240, ""), (241, None)], "doc_id long, text string")
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/faultline/*"))
+    held = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = minhash.near_duplicates(docs, 4, 80).collect()
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    assert {(r.doc_id, r.component_id) for r in rows} == {(k, k % 6) for k in range(240)} | {(240, 240), (241, 241)}
+    made = {p: len(glob.glob(f"{p}/part-*")) for p in set(glob.glob(f"{root}/faultline/*")) - before}
+    files = [n for p, n in made.items() if p.split("/")[-1].split("-")[0] in ("buckets", "pairs", "edges", "labels", "open")]
+    assert len(files) >= 5 and max(files) <= max(6, spark.sparkContext.defaultParallelism)
