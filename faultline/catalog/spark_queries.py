@@ -94,8 +94,7 @@ def log_lines_scan(spark, d):
 def log_files_scan(spark, d):
     """Log files on disk, numbered; a blank file is a run without lines."""
     path = new_path(spark, "logs")
-    A.write_log_files(spark, d, path)
-    return logs.scan_files(spark, path).select(
+    return logs.scan_folders(spark, A.write_log_files(spark, d, path)).select(
         F.regexp_extract("path", "run=([^/]+)/", 1).alias("run_id"), "seq", "line")
 
 

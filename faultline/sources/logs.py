@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,18 +28,85 @@ def text_lines(df: DataFrame, text: Column, *keys: str) -> DataFrame:
         parsing.right_strip(F.col("line")).alias("line"))
 
 
-def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Log files -> path, seq, line, without putting a file into one row.
+#: Files up to so many bytes that fit one split are read whole, where the name says that they are plain text.
+WHOLE_BYTES = 1 << 20
+_PLAIN = r"\.(log|txt)$"
+#: Bytes of small files that one task reads, unless there are more cores than that.
+TASK_BYTES = 1 << 26
+FOLDERS_AT_ONCE = 3
+
+
+@contextmanager
+def _plain_listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by a few tasks a core, not by up to 10,000 that list a few folders each, and the driver tries no types on their names."""
+    parallelism = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    settings = {parallelism: str(min(int(spark.conf.get(parallelism)), 8 * spark.sparkContext.defaultParallelism)),
+                "spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
+    was = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
+
+
+def _few_tasks(files: DataFrame) -> DataFrame:
+    """The scan of very many small files in tasks of TASK_BYTES; Spark plans a task for a few files."""
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+
+
+def _file_lines(content: Column) -> Column:
+    """The bytes of a file -> array of its non-blank lines, right-stripped, as the text reader gives them.
+
+    It skips a byte order mark and keeps bytes that are no UTF-8; those go through an encoding of one byte a character.
+    """
+    mark = F.lit(bytes.fromhex("efbbbf"))
+    body = F.when(F.substring(content, 1, 3) == mark, F.expr("substring(content, 4)")).otherwise(content)
+    bytewise = F.transform(F.split(F.decode(body, "ISO-8859-1"), "\n"), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
+    text = body.cast("string")
+    lines = F.when(F.is_valid_utf8(text), F.split(text, "\n")).otherwise(bytewise)
+    return F.filter(F.transform(lines, parsing.right_strip), lambda x: parsing.strip(x) != "")
+
+
+def _listed(spark: SparkSession, paths: str | list[str], **options: bool) -> DataFrame:
+    with _plain_listing(spark):
+        return spark.read.format("binaryFile").options(**options).load(paths)
+
+
+def _whole(spark: SparkSession) -> Column:
+    """Whether a file is read whole; those that aren't are left out by their listing, none is opened for it."""
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return (F.col("_metadata.file_size") <= min(WHOLE_BYTES, split)) & F.col("_metadata.file_name").rlike(_PLAIN)
 
-    Files are read splittably. Within a split the row order is the line order,
+
+def _path() -> Column:
+    return F.col("_metadata.file_path").alias("path")
+
+
+def _whole_files(files: DataFrame, whole: Column) -> DataFrame:
+    """path, length, seq, line of the files read whole; a blank file is one row without a line."""
+    return materialize(
+        _few_tasks(files.filter(whole).select(_path(), "length", "content"))
+        .select("path", "length", F.posexplode_outer(_file_lines(F.col("content"))).alias("pos", "line"))
+        .select("path", "length", F.col("pos").cast("bigint").alias("seq"), "line"), "log_files")
+
+
+def _split_files(spark: SparkSession, paths: str | list[str], whole: Column) -> DataFrame:
+    """path, seq, line of all other files.
+
+    Within a split the row order is the line order,
     so a line's number is the count of lines in the earlier splits of its file
     plus its offset in its own split. Only one row per split is aggregated. The
     lines are written once, as opening very many files costs most.
     """
+    with _plain_listing(spark):
+        texts = spark.read.option("lineSep", "\n").text(paths)
     lines = materialize(
-        spark.read.option("lineSep", "\n").text(paths)
-        .select(F.col("_metadata.file_path").alias("path"),
-                F.col("_metadata.file_block_start").alias("split"),
+        texts.filter(~whole)
+        .select(_path(), F.col("_metadata.file_block_start").alias("split"),
                 parsing.right_strip(F.col("value")).alias("line"))
         .filter(parsing.strip(F.col("line")) != "")
         .withColumn("at", F.monotonically_increasing_id()), "log_lines")
@@ -49,17 +121,43 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         "path", (F.col("at") + F.col("shift")).cast("bigint").alias("seq"), "line")
 
 
+def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Log files -> path, seq, line.
+
+    A small file is one row, numbered inside it. All others are read splittably, without putting a file into one row.
+    """
+    files, whole = _listed(spark, paths), _whole(spark)
+    lines = _whole_files(files, whole).filter(F.col("line").isNotNull()).select("path", "seq", "line")
+    if files.filter(~whole).select("path").isEmpty():
+        return lines
+    return lines.unionByName(_split_files(spark, paths, whole))
+
+
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, length of every file below ``paths`` (files, folders or globs), empty ones too; no content is read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(
-        F.col("_metadata.file_path").alias("path"), "length")
+    return _few_tasks(_listed(spark, paths, recursiveFileLookup=True)).select(_path(), "length")
 
 
 def scan_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, length, seq, line of every log file; a blank file is one row without a line."""
-    lines = read_log_lines(spark, paths).withColumnRenamed("path", "file")
-    files = list_files(spark, paths)
-    return one_per_key(files, "path").join(lines, F.col("path") == F.col("file"), "left").drop("file")
+    files, whole = _listed(spark, paths), _whole(spark)
+    scanned, listed = _whole_files(files, whole), files.select(_path(), "length")
+    rest = listed.filter(~whole)
+    if not set(files.columns) - {"path", "modificationTime", "length", "content"}:  # folders below that are no partitions
+        below = list_files(spark, paths).join(listed.select("path"), "path", "left_anti")
+        rest = rest.unionByName(below)
+    if rest.isEmpty():
+        return scanned
+    lines = _split_files(spark, paths, whole).withColumnRenamed("path", "file")
+    return scanned.unionByName(
+        one_per_key(rest, "path").join(lines, F.col("path") == F.col("file"), "left").drop("file"))
+
+
+def scan_folders(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``scan_files`` of more files than the driver can list at once: a few folders at a time, so
+    that the driver lists some while the tasks read others."""
+    with _plain_listing(spark), ThreadPoolExecutor(FOLDERS_AT_ONCE) as threads:
+        return reduce(DataFrame.unionByName, threads.map(lambda folder: scan_files(spark, folder), folders))
 
 
 def parse_lines(lines: DataFrame, frames: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 from datetime import datetime
 
@@ -100,3 +101,51 @@ def test_log_files_are_opened_once(spark, tmp_path):
                           lines._jdf.queryExecution().executedPlan().toString().splitlines() if "Format: " in line}
     got = sorted((r.path[-5:], r.seq, r.line) for r in logs.scan_files(spark, str(tmp_path)).collect())
     assert [(p, line) for p, _, line in got] == [("a.log", "x"), ("a.log", "y"), ("b.log", None)]
+
+
+def test_small_log_files_read_whole_give_the_lines_of_the_text_reader(spark, tmp_path, monkeypatch):
+    from faultline.sources import logs
+
+    for name, content in {
+        "mark.log": b"\xef\xbb\xbffirst \r\n\n\xff\xfe no utf-8 \xa0\n \xe2\x82\xac tail", "blank.log": b" \n\t\n",
+        "run=1/part.txt": "ä  \n b\x0b\x0c\nc\rd\r\n".encode(), "run=1/z.gz": gzip.compress(b"zip\nped\n"),
+        "run=2/other.dat": b"x\n\ny"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    paths = [str(tmp_path / "*.log"), str(tmp_path / "run=*")]
+
+    def got(read):
+        return sorted((r.path.rsplit("/", 1)[1], -1 if r.seq is None else r.seq, r.line) for r in read(spark, paths).selectExpr(
+            "path", "seq", "hex(cast(line as binary)) as line").collect())
+
+    whole = got(logs.read_log_lines), got(logs.scan_files)
+    assert [x[:2] for x in whole[1]] == [("blank.log", -1), ("mark.log", 0), ("mark.log", 1), ("mark.log", 2), ("other.dat", 0),
+                                         ("other.dat", 1), ("part.txt", 0), ("part.txt", 1), ("part.txt", 2), ("z.gz", 0), ("z.gz", 1)]
+    monkeypatch.setattr(logs, "WHOLE_BYTES", -1)
+    assert (got(logs.read_log_lines), got(logs.scan_files)) == whole
+
+
+def test_log_files_are_dealt_over_folders_and_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Many files: no folder holds them all, and Spark's default of a task for a few folders or files is not used."""
+    from faultline.catalog import adapters
+    from faultline.catalog.spark_queries import QUERIES
+
+    n = 600
+    pq.write_table(pa.table({
+        "event_id": pa.array(range(2 * n), pa.int64()), "user_id": pa.array([None if i == 5 else i % n for i in range(2 * n)], pa.int64()),
+        "event_type": ["view"] * 2 * n, "ts": pa.array([datetime(2024, 1, 2)] * 2 * n, pa.timestamp("us")),
+        "props": ['{"k": 13}'] * 2 * n}), tmp_path / "events.parquet")
+    monkeypatch.setattr(adapters, "FILES_A_FOLDER", 200)
+    sc = spark.sparkContext
+    status = sc.statusTracker()
+    before = set(status.getJobIdsForGroup(None))
+    got = QUERIES["log_files_scan"](spark, str(tmp_path)).collect()
+    assert len({r.run_id for r in got}) == n + 1 and sum(r.seq is None for r in got) == n // 10
+    assert sum(r.seq is not None for r in got) == 2 * (n - n // 10)
+    assert [(r.seq, r.line) for r in got if r.run_id == "__HIVE_DEFAULT_PARTITION__"][0][0] == 0
+    folders = adapters.write_log_files(spark, str(tmp_path), str(tmp_path / "out"))
+    assert len(folders) >= 3
+    tasks = [status.getStageInfo(s).numTasks for j in set(status.getJobIdsForGroup(None)) - before
+             for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+    assert tasks and max(tasks) <= 8 * sc.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
