@@ -25,6 +25,7 @@ BLOCK_CHARS = 256
 FEW_LEADS = 50_000
 CELL_RUNS = 4096      # rows of one side that meet in one join cell of a hot token
 CELL_ISSUES = 4096
+FEW_ISSUES = 64       # issues that may hold a token for the pairs of sets that share it to be listed
 
 
 # --- changes ----------------------------------------------------------------
@@ -66,17 +67,31 @@ def gram_index(blocks: DataFrame) -> DataFrame:
         sizes, lambda n: F.substring("more", F.col("at"), n)))).alias("gram"))
 
 
+def _may_lead(leads: DataFrame, count: int) -> Column:
+    """Whether ``gram`` can be one of ``leads``: a bitmap of their hashes, 64 bits a lead and 8 MB at most, as a scalar."""
+    words = 1 << min(20, max(6, (count - 1).bit_length()))
+    spot = F.pmod(F.xxhash64("gram"), F.lit(words * 64))
+    word, bit = F.floor(spot / 64).cast("int"), (spot % 64).cast("int")
+    marks = leads.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("bits"))
+    empty = leads.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    whole = marks.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]))
+    return F.call_function("shiftrightunsigned", F.get(whole.scalar(), word), bit).bitwiseAND(F.lit(1)) == 1
+
+
 def _pieces(blocks: DataFrame, leads: DataFrame, few: int) -> DataFrame:
     """ord, needle: what the texts hold, in the sizes asked for, at each place that a gram of ``leads`` leads.
 
     The index has hundreds of rows for a row of ``blocks``, which the planner's size check does not
     see, so the sides are fixed here: up to ``few`` leads are sent to the index, more meet it in a
-    sort-merge join, and the block is fetched again for the places found.
+    sort-merge join, and the block is fetched again for the places found. Nearly all grams of the texts lead
+    no token, and a bitmap drops them where they are made, so the index itself is never shuffled.
     """
     index, piece = gram_index(blocks), F.substring("more", F.col("at"), F.col("size")).alias("needle")
-    if leads.count() <= few:
+    count = leads.count()
+    if count <= few:
         return index.join(F.broadcast(leads), "gram").select("ord", "more", "at", F.explode("sizes").alias("size")).select("ord", piece)
-    led = index.drop("more").join(shuffled(one_per_key(leads, "gram")), "gram").select(
+    led = index.drop("more").filter(_may_lead(leads, count)).join(shuffled(one_per_key(leads, "gram")), "gram").select(
         "ord", "block", "at", F.explode("sizes").alias("size")).distinct()
     return led.join(shuffled(blocks.select("ord", "block", "more")), ["ord", "block"]).select("ord", piece)
 
@@ -220,26 +235,44 @@ def similar_incidents(seeds: DataFrame, issues: DataFrame,
 
 
 def _ranked(seeds: DataFrame, issue_tokens: DataFrame) -> DataFrame:
-    """token, rank (a number, rising from rare to frequent), cells of both sides; tokens that both sides have."""
+    """token, rank (a number, rising from rare to frequent), in_issues; tokens that both sides have."""
     in_issues = issue_tokens.groupBy("token").agg(F.count("*").alias("in_issues"))
     in_runs = seeds.groupBy("token").agg(F.count("*").alias("in_runs"))
     known = in_issues.join(in_runs, "token").orderBy("in_issues", "token")  # a range partitioning: ids rise with it
-    return materialize(known.select("token", F.monotonically_increasing_id().alias("rank")), "ranks")
+    return materialize(known.select("token", F.monotonically_increasing_id().alias("rank"), "in_issues"), "ranks")
+
+
+def _with_ranks(members: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The tokens of ``members`` that the other side has, as ranks."""
+    return members.join(shuffled(one_per_key(ranks.select("token", "rank"), "token")), "token").drop("token")
+
+
+def _sets(ranked: DataFrame, keys: list[str], size: str) -> DataFrame:
+    return ranked.groupBy(*keys, size).agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
 
 
 def _token_sets(members: DataFrame, keys: list[str], ranks: DataFrame, size: str) -> DataFrame:
     """``keys``, ``size``, ranks (sorted): the tokens of each member that the other side has."""
-    return members.join(shuffled(one_per_key(ranks, "token")), "token").groupBy(*keys, size).agg(
-        F.sort_array(F.collect_list("rank")).alias("ranks"))
+    return _sets(_with_ranks(members, ranks), keys, size)
+
+
+def _digest(size: str, ranks: Column) -> Column:
+    return F.md5(F.concat_ws(",", F.col(size).cast("string"), F.transform(ranks, lambda r: r.cast("string"))))
 
 
 def _classes(sets: DataFrame, size: str) -> DataFrame:
     """The distinct sets, named by a digest."""
-    return sets.withColumn("set", F.md5(F.concat_ws(",", F.col(size).cast("string"), F.transform("ranks", lambda r: r.cast("string")))))
+    return sets.withColumn("set", _digest(size, F.col("ranks")))
+
 
+def _families(sets: DataFrame, size: str, first_common: int) -> DataFrame:
+    """With common, the ranks from ``first_common`` on, and family, which names them and the size."""
+    common = F.filter("ranks", lambda r: r >= F.lit(first_common))
+    return _classes(sets, size).withColumn("common", common).withColumn("family", _digest(size, F.col("common")))
 
-def class_overlaps(run_sets: DataFrame, issue_sets: DataFrame, min_similarity: float) -> DataFrame:
-    """run_set, issue_set, similarity of the distinct sets that reach the threshold.
+
+def _common_ranks(run_sets: DataFrame, issue_sets: DataFrame, min_similarity: float) -> DataFrame:
+    """run_set, n_run, issue_set, n_issue, common: how many ranks two sets share, where their sizes can reach the threshold.
 
     Each common token is a row (run_set, issue_set), counted in the map tasks; nothing but two
     names and two sizes travels. A token in very many sets of both sides is dealt over a grid of cells, and
@@ -257,10 +290,30 @@ def class_overlaps(run_sets: DataFrame, issue_sets: DataFrame, min_similarity: f
         "rank", "issue_set", "n_issue", F.pmod(F.xxhash64("issue_set"), "columns").cast("int").alias("column"),
         F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
     fits = F.least("n_run", "n_issue") >= F.greatest("n_run", "n_issue") * F.lit(min_similarity) - F.lit(1e-9)
-    common = left.join(shuffled(right), ["rank", "row", "column"]).filter(fits).groupBy(
+    return left.join(shuffled(right), ["rank", "row", "column"]).filter(fits).groupBy(
         "run_set", "n_run", "issue_set", "n_issue").agg(F.count("*").alias("common"))
-    return common.withColumn("similarity", F.col("common") / (F.col("n_run") + F.col("n_issue") - F.col("common"))).filter(
-        F.col("similarity") >= F.lit(min_similarity)).select("run_set", "issue_set", "similarity")
+
+
+def _similarity(common: Column) -> Column:
+    return common / (F.col("n_run") + F.col("n_issue") - common)
+
+
+def _best(pairs: DataFrame, name: str, top: int) -> DataFrame:
+    """``name``, best: the ``top`` most similar (similarity, ord, issue_key, n_issue) of the issues that head a class."""
+    order = Window.partitionBy(name).orderBy(F.desc("similarity"), "ord", "issue_key")
+    return pairs.select(name, "similarity", "n_issue", F.explode("heads").alias("h")).select(name, "similarity", "n_issue", "h.*") \
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top) \
+        .groupBy(name).agg(F.collect_list(F.struct("similarity", "ord", "issue_key", "n_issue")).alias("best"))
+
+
+def _issue_classes(known: DataFrame, name: str, ranks: str, top: int) -> DataFrame:
+    """``name``, n_issue, weight (issues), ranks, heads: each class with the first ``top`` of its issues."""
+    # the rank filter is applied before the shuffle too
+    place = F.row_number().over(Window.partitionBy(name).orderBy("ord", "issue_key"))
+    counted = known.groupBy(name, "n_issue").agg(F.count("*").alias("weight"), F.first(ranks).alias("ranks"), F.first("common").alias("common"))
+    heads = known.withColumn("place", place).filter(F.col("place") <= top).groupBy(name).agg(
+        F.collect_list(F.struct("ord", "issue_key")).alias("heads"))
+    return counted.join(heads, name)
 
 
 def related_issues(seeds: DataFrame, issues: DataFrame, top: int = 3,
@@ -268,8 +321,12 @@ def related_issues(seeds: DataFrame, issues: DataFrame, top: int = 3,
     """Per run with a related issue: n_related, and the ``top`` most similar as (rank, issue_key, similarity).
 
     The pairs of ``similar_incidents`` are never built: runs with equal token sets are one, issues
-    with equal token sets are one with a count and their first ``top`` keys (by ``ord``), and only the
-    distinct sets are compared.
+    with equal token sets are one with a count and their first ``top`` keys (by ``ord``).
+
+    Nor is each distinct set compared with each that shares a token with it, as one word that every issue has
+    would make that all pairs. Sets that differ only in tokens of few issues (a number, a name) are one *family*, and families
+    are compared by their common tokens. That is exact but for the pairs of sets that share a token of few issues, too: those
+    are listed and are more similar than their families, so they add what their families do not reach and take precedence among the most similar.
     """
     own = run_key(seeds)
     issue_sets = issues.select(
@@ -281,23 +338,51 @@ def related_issues(seeds: DataFrame, issues: DataFrame, top: int = 3,
     largest = issue_sets.agg(F.max("n_issue"))
     reachable = sizes.filter(_required(F.col("n_run"), min_similarity) <= largest.scalar())
     ranks = _ranked(seeds, issue_tokens)
-
-    runs = _classes(_token_sets(seeds.join(shuffled(one_per_key(reachable, *own)), own), own, ranks, "n_run"), "n_run")
-    runs = materialize(runs, "run_sets")
-    known = _classes(_token_sets(issue_tokens, ["issue_key", "ord"], ranks, "n_issue"), "n_issue")
-    # The first keys of a set: the rank filter is applied before the shuffle too.
-    place = F.row_number().over(Window.partitionBy("set").orderBy("ord", "issue_key"))
-    counted = known.groupBy("set", "n_issue").agg(F.count("*").alias("weight"), F.first("ranks").alias("ranks"))
-    heads = known.withColumn("place", place).filter(F.col("place") <= top).groupBy("set").agg(
-        F.collect_list(F.struct("ord", "issue_key")).alias("heads"))
-    issue_classes = materialize(counted.join(heads, "set"), "issue_sets")
-
-    pairs = class_overlaps(runs.groupBy("set", "n_run").agg(F.first("ranks").alias("ranks")), issue_classes, min_similarity)
-    pairs = pairs.join(shuffled(issue_classes.select(F.col("set").alias("issue_set"), "weight", "heads")), "issue_set")
-    order = Window.partitionBy("run_set").orderBy(F.desc("similarity"), "ord", "issue_key")
-    best = pairs.select("run_set", "similarity", F.explode("heads").alias("h")).select("run_set", "similarity", "h.*") \
-        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top) \
-        .groupBy("run_set").agg(F.sort_array(F.collect_list(F.struct("rank", "issue_key", "similarity"))).alias("top"))
-    per_set = pairs.groupBy("run_set").agg(F.sum("weight").alias("n_related")).join(best, "run_set")
+    first_common = ranks.filter(F.col("in_issues") > FEW_ISSUES).agg(F.min("rank")).first()[0]
+    first_common = 2**63 - 1 if first_common is None else first_common
+
+    # most tokens of a run are in no issue: they go before the sizes are looked up
+    sized = _with_ranks(seeds, ranks).join(shuffled(one_per_key(reachable, *own)), own)
+    runs = materialize(_families(_sets(sized, own, "n_run"), "n_run", first_common), "run_sets")
+    known = materialize(_families(_token_sets(issue_tokens, ["issue_key", "ord"], ranks, "n_issue"), "n_issue", first_common), "issue_sets")
+
+    families = materialize(_issue_classes(known, "family", "common", top), "issue_families")
+    sides = runs.groupBy(F.col("family").alias("set"), "n_run").agg(F.first("common").alias("ranks"))
+    alike = _common_ranks(sides, families.withColumnRenamed("family", "set"), min_similarity) \
+        .withColumn("similarity", _similarity(F.col("common"))).filter(F.col("similarity") >= F.lit(min_similarity)) \
+        .select(F.col("run_set").alias("run_family"), F.col("issue_set").alias("family"), "similarity") \
+        .join(shuffled(families.select("family", "n_issue", "weight", "heads")), "family")
+    alike = materialize(alike, "family_pairs")
+    of_family = alike.groupBy("run_family").agg(F.sum("weight").alias("n_family")).join(
+        _best(alike, "run_family", top).withColumnRenamed("best", "best_family"), "run_family")
+
+    def rare(sets: DataFrame) -> DataFrame:
+        return sets.withColumn("ranks", F.filter("ranks", lambda r: r < F.lit(first_common)))
+
+    sets = materialize(runs.groupBy("set", "family", "n_run").agg(F.first("ranks").alias("ranks"), F.first("common").alias("common")), "distinct_sets")
+    classes = _issue_classes(known, "set", "ranks", top).withColumnRenamed("set", "issue_set")
+    in_run, in_issue = F.col("run_common"), F.col("issue_common")
+    shared = F.size(F.filter(in_issue, lambda r: F.array_contains(in_run, r)))
+    listed = _common_ranks(rare(sets), rare(known.groupBy("set", "n_issue").agg(F.first("ranks").alias("ranks"))), min_similarity) \
+        .join(shuffled(sets.select(F.col("set").alias("run_set"), F.col("common").alias("run_common"))), "run_set") \
+        .join(shuffled(classes.select("issue_set", "weight", "heads", F.col("common").alias("issue_common"))), "issue_set") \
+        .withColumn("shared", shared).withColumn("similarity", _similarity(F.col("common") + F.col("shared"))) \
+        .filter(F.col("similarity") >= F.lit(min_similarity)) \
+        .withColumn("new", (F.col("shared") == 0) | (_similarity(F.col("shared")) < F.lit(min_similarity))) \
+        .select("run_set", "n_issue", "weight", "heads", "similarity", "new")
+    listed = materialize(listed, "set_pairs")
+    of_set = listed.groupBy("run_set").agg(F.sum(F.when(F.col("new"), F.col("weight")).otherwise(0)).alias("n_set")).join(
+        _best(listed, "run_set", top).withColumnRenamed("best", "best_set"), "run_set")
+
+    # a set has at most ``top`` of either kind; an issue listed by both is as similar as its set
+    merged = F.expr(f"""slice(sort_array(transform(
+        concat(coalesce(best_set, array()), filter(coalesce(best_family, array()), f -> not exists(coalesce(best_set, array()),
+            s -> s.ord <=> f.ord and s.issue_key <=> f.issue_key and s.n_issue = f.n_issue))),
+        x -> named_struct('less', -x.similarity, 'ord', x.ord, 'issue_key', x.issue_key, 'similarity', x.similarity))), 1, {int(top)})""")
+    per_set = sets.select(F.col("set").alias("run_set"), F.col("family").alias("run_family")) \
+        .join(shuffled(of_family), "run_family", "left").join(shuffled(of_set), "run_set", "left") \
+        .filter(F.col("best_set").isNotNull() | F.col("best_family").isNotNull()) \
+        .select("run_set", F.expr("coalesce(n_family, 0L) + coalesce(n_set, 0L)").alias("n_related"), F.transform(
+            merged, lambda x, i: F.struct((i + 1).alias("rank"), x["issue_key"].alias("issue_key"), x["similarity"].alias("similarity"))).alias("top"))
     return runs.select(*own, F.col("set").alias("run_set")).join(shuffled(one_per_key(per_set, "run_set")), "run_set").select(
         *own, "n_related", "top")

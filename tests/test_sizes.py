@@ -149,3 +149,57 @@ def test_log_files_are_dealt_over_folders_and_listed_by_few_tasks(spark, tmp_pat
              for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
     assert tasks and max(tasks) <= 8 * sc.defaultParallelism
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+@pytest.mark.parametrize("few", [0, 1, 4, 1000])
+@pytest.mark.parametrize("threshold", [0.05, 0.3])
+def test_sets_that_differ_in_rare_tokens_are_compared_as_one(spark, monkeypatch, few, threshold):
+    """Every issue has a number of its own and every run, too: their sets are all distinct, yet the pairs built are few."""
+    monkeypatch.setattr(correlate, "FEW_ISSUES", few)
+    monkeypatch.setattr(correlate, "CELL_RUNS", 7)
+    monkeypatch.setattr(correlate, "CELL_ISSUES", 5)
+    built = []
+    monkeypatch.setattr(correlate, "materialize", lambda df, name, *a: built.append((name, materialize(df, name, *a))) or built[-1][1])
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(8)]
+    runs = {f"r{i}": {"hot", f"n{100 + i}", f"n{101 + i}"} | set(rng.sample(words, rng.randint(0, 3))) for i in range(90)}
+    runs["none"] = {"other"}
+    issues = [(f"I{i % 75}", i % 80, {"hot", f"n{100 + i}"} | set(rng.sample(words, rng.randint(1, 3)))) for i in range(80)]
+    seeds = spark.createDataFrame([(r, t) for r, ts in runs.items() for t in sorted(ts)], "run_id string, token string")
+    table = spark.createDataFrame([(k, o, " ".join(sorted(t)), []) for k, o, t in issues], "key string, ord long, title string, labels array<string>")
+    want = {}
+    for r, a in runs.items():
+        found = sorted((-len(a & b) / len(a | b), o, k) for k, o, b in issues if len(a & b) / len(a | b) >= threshold)
+        if found:
+            want[r] = len(found), [(i + 1, k, round(-s, 9)) for i, (s, _, k) in enumerate(found[:3])]
+    got = correlate.related_issues(seeds, table, 3, threshold)
+    assert exploded_broadcasts(got) == []
+    assert {r.run_id: (r.n_related, [(x.rank, x.issue_key, round(x.similarity, 9)) for x in r.top]) for r in got.collect()} == want
+    pairs = {name: df.count() for name, df in built if name.endswith("_pairs")}
+    if few == 4:  # the numbers are rare, the words common
+        assert pairs["set_pairs"] <= 3 * 80
+        # the families of issues differ in words only
+        assert dict(built)["issue_families"].count() < 80 and pairs["family_pairs"] < 0.8 * len(runs) * len(issues)
+
+
+def test_grams_that_lead_no_token_are_not_shuffled(spark):
+    tokens = spark.createDataFrame([(f"key_{i:05d}",) for i in range(0, 3000, 3)] + [("é",), ("z",)], "token string")
+    changes = spark.createDataFrame([(i, f"some words of no token at all and key_{i:05d} ", "more words é" if i == 7 else None) for i in range(300)],
+                                    "ord long, title string, summary string")
+    needles = tokens.select(F.lower("token").alias("needle"))
+    blocks = materialize(correlate.text_blocks(
+        changes.select("ord", F.lower(F.concat("title", F.coalesce("summary", F.lit("")))).alias("text")), F.lit(9)), "blocks")
+    leads = materialize(correlate._leads(needles), "leads")
+
+    def wanted(few):
+        found = correlate._pieces(blocks, leads, few).join(needles, "needle")
+        return found, sorted((r.needle, r.ord) for r in found.collect())
+
+    found, got = wanted(0)
+    assert got == wanted(10**6)[1] == sorted([(f"key_{i:05d}", i) for i in range(0, 300, 3)] + [("é", 7)])
+    assert exploded_broadcasts(found) == []
+    index = correlate.gram_index(blocks)
+    passed = index.filter(correlate._may_lead(leads, leads.count()))
+    assert index.join(leads, "gram").count() == passed.join(leads, "gram").count()
+    # 64 bits a lead: one gram in fifty passes by chance
+    assert passed.count() - passed.join(leads, "gram").count() < index.count() / 40
