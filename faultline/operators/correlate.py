@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, parsing
 from ..functions.text import tokenize
 from ..sources.model import run_key
-from ..storage import materialize
+from ..storage import drop_shuffles, materialize
 from .skew import one_per_key, shuffled
 
 #: Lengths of the leading gram by which a token is looked up, and how many tokens may share one
@@ -344,6 +344,7 @@ def related_issues(seeds: DataFrame, issues: DataFrame, top: int = 3,
     # most tokens of a run are in no issue: they go before the sizes are looked up
     sized = _with_ranks(seeds, ranks).join(shuffled(one_per_key(reachable, *own)), own)
     runs = materialize(_families(_sets(sized, own, "n_run"), "n_run", first_common), "run_sets")
+    drop_shuffles(seeds.sparkSession)
     known = materialize(_families(_token_sets(issue_tokens, ["issue_key", "ord"], ranks, "n_issue"), "n_issue", first_common), "issue_sets")
 
     families = materialize(_issue_classes(known, "family", "common", top), "issue_families")

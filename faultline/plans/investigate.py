@@ -14,7 +14,7 @@ from ..functions.text import short_id
 from ..operators import classify, compare, correlate, dedup
 from ..operators.skew import shuffled
 from ..sources.model import RUN_KEY, SOURCE_REF_TYPE, source_ref
-from ..storage import materialize
+from ..storage import drop_shuffles, materialize
 
 #: Rows of a kind that a hypothesis lists; ``None`` lists all of them.
 DEPENDENCY_EVIDENCE = 5
@@ -145,6 +145,7 @@ def investigate(runs: DataFrame, events: DataFrame, *, configs: DataFrame | None
     triage = classify.triage_runs(dedup.template_groups(redacted, counters=True), signatures)
     if correlate_evidence and changes is not None:
         triage = materialize(triage, "triage")
+        drop_shuffles(runs.sparkSession)
 
     pairs = compare.baseline_link(runs)
     diff = compare.diff_records(compare.run_entries(runs, configs), pairs)
@@ -156,7 +157,9 @@ def investigate(runs: DataFrame, events: DataFrame, *, configs: DataFrame | None
         found = correlate.change_correlate(tokens, changes)
     if search_issues:
         seeds = materialize(correlate.seed_tokens(runs, redacted), "seeds")
+        drop_shuffles(runs.sparkSession)
         closest = materialize(correlate.related_issues(seeds, issues, ISSUE_EVIDENCE, min_similarity), "closest")
+        drop_shuffles(runs.sparkSession)
     scored = score_runs(runs, triage, found, diff, closest, pairs)
     return Investigation(scored, diff, closest, issues if search_issues else None, pairs, seeds,
                          changes if correlate_evidence else None, redacted, min_similarity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,3 +50,9 @@ def materialize(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     path = new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Between large steps: the shuffle files of finished jobs stay on disk until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
